@@ -55,3 +55,24 @@ def group_spans(ranked: DataFrame, group_col: str, rank_col: str = "grank") -> D
     return ranked.groupBy(group_col).agg(
         F.min(rank_col).alias("start"), F.count(F.lit(1)).alias("n")
     )
+
+
+def running_totals(df: DataFrame, order_col: str, cols: list[str], suffix: str = "_cum") -> DataFrame:
+    """Cumulative sums of ``cols`` in ``order_col`` order without a one-task window:
+    range partitions get local running sums, shifted by the totals of all earlier
+    partitions (a window over P rows only)."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tagged = cut_lineage(
+        df.repartitionByRange(parts, order_col).withColumn("_pid", F.spark_partition_id())
+    )
+    local = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    with_local = tagged.withColumns({f"_l_{c}": F.sum(c).over(local) for c in cols})
+    totals = tagged.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "_pid", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cols]
+    )
+    out = with_local.join(F.broadcast(offsets), "_pid")
+    out = out.withColumns({f"{c}{suffix}": F.col(f"_o_{c}") + F.col(f"_l_{c}") for c in cols})
+    return out.drop("_pid", *[f"_l_{c}" for c in cols], *[f"_o_{c}" for c in cols])

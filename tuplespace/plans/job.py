@@ -79,3 +79,54 @@ class TupleJob:
 
     def tuples(self, split: str) -> DataFrame:
         return self.tuples_test if split == "test" else self.tuples_train
+
+    # vectors and scores -----------------------------------------------------
+    @cached_property
+    def pairs_v(self) -> DataFrame:
+        """(kind, item_id_1, item_id_2, ev1, ev2): the three relations with vectors,
+        joined to the vector table once as a union."""
+        from tuplespace.operators.enrich import attach_vectors, labelled_union
+
+        return attach_vectors(labelled_union(self.comp, self.neg, self.sim), self.vectors)
+
+    @cached_property
+    def pair_dist(self) -> DataFrame:
+        from tuplespace.functions.vectors import l2_distance
+
+        return self.pairs_v.select(
+            "kind", "item_id_1", "item_id_2", l2_distance(F.col("ev1"), F.col("ev2")).alias("eu")
+        )
+
+    def outputs(self, layers=None) -> DataFrame:
+        """Per-item tower output (normalised); ``layers=None`` = vectors as they are."""
+        from tuplespace.operators.tower import tower_outputs
+
+        return tower_outputs(self.vectors, layers)
+
+    def distances(self, split: str = "test", layers=None) -> DataFrame:
+        """(i, c, s, n, d2c, d2s, d2n) for a split.
+
+        The test split joins the four item outputs; the train split (the per-anchor
+        product) joins three per-pair distances computed once on the distinct
+        (i,c), (i,s), (i,n) parts, so no vector is moved per tuple."""
+        from tuplespace.operators.scoring import tuple_distances
+        from tuplespace.functions.vectors import sq_distance
+
+        out = self.outputs(layers)
+        if split == "test":
+            return tuple_distances(self.tuples_test, out)
+        C, S, N = self.parts
+
+        def part_d2(part, role, name):
+            a = out.select(F.col("item_id").alias("i"), F.col("out").alias("va"))
+            b = out.select(F.col("item_id").alias(role), F.col("out").alias("vb"))
+            return part.join(a, "i").join(b, role).select(
+                "i", role, sq_distance(F.col("va"), F.col("vb")).alias(name)
+            )
+
+        return (
+            self.tuples_train.join(part_d2(C, "c", "d2c"), ["i", "c"])
+            .join(part_d2(S, "s", "d2s"), ["i", "s"])
+            .join(part_d2(N, "n", "d2n"), ["i", "n"])
+            .select("i", "c", "s", "n", "d2c", "d2s", "d2n")
+        )

@@ -82,6 +82,79 @@ BASE = {
     "tuples_train": "SELECT C.i, C.c, S.s, N.n FROM C JOIN S ON S.i = C.i JOIN N ON N.i = C.i",
 }
 
+
+
+def sqd(a: str, b: str) -> str:
+    """Sum of squared differences of two DOUBLE lists (SQL text)."""
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda k: ({a}[k] - {b}[k]) ^ 2))"
+
+
+def l2n(v: str) -> str:
+    return (f"list_transform({v}, lambda x: CAST(x AS DOUBLE) / sqrt(greatest(list_sum("
+            f"list_transform({v}, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))), 1e-12)))")
+
+
+BASE.update({
+    "pairs_v": (
+        "SELECT p.kind, p.item_id_1, p.item_id_2, a.ev AS ev1, b.ev AS ev2 FROM ("
+        "SELECT 'comp' AS kind, item_id_1, item_id_2 FROM comp UNION ALL "
+        "SELECT 'neg', item_id_1, item_id_2 FROM neg UNION ALL "
+        "SELECT 'sim', item_id_1, item_id_2 FROM sim) p "
+        "JOIN vectors a ON a.item_id = p.item_id_1 JOIN vectors b ON b.item_id = p.item_id_2"
+    ),
+    "pair_dist": (
+        "SELECT kind, item_id_1, item_id_2, sqrt(" + sqd("CAST(ev1 AS DOUBLE[])", "CAST(ev2 AS DOUBLE[])")
+        + ") AS eu FROM pairs_v"
+    ),
+    "outputs_id": f"SELECT item_id, {l2n('ev')} AS out FROM vectors",
+    "test_dist": (
+        "SELECT t.i, t.c, t.s, t.n, " + sqd("vi.out", "vc.out") + " AS d2c, " + sqd("vi.out", "vs.out")
+        + " AS d2s, " + sqd("vi.out", "vn.out") + " AS d2n FROM tuples_test t "
+        "JOIN outputs_id vi ON vi.item_id = t.i JOIN outputs_id vc ON vc.item_id = t.c "
+        "JOIN outputs_id vs ON vs.item_id = t.s JOIN outputs_id vn ON vn.item_id = t.n"
+    ),
+    "train_dist": (
+        "SELECT t.i, t.c, t.s, t.n, " + sqd("vi.out", "vc.out") + " AS d2c, " + sqd("vi.out", "vs.out")
+        + " AS d2s, " + sqd("vi.out", "vn.out") + " AS d2n FROM tuples_train t "
+        "JOIN outputs_id vi ON vi.item_id = t.i JOIN outputs_id vc ON vc.item_id = t.c "
+        "JOIN outputs_id vs ON vs.item_id = t.s JOIN outputs_id vn ON vn.item_id = t.n"
+    ),
+    "test_pos": (
+        "SELECT i, c, s, n, row_number() OVER (ORDER BY "
+        + H(SEED, "i", "c", "s", "n", "'order'") + ", i, c, s, n) - 1 AS pos FROM tuples_test"
+    ),
+})
+
+
+def margins_values(margins=DEFAULT_MARGINS) -> str:
+    rows = ", ".join(f"({k}, {ms}, {mc}, {mn})" for k, (ms, mc, mn) in enumerate(margins))
+    return f"(VALUES {rows}) AS m(margin_id, ms, mc, mn)"
+
+
+def loss_sql(ms="m.ms", mc="m.mc", mn="m.mn") -> dict[str, str]:
+    t = {
+        "loss_sim": "d2s",
+        "loss_c1": f"greatest(d2c - {mc}, 0.0)",
+        "loss_c2": f"greatest({ms} - d2c, 0.0)",
+        "loss_neg": f"greatest({mn} - d2n, 0.0)",
+    }
+    t["loss"] = " + ".join(f"({v})" for v in t.values())
+    return t
+
+
+def pred_sql(ms="m.ms", mc="m.mc", mn="m.mn") -> dict[str, str]:
+    return {
+        "pred_comp": f"(d2c < {mc} AND d2c > {ms})",
+        "pred_sim": f"(d2s < {ms})",
+        "pred_neg": f"(d2n > {mc})",
+        "pred_rank": "(d2c < d2n)",
+    }
+
+
+def r6(expr: str, name: str) -> str:
+    return f"round({expr}, 6) AS {name}"
+
+
 ORDER = list(BASE)
 
 

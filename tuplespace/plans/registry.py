@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from tuplespace.config import TupleConfig
 from tuplespace.operators import paths, sampling, tuples
 from tuplespace.plans.job import TupleJob
-from tuplespace.plans.oracle import with_ctes
+from tuplespace.plans.oracle import (
+    loss_sql, margins_values, pred_sql, r6, sqd, with_ctes,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +38,17 @@ def job(spark: SparkSession, sf_dir: str, **kw) -> TupleJob:
     return TupleJob(spark, sf_dir, TupleConfig(**kw) if kw else None)
 
 
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Round every DOUBLE column (both engines round to the same places)."""
+    return df.select(*[
+        F.round(F.col(f.name), places).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
+        for f in df.schema.fields
+    ])
+
+
+M0 = TupleConfig().margin
+
+
 # --- 1. cleaning, label split, path index, sampling ------------------------------------
 
 @register("clean_catalog", with_ctes("SELECT asin, categories, title, imUrl FROM catalog", "catalog"))
@@ -193,3 +206,219 @@ def q_tuples_all(spark, sf_dir):
 )
 def q_tuple_counts(spark, sf_dir):
     return tuples.tuple_counts(job(spark, sf_dir).fanout)
+
+
+# --- 2. pair distances and statistics ----------------------------------------------
+
+@register(
+    "pairs_with_vectors",
+    with_ctes(
+        "SELECT kind, item_id_1, item_id_2, len(ev1) AS dim1, len(ev2) AS dim2, "
+        + r6("list_sum(CAST(ev1 AS DOUBLE[]))", "sum1") + ", " + r6("list_sum(CAST(ev2 AS DOUBLE[]))", "sum2")
+        + " FROM pairs_v",
+        "pairs_v",
+    ),
+)
+def q_pairs_with_vectors(spark, sf_dir):
+    sumv = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rounded(job(spark, sf_dir).pairs_v.select(
+        "kind", "item_id_1", "item_id_2",
+        F.size("ev1").alias("dim1"), F.size("ev2").alias("dim2"),
+        sumv("ev1").alias("sum1"), sumv("ev2").alias("sum2"),
+    ))
+
+
+@register("pair_distance", with_ctes("SELECT kind, item_id_1, item_id_2, " + r6("eu", "eu") + " FROM pair_dist", "pair_dist"))
+def q_pair_distance(spark, sf_dir):
+    return rounded(job(spark, sf_dir).pair_dist)
+
+
+@register(
+    "distance_stats",
+    with_ctes(
+        "SELECT kind, count(eu) AS n, " + r6("avg(eu)", "mean") + ", " + r6("stddev_samp(eu)", "stddev")
+        + ", " + r6("min(eu)", "min") + ", " + r6("max(eu)", "max") + " FROM pair_dist GROUP BY kind",
+        "pair_dist",
+    ),
+)
+def q_distance_stats(spark, sf_dir):
+    from tuplespace.operators.metrics import distance_stats
+
+    return rounded(distance_stats(job(spark, sf_dir).pair_dist))
+
+
+# --- 3. scoring with vectors as they are ---------------------------------------------
+
+@register(
+    "l2_normalize",
+    with_ctes(
+        "SELECT item_id, " + r6("sqrt(list_sum(list_transform(ev, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))", "norm_in")
+        + ", " + r6("sqrt(list_sum(list_transform(out, lambda x: x * x)))", "norm_out")
+        + ", " + r6("list_sum(out)", "out_sum") + " FROM (SELECT v.item_id, v.ev, o.out FROM vectors v "
+        "JOIN outputs_id o ON o.item_id = v.item_id)",
+        "vectors", "outputs_id",
+    ),
+)
+def q_l2_normalize(spark, sf_dir):
+    from tuplespace.functions.vectors import l2_normalize, sum_squares, as_double
+
+    v = job(spark, sf_dir).vectors
+    out = l2_normalize(F.col("ev"))
+    return rounded(v.select(
+        "item_id",
+        F.sqrt(sum_squares(F.col("ev"))).alias("norm_in"),
+        F.sqrt(sum_squares(out)).alias("norm_out"),
+        F.aggregate(out, F.lit(0.0), lambda a, x: a + x).alias("out_sum"),
+    ))
+
+
+@register(
+    "tuple_vectors",
+    with_ctes(
+        "SELECT t.i, t.c, t.s, t.n, "
+        + ", ".join(r6(f"list_sum(CAST(v{r}.ev AS DOUBLE[]))", f"sum_{r}") for r in "icsn")
+        + " FROM tuples_test t "
+        + " ".join(f"JOIN vectors v{r} ON v{r}.item_id = t.{r}" for r in "icsn"),
+        "tuples_test", "vectors",
+    ),
+)
+def q_tuple_vectors(spark, sf_dir):
+    from tuplespace.operators.scoring import tuple_vectors
+
+    j = job(spark, sf_dir)
+    tv = tuple_vectors(j.tuples_test, j.vectors, out_col="ev")
+    sumv = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rounded(tv.select("i", "c", "s", "n", *[sumv(f"v_{r}").alias(f"sum_{r}") for r in "icsn"]))
+
+
+@register(
+    "tuple_distance",
+    with_ctes(
+        "SELECT i, c, s, n, " + r6("d2c", "d2c") + ", " + r6("d2s", "d2s") + ", " + r6("d2n", "d2n")
+        + ", " + r6("sqrt(d2c)", "dc") + ", " + r6("sqrt(d2s)", "ds") + ", " + r6("sqrt(d2n)", "dn")
+        + " FROM test_dist",
+        "test_dist",
+    ),
+)
+def q_tuple_distance(spark, sf_dir):
+    d = job(spark, sf_dir).distances("test")
+    return rounded(d.withColumns({"dc": F.sqrt("d2c"), "ds": F.sqrt("d2s"), "dn": F.sqrt("d2n")}))
+
+
+_L0 = loss_sql(*[str(x) for x in M0])
+_P0 = pred_sql(*[str(x) for x in M0])
+
+
+@register(
+    "tuple_loss",
+    with_ctes(
+        "SELECT i, c, s, n, " + ", ".join(r6(v, k) for k, v in _L0.items()) + " FROM test_dist",
+        "test_dist",
+    ),
+)
+def q_tuple_loss(spark, sf_dir):
+    from tuplespace.operators.scoring import loss_terms
+
+    d = job(spark, sf_dir).distances("test")
+    return rounded(d.select("i", "c", "s", "n", *[v.alias(k) for k, v in loss_terms(*M0).items()]))
+
+
+@register(
+    "tuple_predictions",
+    with_ctes("SELECT i, c, s, n, " + ", ".join(f"{v} AS {k}" for k, v in _P0.items()) + " FROM test_dist", "test_dist"),
+)
+def q_tuple_predictions(spark, sf_dir):
+    from tuplespace.operators.scoring import predictions
+
+    d = job(spark, sf_dir).distances("test")
+    return d.select("i", "c", "s", "n", *[v.alias(k) for k, v in predictions(*M0).items()])
+
+
+def _acc_sql(src: str, split: str) -> str:
+    return (
+        f"SELECT '{split}' AS split, count(*) AS n_tuples, avg({_L0['loss']}) AS mean_loss, "
+        + ", ".join(f"avg(CAST({_P0['pred_' + k]} AS DOUBLE)) AS acc_{k}" for k in ("comp", "sim", "neg", "rank"))
+        + f" FROM {src}"
+    )
+
+
+_ROUND_ACC = (
+    r6("mean_loss", "mean_loss") + ", " + ", ".join(r6(f"acc_{k}", f"acc_{k}") for k in ("comp", "sim", "neg", "rank"))
+    + ", " + r6("acc_comp / (acc_comp + (1.0 - acc_comp))", "precision") + ", "
+    + r6("acc_comp / (acc_comp + (1.0 - acc_neg))", "run_precision")
+)
+
+
+@register(
+    "tuple_accuracy",
+    with_ctes(
+        "SELECT split, n_tuples, " + _ROUND_ACC
+        + " FROM (" + _acc_sql("test_dist", "test") + " UNION ALL " + _acc_sql("train_dist", "train") + ")",
+        "test_dist", "train_dist",
+    ),
+)
+def q_tuple_accuracy(spark, sf_dir):
+    from tuplespace.operators.metrics import margin_sweep
+
+    j = job(spark, sf_dir)
+    frames = []
+    for split in ("test", "train"):
+        sw = margin_sweep(j.distances(split), [M0]).drop("margin_id", "ms", "mc", "mn")
+        frames.append(rounded(sw).select(F.lit(split).alias("split"), "*"))
+    return frames[0].unionByName(frames[1])
+
+
+_SWEEP_SQL = (
+    "SELECT m.margin_id, m.ms, m.mc, m.mn, count(*) AS n_tuples, "
+    + f"avg({loss_sql()['loss']}) AS mean_loss, "
+    + ", ".join(f"avg(CAST({pred_sql()['pred_' + k]} AS DOUBLE)) AS acc_{k}" for k in ("comp", "sim", "neg", "rank"))
+    + f" FROM test_dist CROSS JOIN {margins_values()} GROUP BY m.margin_id, m.ms, m.mc, m.mn"
+)
+
+
+@register(
+    "margin_sweep",
+    with_ctes(
+        "SELECT margin_id, CAST(ms AS DOUBLE) AS ms, CAST(mc AS DOUBLE) AS mc, CAST(mn AS DOUBLE) AS mn, n_tuples, "
+        + _ROUND_ACC + " FROM (" + _SWEEP_SQL + ")",
+        "test_dist",
+    ),
+)
+def q_margin_sweep(spark, sf_dir):
+    from tuplespace.operators.metrics import margin_sweep
+
+    j = job(spark, sf_dir)
+    return rounded(margin_sweep(j.distances("test"), j.cfg.margins))
+
+
+@register(
+    "best_margin",
+    with_ctes(
+        "SELECT margin_id, run_precision AS best_run_precision, CAST(ms AS DOUBLE) AS ms, "
+        "CAST(mc AS DOUBLE) AS mc, CAST(mn AS DOUBLE) AS mn FROM ("
+        "SELECT *, " + r6("acc_comp / (acc_comp + (1.0 - acc_neg))", "run_precision") + " FROM (" + _SWEEP_SQL + ")) "
+        "ORDER BY run_precision DESC, margin_id LIMIT 1",
+        "test_dist",
+    ),
+)
+def q_best_margin(spark, sf_dir):
+    from tuplespace.operators.metrics import best_margin
+
+    return best_margin(q_margin_sweep(spark, sf_dir), "run_precision")
+
+
+@register(
+    "distance_samples",
+    with_ctes(
+        "SELECT 'test' AS split, kind, i, c, s, n, " + r6("sqrt(d2)", "d") + " FROM ("
+        "SELECT i, c, s, n, 'comp' AS kind, d2c AS d2 FROM test_dist UNION ALL "
+        "SELECT i, c, s, n, 'sim', d2s FROM test_dist UNION ALL SELECT i, c, s, n, 'neg', d2n FROM test_dist)",
+        "test_dist",
+    ),
+)
+def q_distance_samples(spark, sf_dir):
+    d = job(spark, sf_dir).distances("test")
+    long = d.selectExpr(
+        "i", "c", "s", "n", "stack(3, 'comp', d2c, 'sim', d2s, 'neg', d2n) AS (kind, d2)"
+    )
+    return rounded(long.select(F.lit("test").alias("split"), "kind", "i", "c", "s", "n", F.sqrt("d2").alias("d")))

@@ -1,5 +1,8 @@
 """Mapping of the supplied tables onto the engine's inputs (see FIXTURES.md).
 
+Ids keep the tables' BIGINT type (the operators accept string or bigint ids;
+ordering "by id" follows the column type).
+
 catalog  <- part      id = p_partkey, title = p_name, paths [p_type, p_brand] and ["NAME", p_name]
 pairs    <- lineitem  parts sharing an order (a < b); label '1' when they share >= 2 orders
 vectors  <- embeddings  item p takes row vec_id = p_partkey % (row count of embeddings)
@@ -23,7 +26,7 @@ def catalog_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     JSON text), title, imUrl."""
     part = table(spark, sf_dir, "part")
     return part.select(
-        F.col("p_partkey").cast("string").alias("asin"),
+        F.col("p_partkey").alias("asin"),
         F.to_json(
             F.array(F.array("p_type", "p_brand"), F.array(F.lit(NAME_PATH_ROOT), F.col("p_name")))
         ).alias("categories"),
@@ -49,19 +52,19 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("shared"))
     )
     return co.select(
-        F.col("p1").cast("string").alias("item_id_1"),
-        F.col("p2").cast("string").alias("item_id_2"),
+        F.col("p1").alias("item_id_1"),
+        F.col("p2").alias("item_id_2"),
         F.when(F.col("shared") >= 2, F.lit("1")).otherwise(F.lit("0")).alias("label"),
     )
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item vectors (item_id STRING, ev ARRAY<FLOAT>) for every catalog item."""
+    """Item vectors (item_id BIGINT, ev ARRAY<FLOAT>) for every catalog item."""
     part = table(spark, sf_dir, "part").select("p_partkey")
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n_vec = emb.select(F.count(F.lit(1))).scalar()
     keyed = part.select(
-        F.col("p_partkey").cast("string").alias("item_id"),
+        F.col("p_partkey").alias("item_id"),
         F.pmod(F.col("p_partkey"), n_vec).alias("vec_id"),
     )
     return keyed.join(emb, "vec_id").select("item_id", F.col("embedding").alias("ev"))
@@ -70,12 +73,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # DuckDB twins (used by the oracle SQL).
 DUCK_CTES = {
     "catalog_raw": (
-        "SELECT CAST(p_partkey AS VARCHAR) AS asin, "
+        "SELECT p_partkey AS asin, "
         f"to_json([[p_type, p_brand], ['{NAME_PATH_ROOT}', p_name]]) AS categories, "
         "p_name AS title, 'img/' || CAST(p_partkey AS VARCHAR) AS imUrl FROM part"
     ),
     "pairs": (
-        "SELECT CAST(p1 AS VARCHAR) AS item_id_1, CAST(p2 AS VARCHAR) AS item_id_2, "
+        "SELECT p1 AS item_id_1, p2 AS item_id_2, "
         "CASE WHEN shared >= 2 THEN '1' ELSE '0' END AS label FROM ("
         " SELECT a.p AS p1, b.p AS p2, count(*) AS shared FROM"
         " (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem) a JOIN"
@@ -83,7 +86,7 @@ DUCK_CTES = {
         " ON a.o = b.o AND a.p < b.p GROUP BY a.p, b.p)"
     ),
     "vectors": (
-        "SELECT CAST(p.p_partkey AS VARCHAR) AS item_id, e.embedding AS ev FROM part p "
+        "SELECT p.p_partkey AS item_id, e.embedding AS ev FROM part p "
         "JOIN embeddings e ON e.vec_id = p.p_partkey % (SELECT count(*) FROM embeddings)"
     ),
 }
