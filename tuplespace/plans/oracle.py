@@ -125,6 +125,36 @@ BASE.update({
     ),
 })
 
+BASE.update({
+    "dense": "SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM vectors)",
+})
+
+
+def tower_sql(src: str, vec: str, dims=(64, 16, 12, 8)) -> str:
+    """The rational-weight tower as nested list expressions (one list per layer)."""
+    cur = f"CAST({vec} AS DOUBLE[])"
+    sql = f"SELECT item_id, {cur} AS h0 FROM {src}"
+    for l, (n_in, n_out) in enumerate(zip(dims[:-1], dims[1:]), start=1):
+        units = []
+        for j in range(n_out):
+            dot = (f"list_sum(list_transform(range({n_in}), lambda i: h{l - 1}[i + 1] * "
+                   f"((((31 * i + {17 * j} + {7 * l}) % 101) - 50) / 500.0)))")
+            units.append(dot if l == len(dims) - 1 else f"greatest({dot}, 0.0)")
+        sql = f"SELECT item_id, [{', '.join(units)}] AS h{l} FROM ({sql})"
+    last = f"h{len(dims) - 1}"
+    return f"SELECT item_id, {l2n(last)} AS out FROM ({sql})"
+
+
+BASE.update({
+    "outputs_tower": tower_sql("vectors", "ev"),
+    "tower_dist": (
+        "SELECT t.i, t.c, t.s, t.n, " + sqd("vi.out", "vc.out") + " AS d2c, " + sqd("vi.out", "vs.out")
+        + " AS d2s, " + sqd("vi.out", "vn.out") + " AS d2n FROM tuples_test t "
+        "JOIN outputs_tower vi ON vi.item_id = t.i JOIN outputs_tower vc ON vc.item_id = t.c "
+        "JOIN outputs_tower vs ON vs.item_id = t.s JOIN outputs_tower vn ON vn.item_id = t.n"
+    ),
+})
+
 
 def margins_values(margins=DEFAULT_MARGINS) -> str:
     rows = ", ".join(f"({k}, {ms}, {mc}, {mn})" for k, (ms, mc, mn) in enumerate(margins))

@@ -422,3 +422,144 @@ def q_distance_samples(spark, sf_dir):
         "i", "c", "s", "n", "stack(3, 'comp', d2c, 'sim', d2s, 'neg', d2n) AS (kind, d2)"
     )
     return rounded(long.select(F.lit("test").alias("split"), "kind", "i", "c", "s", "n", F.sqrt("d2").alias("d")))
+
+
+# --- 4. encoding and batching --------------------------------------------------------
+
+BATCH = 256  # batch size of the registered batch reports
+
+
+@register("dense_ids", with_ctes("SELECT item_id, idx FROM dense", "dense"))
+def q_dense_ids(spark, sf_dir):
+    from tuplespace.operators.encode import dense_ids
+
+    return dense_ids(job(spark, sf_dir).vectors)
+
+
+@register(
+    "tuples_encoded",
+    with_ctes(
+        "SELECT t.i, t.c, t.s, t.n, "
+        + ", ".join(f"CAST(d{r}.idx AS INTEGER) AS {r}_idx" for r in "icsn")
+        + " FROM tuples_test t " + " ".join(f"JOIN dense d{r} ON d{r}.item_id = t.{r}" for r in "icsn"),
+        "tuples_test", "dense",
+    ),
+)
+def q_tuples_encoded(spark, sf_dir):
+    from tuplespace.operators.encode import dense_ids, encode_tuples
+
+    j = job(spark, sf_dir)
+    return encode_tuples(j.tuples_test, dense_ids(j.vectors))
+
+
+@register("tuples_shuffled", with_ctes("SELECT i, c, s, n, pos FROM test_pos", "test_pos"))
+def q_tuples_shuffled(spark, sf_dir):
+    from tuplespace.operators.tuples import shuffled_positions
+
+    return shuffled_positions(job(spark, sf_dir).tuples_test, job(spark, sf_dir).cfg.seed)
+
+
+_MB = f"SELECT i, c, s, n, pos, CAST(floor(pos / {BATCH}) AS BIGINT) AS batch_id FROM test_pos"
+
+
+@register(
+    "minibatches",
+    with_ctes(f"SELECT * FROM ({_MB}) WHERE batch_id < (SELECT count(*) // {BATCH} FROM test_pos)", "test_pos"),
+)
+def q_minibatches(spark, sf_dir):
+    from tuplespace.operators.batches import minibatches
+
+    return minibatches(job(spark, sf_dir).tuples_test, BATCH)
+
+
+@register("minibatches_keep", with_ctes(_MB, "test_pos"))
+def q_minibatches_keep(spark, sf_dir):
+    from tuplespace.operators.batches import minibatches
+
+    return minibatches(job(spark, sf_dir).tuples_test, BATCH, drop_remainder=False)
+
+
+def _scored_batches(spark, sf_dir):
+    from tuplespace.operators.batches import minibatches
+    from tuplespace.operators.metrics import batch_metrics
+    from tuplespace.operators.scoring import score
+
+    j = job(spark, sf_dir)
+    mb = minibatches(j.tuples_test, BATCH).select("i", "c", "s", "n", "batch_id")
+    d = j.distances("test").join(mb, ["i", "c", "s", "n"])
+    return batch_metrics(score(d, M0))
+
+
+_BATCH_SQL = (
+    f"SELECT b.batch_id, count(*) AS n, sum({_L0['loss']}) AS sum_loss, "
+    + ", ".join(f"sum(CAST({_P0['pred_' + k]} AS BIGINT)) AS hit_{k}" for k in ("comp", "sim", "neg", "rank"))
+    + f" FROM test_dist d JOIN ({_MB}) b ON b.i = d.i AND b.c = d.c AND b.s = d.s AND b.n = d.n "
+    f"WHERE b.batch_id < (SELECT count(*) // {BATCH} FROM test_pos) GROUP BY b.batch_id"
+)
+
+
+@register(
+    "batch_loss",
+    with_ctes(f"SELECT batch_id, n, {r6('sum_loss / n', 'mean_loss')} FROM ({_BATCH_SQL})", "test_dist", "test_pos"),
+)
+def q_batch_loss(spark, sf_dir):
+    return rounded(_scored_batches(spark, sf_dir).select("batch_id", "n", "mean_loss"))
+
+
+@register(
+    "running_accuracy",
+    with_ctes(
+        "SELECT batch_id, "
+        + ", ".join(
+            r6(f"sum(hit_{k}) OVER (ORDER BY batch_id) / sum(n) OVER (ORDER BY batch_id)", f"acc_{k}")
+            for k in ("comp", "sim", "neg", "rank")
+        )
+        + f", {r6('sum_loss / n', 'batch_loss')} FROM ({_BATCH_SQL})",
+        "test_dist", "test_pos",
+    ),
+)
+def q_running_accuracy(spark, sf_dir):
+    from tuplespace.operators.metrics import running_accuracy
+
+    return rounded(running_accuracy(_scored_batches(spark, sf_dir)))
+
+
+# --- 6. tower forward and evaluation ---------------------------------------------------
+
+DIMS = (64, 16, 12, 8)
+
+
+def _rational_layers():
+    from tuplespace.operators.tower import rational_weights
+
+    return rational_weights(DIMS)
+
+
+@register(
+    "tower_forward",
+    with_ctes(
+        "SELECT item_id, " + ", ".join(r6(f"out[{k + 1}]", f"o{k}") for k in range(DIMS[-1])) + " FROM outputs_tower",
+        "outputs_tower",
+    ),
+)
+def q_tower_forward(spark, sf_dir):
+    out = job(spark, sf_dir).outputs(_rational_layers())
+    return rounded(out.select("item_id", *[F.col("out")[k].alias(f"o{k}") for k in range(DIMS[-1])]))
+
+
+@register(
+    "evaluate",
+    with_ctes(
+        "SELECT m.margin_id, count(*) AS n_tuples, " + r6(f"avg({loss_sql()['loss']})", "mean_loss") + ", "
+        + ", ".join(r6(f"avg(CAST({pred_sql()['pred_' + k]} AS DOUBLE))", f"acc_{k}") for k in ("comp", "sim", "neg", "rank"))
+        + f" FROM tower_dist CROSS JOIN {margins_values()} GROUP BY m.margin_id",
+        "tower_dist",
+    ),
+)
+def q_evaluate(spark, sf_dir):
+    """Test split through the shared tower (fixed rational weights), every margin."""
+    from tuplespace.operators.metrics import margin_sweep
+
+    j = job(spark, sf_dir)
+    sw = margin_sweep(j.distances("test", _rational_layers()), j.cfg.margins)
+    return rounded(sw.select("margin_id", "n_tuples", "mean_loss", "acc_comp", "acc_sim", "acc_neg", "acc_rank"))
