@@ -156,6 +156,63 @@ BASE.update({
 })
 
 
+def linear_gradient_sql(margin, dim_in: int = 64, dim_out: int = 8) -> str:
+    """Mean gradient of the loss over the test tuples for a one-layer linear tower
+    z = x W (W_1 rational, zero bias): sum over tuples and roles of x (outer) g_z.
+    Parameters are numbered as flattened: W row-major, then b."""
+    ms, mc, mn = margin
+    units = ", ".join(
+        f"list_sum(list_transform(range({dim_in}), lambda i: x[i + 1] * ((((31 * i + {17 * j} + 7) % 101) - 50) / 500.0)))"
+        for j in range(dim_out)
+    )
+    k8 = f"range({dim_out})"
+    lin = (f"SELECT item_id, x, z, sqrt(greatest(list_sum(list_transform(z, lambda v: v * v)), 1e-12)) AS r, "
+           f"list_sum(list_transform(z, lambda v: v * v)) AS ss FROM (SELECT item_id, x, [{units}] AS z FROM "
+           f"(SELECT item_id, CAST(ev AS DOUBLE[]) AS x FROM vectors))")
+    unit = f"SELECT item_id, x, r, ss, list_transform(z, lambda v: v / r) AS u FROM ({lin})"
+    per = (
+        "SELECT t.i, a.x AS xa, c.x AS xc, s.x AS xs, n.x AS xn, a.u AS ua, c.u AS uc, s.u AS us, n.u AS un, "
+        "a.r AS ra, c.r AS rc, s.r AS rs, n.r AS rn, a.ss AS sa, c.ss AS sc, s.ss AS s_s, n.ss AS sn "
+        f"FROM tuples_test t JOIN ({unit}) a ON a.item_id = t.i JOIN ({unit}) c ON c.item_id = t.c "
+        f"JOIN ({unit}) s ON s.item_id = t.s JOIN ({unit}) n ON n.item_id = t.n"
+    )
+    diffs = (
+        f"SELECT *, list_transform({k8}, lambda k: ua[k + 1] - uc[k + 1]) AS ec, "
+        f"list_transform({k8}, lambda k: ua[k + 1] - us[k + 1]) AS es, "
+        f"list_transform({k8}, lambda k: ua[k + 1] - un[k + 1]) AS en FROM ({per})"
+    )
+    wts = (
+        "SELECT *, (CASE WHEN d2c > " + str(mc) + " THEN 1.0 ELSE 0.0 END) - (CASE WHEN d2c < " + str(ms)
+        + " THEN 1.0 ELSE 0.0 END) AS wc, -(CASE WHEN d2n < " + str(mn) + " THEN 1.0 ELSE 0.0 END) AS wn FROM ("
+        "SELECT *, list_sum(list_transform(ec, lambda v: v * v)) AS d2c, "
+        f"list_sum(list_transform(en, lambda v: v * v)) AS d2n FROM ({diffs}))"
+    )
+    gu = (
+        f"SELECT *, list_transform({k8}, lambda k: 2 * (wc * ec[k + 1] + es[k + 1] + wn * en[k + 1])) AS gua, "
+        f"list_transform({k8}, lambda k: -2 * wc * ec[k + 1]) AS guc, "
+        f"list_transform({k8}, lambda k: -2 * es[k + 1]) AS gus, "
+        f"list_transform({k8}, lambda k: -2 * wn * en[k + 1]) AS gun FROM ({wts})"
+    )
+
+    def gz(g, u, r, ss):
+        dot = f"list_sum(list_transform({k8}, lambda k: {g}[k + 1] * {u}[k + 1]))"
+        return (f"CASE WHEN {ss} > 1e-12 THEN list_transform({k8}, lambda k: ({g}[k + 1] - {dot} * {u}[k + 1]) / {r}) "
+                f"ELSE list_transform({g}, lambda v: v / {r}) END")
+
+    rows = " UNION ALL ".join(
+        f"SELECT {x} AS x, {gz(g, u, r, ss)} AS gz FROM ({gu})"
+        for x, g, u, r, ss in (("xa", "gua", "ua", "ra", "sa"), ("xc", "guc", "uc", "rc", "sc"),
+                               ("xs", "gus", "us", "rs", "s_s"), ("xn", "gun", "un", "rn", "sn"))
+    )
+    return (
+        "SELECT param, round(g / (SELECT count(*) FROM tuples_test), 6) AS g FROM ("
+        f"SELECT wi * {dim_out} + wj AS param, sum(x[wi + 1] * gz[wj + 1]) AS g FROM ({rows}) q, "
+        f"range({dim_in}) ti(wi), range({dim_out}) tj(wj) GROUP BY wi, wj "
+        f"UNION ALL SELECT {dim_in * dim_out} + wj AS param, sum(gz[wj + 1]) AS g FROM ({rows}) q, "
+        f"range({dim_out}) tj(wj) GROUP BY wj)"
+    )
+
+
 def margins_values(margins=DEFAULT_MARGINS) -> str:
     rows = ", ".join(f"({k}, {ms}, {mc}, {mn})" for k, (ms, mc, mn) in enumerate(margins))
     return f"(VALUES {rows}) AS m(margin_id, ms, mc, mn)"

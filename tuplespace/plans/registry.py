@@ -15,7 +15,7 @@ from tuplespace.config import TupleConfig
 from tuplespace.operators import paths, sampling, tuples
 from tuplespace.plans.job import TupleJob
 from tuplespace.plans.oracle import (
-    loss_sql, margins_values, pred_sql, r6, sqd, with_ctes,
+    linear_gradient_sql, loss_sql, margins_values, pred_sql, r6, sqd, with_ctes,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -563,3 +563,86 @@ def q_evaluate(spark, sf_dir):
     j = job(spark, sf_dir)
     sw = margin_sweep(j.distances("test", _rational_layers()), j.cfg.margins)
     return rounded(sw.select("margin_id", "n_tuples", "mean_loss", "acc_comp", "acc_sim", "acc_neg", "acc_rank"))
+
+
+# --- 8. training ----------------------------------------------------------------------
+
+FIT_BATCH = 65536  # large synchronous batches for the registered fit
+
+
+@register("train_gradient", with_ctes(linear_gradient_sql(M0), "tuples_test", "vectors"))
+def q_train_gradient(spark, sf_dir):
+    """Mean loss gradient over the test tuples for a one-layer linear tower
+    (64 -> 8, rational weights): numpy partials per task, summed by Spark."""
+    from tuplespace.operators.scoring import tuple_vectors
+    from tuplespace.operators.tower import rational_weights
+    from tuplespace.operators.train import gradient_sums
+
+    j = job(spark, sf_dir)
+    layers = rational_weights((DIMS[0], DIMS[-1]))
+    rows = tuple_vectors(j.tuples_test, j.vectors, out_col="ev")
+    g, stats = gradient_sums(rows, layers, M0)
+    data = [(k, float(round(v / stats[0], 6))) for k, v in enumerate(g)]
+    return spark.createDataFrame(data, "param long, g double")
+
+
+@register("train_one_step")
+def q_train_one_step(spark, sf_dir):
+    """One synchronous SGD step on the first train batch: loss before and after."""
+    from tuplespace.operators.train import gradient_sums, grad_norm, sgd_step
+    from tuplespace.plans.training import BatchSource
+
+    j = job(spark, sf_dir)
+    layers = _rational_layers()
+    src = BatchSource(j.tuples_train, j.vectors, FIT_BATCH, j.cfg.seed)
+    batch = src(0).batch(0)
+    g, s = gradient_sums(batch, layers, M0)
+    new = sgd_step(layers, g, s[0], j.cfg.lr)
+    _, s2 = gradient_sums(batch, new, M0)
+    data = [("rows", float(s[0])), ("loss_before", float(s[1] / s[0])), ("loss_after", float(s2[1] / s2[0])),
+            ("grad_norm", float(grad_norm(g / s[0])))]
+    return spark.createDataFrame(data, "metric string, value double")
+
+
+@register("train_fit")
+def q_train_fit(spark, sf_dir):
+    """One epoch of synchronous SGD over the whole train split; metric rows."""
+    from dataclasses import replace
+
+    from tuplespace.plans.training import fit_margin, metrics_frame, new_run_id
+
+    j = job(spark, sf_dir)
+    cfg = replace(j.cfg, batch_size=FIT_BATCH, epochs=1)
+    layers, rows = fit_margin(j.tuples_train, j.vectors, _rational_layers(), M0, cfg)
+    return metrics_frame(spark, rows, new_run_id(), 0)
+
+
+@register("metrics_log")
+def q_metrics_log(spark, sf_dir):
+    """Evaluate the test split, append the metric rows to a partitioned table, read back."""
+    from tuplespace.plans.training import append_metrics, metrics_frame, new_run_id
+    from tuplespace.session import scratch_path
+
+    ev = q_evaluate(spark, sf_dir).collect()  # one row per margin
+    run = new_run_id()
+    rows = [{"epoch": 0, "step": 0, "split": "test", "metric": f"{k}@{r['margin_id']}", "value": r[k]}
+            for r in ev for k in ("mean_loss", "acc_comp", "acc_sim", "acc_neg", "acc_rank")]
+    path = scratch_path(spark, "metrics")
+    append_metrics(metrics_frame(spark, rows, run, 0), path)
+    return spark.read.parquet(path).filter(F.col("run_id") == run)
+
+
+@register("weights_roundtrip", ORACLE["evaluate"])
+def q_weights_roundtrip(spark, sf_dir):
+    """Save the tower weights, load them back (warm start) and evaluate with them:
+    must equal ``evaluate``."""
+    from tuplespace.operators.metrics import margin_sweep
+    from tuplespace.plans.training import load_weights, new_run_id, save_weights
+    from tuplespace.session import scratch_path
+
+    path, run = scratch_path(spark, "weights"), new_run_id()
+    save_weights(spark, _rational_layers(), path, run, 0, 0)
+    layers = load_weights(spark, path, run, 0)
+    j = job(spark, sf_dir)
+    sw = margin_sweep(j.distances("test", layers), j.cfg.margins)
+    return rounded(sw.select("margin_id", "n_tuples", "mean_loss", "acc_comp", "acc_sim", "acc_neg", "acc_rank"))
