@@ -23,9 +23,9 @@ def distributed_rank(
     """Add ``rank_col``: the 0-based position of each row in ``order_cols`` order.
 
     The key is expected to be unique (ties get distinct but arbitrary ranks). The
-    numbered rows are checkpointed to the shared checkpoint folder so that both
-    passes (counts and numbering) see the same partitions, also after an executor
-    is lost.
+    numbered rows (with their partition id and local number) are written to the
+    shared checkpoint folder so that both passes (counts and numbering) see the same
+    rows, also after an executor is lost.
     """
     spark = df.sparkSession
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -38,7 +38,7 @@ def distributed_rank(
             F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33),
         )
     )
-    numbered = cut_lineage(numbered)
+    numbered = cut_lineage(numbered, "rank")
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
@@ -64,7 +64,7 @@ def running_totals(df: DataFrame, order_col: str, cols: list[str], suffix: str =
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = cut_lineage(
-        df.repartitionByRange(parts, order_col).withColumn("_pid", F.spark_partition_id())
+        df.repartitionByRange(parts, order_col).withColumn("_pid", F.spark_partition_id()), "running"
     )
     local = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     with_local = tagged.withColumns({f"_l_{c}": F.sum(c).over(local) for c in cols})

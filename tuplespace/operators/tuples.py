@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tuplespace.functions.hashing import draw_hash, pick
 from tuplespace.operators.enrich import labelled_union, with_vector_ids
-from tuplespace.operators.ranks import distributed_rank, group_spans
+from tuplespace.operators.ranks import distributed_rank
 
 
 def vector_joined(comp: DataFrame, neg: DataFrame, sim: DataFrame, vectors: DataFrame):
@@ -46,21 +46,23 @@ def assemble_train(C: DataFrame, S: DataFrame, N: DataFrame) -> DataFrame:
     return comp_sim(C, S).join(N, "i").select("i", "c", "s", "n")
 
 
-def _role_spans(part: DataFrame, role: str):
-    ranked = distributed_rank(part, ["i", role], f"rank_{role}")
-    spans = group_spans(ranked, "i", f"rank_{role}").select(
-        "i", F.col("start").alias(f"start_{role}"), F.col("n").alias(f"k_{role}")
+def assemble_test(C: DataFrame, S: DataFrame, N: DataFrame, seed: str = "0") -> DataFrame:
+    """One tuple per (i, c): s and n drawn uniformly from the anchor's distinct sets
+    by hash(seed, i, c, 's'|'n'). The similar and negative sets are ranked together
+    (one distributed rank over (role, i, item)); each draw is an equi-join on a
+    unique rank, so a hot anchor never lands in one task and no product is formed."""
+    roles = S.select(F.lit("s").alias("role"), "i", F.col("s").alias("x")).unionByName(
+        N.select(F.lit("n").alias("role"), "i", F.col("n").alias("x"))
     )
-    members = ranked.select(F.col(f"rank_{role}").alias(f"t_{role}"), role)
-    return spans, members
+    ranked = distributed_rank(roles, ["role", "i", "x"], "r")
+    spans = ranked.groupBy("role", "i").agg(F.min("r").alias("start"), F.count(F.lit(1)).alias("k"))
 
+    def role_spans(role):
+        return spans.filter(F.col("role") == role).select(
+            "i", F.col("start").alias(f"start_{role}"), F.col("k").alias(f"k_{role}")
+        )
 
-def assemble_test(C: DataFrame, S: DataFrame, N: DataFrame, seed: str = "0") -> DataFrame:
-    """One tuple per (i, c): s and n drawn uniformly from the anchor's distinct sets
-    by hash(seed, i, c, 's'|'n'); two equi-joins on a unique rank."""
-    spans_s, mem_s = _role_spans(S, "s")
-    spans_n, mem_n = _role_spans(N, "n")
-    base = C.join(spans_s, "i").join(spans_n, "i")
+    base = C.join(role_spans("s"), "i").join(role_spans("n"), "i")
     hs = draw_hash(seed, F.col("i"), F.col("c"), "s")
     hn = draw_hash(seed, F.col("i"), F.col("c"), "n")
     base = base.select(
@@ -69,7 +71,8 @@ def assemble_test(C: DataFrame, S: DataFrame, N: DataFrame, seed: str = "0") ->
         (F.col("start_s") + pick(hs, F.col("k_s"))).alias("t_s"),
         (F.col("start_n") + pick(hn, F.col("k_n"))).alias("t_n"),
     )
-    return base.join(mem_s, "t_s").join(mem_n, "t_n").select("i", "c", "s", "n")
+    mem = lambda role: ranked.select(F.col("r").alias(f"t_{role}"), F.col("x").alias(role))
+    return base.join(mem("s"), "t_s").join(mem("n"), "t_n").select("i", "c", "s", "n")
 
 
 def anchor_fanout(comp_v: DataFrame, sim_v: DataFrame, neg_v: DataFrame) -> DataFrame:

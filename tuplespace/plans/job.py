@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tuplespace.config import TupleConfig
 from tuplespace.operators import clean, sampling, tuples
+from tuplespace.session import cut_lineage
 from tuplespace.sources import testdata
 
 
@@ -29,7 +30,8 @@ class TupleJob:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return testdata.pairs(self.spark, self.sf_dir)
+        """Written once: every later stage (label split, draws, vector filter) reads it."""
+        return cut_lineage(testdata.pairs(self.spark, self.sf_dir), "pairs")
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -53,9 +55,20 @@ class TupleJob:
         return self.draws.filter(F.col("item_id_2").isNotNull()).select("item_id_1", "item_id_2")
 
     # tuples -----------------------------------------------------------------
+    @cached_property
+    def joined_table(self) -> DataFrame:
+        """(kind, item_id_1, item_id_2) of comp, neg and sim pairs whose items have
+        vectors: one union, one pair of id joins, written once."""
+        from tuplespace.operators.enrich import labelled_union, with_vector_ids
+
+        u = with_vector_ids(labelled_union(self.comp, self.neg, self.sim), self.vectors)
+        return cut_lineage(u, "joined")
+
     @cached_property
     def joined(self):
-        return tuples.vector_joined(self.comp, self.neg, self.sim, self.vectors)
+        u = self.joined_table
+        rel = lambda k: u.filter(F.col("kind") == k).select("item_id_1", "item_id_2")
+        return rel("comp"), rel("neg"), rel("sim")
 
     @cached_property
     def parts(self):

@@ -596,9 +596,9 @@ def q_train_one_step(spark, sf_dir):
     layers = _rational_layers()
     src = BatchSource(j.tuples_train, j.vectors, FIT_BATCH, j.cfg.seed)
     batch = src(0).batch(0)
-    g, s = gradient_sums(batch, layers, M0)
+    g, s = gradient_sums(batch, layers, M0, src.matrix)
     new = sgd_step(layers, g, s[0], j.cfg.lr)
-    _, s2 = gradient_sums(batch, new, M0)
+    _, s2 = gradient_sums(batch, new, M0, src.matrix)
     data = [("rows", float(s[0])), ("loss_before", float(s[1] / s[0])), ("loss_after", float(s2[1] / s2[0])),
             ("grad_norm", float(grad_norm(g / s[0])))]
     return spark.createDataFrame(data, "metric string, value double")

@@ -46,7 +46,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_base(spark).rstrip('/')}/tuplespace/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint (survives executor loss); never a local checkpoint."""
-    checkpoint_base(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df, name: str = "stage"):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    This is the lineage cut used wherever two passes must see the same rows (for
+    example partition-local numbering): the written table survives executor loss,
+    costs one job, and the read-back is columnar with file statistics. Never a local
+    checkpoint."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
