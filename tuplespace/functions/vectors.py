@@ -48,3 +48,61 @@ def l2_normalize(v: Column) -> Column:
 def vector_text(v: Column) -> Column:
     """ARRAY -> '[a, b]' text (the reference's vector file spelling)."""
     return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: x.cast("string")), ", "), F.lit("]"))
+
+
+# --- Arrow batch kernel for data-sized distance work ----------------------------------
+# Spark's higher-order array functions are interpreted per element; for millions of
+# 64-dim pairs an Arrow batch (one 2-D numpy subtraction per batch) is cheaper.
+
+def _sq_dist_arrow(a, b):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = len(a)
+    out = np.full(n, np.nan)
+    valid = np.ones(n, dtype=bool)
+    if a.null_count or b.null_count:
+        valid &= ~(np.asarray(a.is_null()) | np.asarray(b.is_null()))
+    la = np.asarray(pc.fill_null(pc.list_value_length(a), -1))
+    lb = np.asarray(pc.fill_null(pc.list_value_length(b), -2))
+    valid &= la == lb
+    if n and valid.all() and (la == la[0]).all():
+        width = int(la[0])
+        va = np.asarray(pc.list_flatten(a), dtype=np.float64).reshape(n, width)
+        vb = np.asarray(pc.list_flatten(b), dtype=np.float64).reshape(n, width)
+        return pa.array(((va - vb) ** 2).sum(axis=1))
+    pa_list, pb_list = a.to_pylist(), b.to_pylist()
+    for k in np.nonzero(valid)[0]:
+        x = np.asarray(pa_list[k], dtype=np.float64)
+        y = np.asarray(pb_list[k], dtype=np.float64)
+        out[k] = float(((x - y) ** 2).sum())
+    return pa.array(out, mask=~valid)
+
+
+def with_sq_distances(df, specs, keep, sqrt: bool = False):
+    """Append squared distances (or distances with ``sqrt``) for each (a, b, out)
+    in ``specs``; rows keep the ``keep`` columns. Null when a vector is missing or
+    the lengths differ (as sq_distance)."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    fields = [df.schema[c] for c in keep] + [T.StructField(o, T.DoubleType()) for _, _, o in specs]
+    schema = T.StructType(fields)
+    needed = list(dict.fromkeys(list(keep) + [c for a, b, _ in specs for c in (a, b)]))
+
+    def run(batches):
+        for batch in batches:
+            arrays = [batch.column(c) for c in keep]
+            for a, b, _ in specs:
+                d = _sq_dist_arrow(batch.column(a), batch.column(b))
+                if sqrt:
+                    d = pa.array(np.sqrt(np.asarray(d.to_numpy(zero_copy_only=False))), mask=np.asarray(d.is_null()))
+                arrays.append(d)
+            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(
+                [pa.field(f.name, batch.schema.field(f.name).type) for f in fields[: len(keep)]]
+                + [pa.field(o, pa.float64()) for _, _, o in specs]
+            ))
+
+    return df.select(*needed).mapInArrow(run, schema)

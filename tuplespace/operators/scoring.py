@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuplespace.functions.vectors import sq_distance
+from tuplespace.functions.vectors import with_sq_distances
 
 ROLES = ("i", "c", "s", "n")
 
@@ -22,13 +22,8 @@ def tuple_vectors(tuples: DataFrame, outputs: DataFrame, out_col: str = "out") -
 def tuple_distances(tuples: DataFrame, outputs: DataFrame, out_col: str = "out") -> DataFrame:
     """Squared distances anchor-comp, anchor-sim, anchor-neg (d2c, d2s, d2n)."""
     tv = tuple_vectors(tuples, outputs, out_col)
-    keep = [c for c in tuples.columns]
-    return tv.select(
-        *keep,
-        sq_distance(F.col("v_i"), F.col("v_c")).alias("d2c"),
-        sq_distance(F.col("v_i"), F.col("v_s")).alias("d2s"),
-        sq_distance(F.col("v_i"), F.col("v_n")).alias("d2n"),
-    )
+    specs = [("v_i", "v_c", "d2c"), ("v_i", "v_s", "d2s"), ("v_i", "v_n", "d2n")]
+    return with_sq_distances(tv, specs, list(tuples.columns))
 
 
 def loss_terms(ms: float, mc: float, mn: float) -> dict[str, Column]:

@@ -28,11 +28,19 @@ def vector_joined(comp: DataFrame, neg: DataFrame, sim: DataFrame, vectors: Data
 
 
 def tuple_parts(comp_v: DataFrame, sim_v: DataFrame, neg_v: DataFrame):
-    """Distinct (i,c), (i,s), (i,n)."""
+    """Distinct (i,c), (i,s), (i,n), each restricted to anchors that have all three
+    roles (only they form tuples). The negatives are the bulk of the pairs, so the
+    semi-joins run before any rank, join or distance touches them; the result of
+    every tuple operator is unchanged."""
     part = lambda df, role: df.select(
         F.col("item_id_1").alias("i"), F.col("item_id_2").alias(role)
     ).distinct()
-    return part(comp_v, "c"), part(sim_v, "s"), part(neg_v, "n")
+    C, S, N = part(comp_v, "c"), part(sim_v, "s"), part(neg_v, "n")
+    anchors = C.select("i").distinct().join(S.select("i").distinct(), "i").join(
+        N.select("i").distinct(), "i"
+    )
+    keep = lambda df: df.join(anchors, "i", "left_semi")
+    return keep(C), keep(S), keep(N)
 
 
 def comp_sim(C: DataFrame, S: DataFrame) -> DataFrame:

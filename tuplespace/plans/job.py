@@ -93,6 +93,16 @@ class TupleJob:
     def tuples(self, split: str) -> DataFrame:
         return self.tuples_test if split == "test" else self.tuples_train
 
+    def materialize_tuples(self, splits=("test", "train")) -> dict[str, int]:
+        """Write the assembled tuples once (the datagen output) and read later
+        stages from the written tables; returns the tuple count per split."""
+        counts = {}
+        for split in splits:
+            table = cut_lineage(self.tuples(split), f"tuples_{split}")
+            self.__dict__[f"tuples_{split}"] = table
+            counts[split] = table.count()
+        return counts
+
     # vectors and scores -----------------------------------------------------
     @cached_property
     def pairs_v(self) -> DataFrame:
@@ -104,10 +114,10 @@ class TupleJob:
 
     @cached_property
     def pair_dist(self) -> DataFrame:
-        from tuplespace.functions.vectors import l2_distance
+        from tuplespace.functions.vectors import with_sq_distances
 
-        return self.pairs_v.select(
-            "kind", "item_id_1", "item_id_2", l2_distance(F.col("ev1"), F.col("ev2")).alias("eu")
+        return with_sq_distances(
+            self.pairs_v, [("ev1", "ev2", "eu")], ["kind", "item_id_1", "item_id_2"], sqrt=True
         )
 
     def outputs(self, layers=None) -> DataFrame:
@@ -122,8 +132,8 @@ class TupleJob:
         The test split joins the four item outputs; the train split (the per-anchor
         product) joins three per-pair distances computed once on the distinct
         (i,c), (i,s), (i,n) parts, so no vector is moved per tuple."""
+        from tuplespace.functions.vectors import with_sq_distances
         from tuplespace.operators.scoring import tuple_distances
-        from tuplespace.functions.vectors import sq_distance
 
         out = self.outputs(layers)
         if split == "test":
@@ -133,9 +143,7 @@ class TupleJob:
         def part_d2(part, role, name):
             a = out.select(F.col("item_id").alias("i"), F.col("out").alias("va"))
             b = out.select(F.col("item_id").alias(role), F.col("out").alias("vb"))
-            return part.join(a, "i").join(b, role).select(
-                "i", role, sq_distance(F.col("va"), F.col("vb")).alias(name)
-            )
+            return with_sq_distances(part.join(a, "i").join(b, role), [("va", "vb", name)], ["i", role])
 
         return (
             self.tuples_train.join(part_d2(C, "c", "d2c"), ["i", "c"])
