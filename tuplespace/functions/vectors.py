@@ -40,9 +40,16 @@ def sum_squares(v: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    """v * rsqrt(max(sum v^2, eps)); the zero vector stays zero."""
-    scale = F.lit(1.0) / F.sqrt(F.greatest(sum_squares(v), F.lit(NORM_EPS)))
-    return F.transform(v, lambda x: x.cast("double") * scale)
+    """v * rsqrt(max(sum v^2, eps)); the zero vector stays zero.
+
+    The sum of squares is bound once by aggregate's finish function (a scale
+    written inside transform's lambda would be recomputed for every element)."""
+    return F.aggregate(
+        v,
+        F.lit(0.0),
+        lambda acc, x: acc + x.cast("double") * x.cast("double"),
+        lambda ss: F.transform(v, lambda x: x.cast("double") * (F.lit(1.0) / F.sqrt(F.greatest(ss, F.lit(NORM_EPS))))),
+    )
 
 
 def vector_text(v: Column) -> Column:

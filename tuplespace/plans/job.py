@@ -121,10 +121,17 @@ class TupleJob:
         )
 
     def outputs(self, layers=None) -> DataFrame:
-        """Per-item tower output (normalised); ``layers=None`` = vectors as they are."""
+        """Per-item tower output (normalised); ``layers=None`` = vectors as they are.
+
+        Written once per weight set: it is per item (catalog-sized) and feeds four
+        tuple joins (test) or six pair joins (train)."""
         from tuplespace.operators.tower import tower_outputs
 
-        return tower_outputs(self.vectors, layers)
+        key = None if layers is None else hash(b"".join(w.tobytes() + b.tobytes() for w, b in layers))
+        cache = self.__dict__.setdefault("_outputs", {})
+        if key not in cache:
+            cache[key] = cut_lineage(tower_outputs(self.vectors, layers), "outputs")
+        return cache[key]
 
     def distances(self, split: str = "test", layers=None) -> DataFrame:
         """(i, c, s, n, d2c, d2s, d2n) for a split.
