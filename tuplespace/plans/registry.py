@@ -646,3 +646,7 @@ def q_weights_roundtrip(spark, sf_dir):
     j = job(spark, sf_dir)
     sw = margin_sweep(j.distances("test", layers), j.cfg.margins)
     return rounded(sw.select("margin_id", "n_tuples", "mean_loss", "acc_comp", "acc_sim", "acc_neg", "acc_rank"))
+
+
+# Further query groups register themselves on import.
+from tuplespace.plans import queries_io  # noqa: E402,F401
