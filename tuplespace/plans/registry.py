@@ -650,3 +650,4 @@ def q_weights_roundtrip(spark, sf_dir):
 
 # Further query groups register themselves on import.
 from tuplespace.plans import queries_io  # noqa: E402,F401
+from tuplespace.plans import queries_report  # noqa: E402,F401
