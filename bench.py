@@ -50,8 +50,11 @@ def main() -> None:
     layers = rational_weights((64, 16, 12, 8))
     timed("evaluate_tower_test", lambda: margin_sweep(j.distances("test", layers), j.cfg.margins).collect())
     timed("evaluate_tower_train", lambda: margin_sweep(j.distances("train", layers), j.cfg.margins).collect())
+    from tuplespace.operators.tower import glorot_weights
+
     cfg = replace(j.cfg, batch_size=32768, epochs=1)
-    timed("fit_sync_epoch", lambda: fit_margin(j.tuples_train, j.vectors, layers, cfg.margin, cfg))
+    init = glorot_weights((64, 16, 12, 8), cfg.init_seed)
+    timed("fit_sync_epoch", lambda: fit_margin(j.tuples_train, j.vectors, init, cfg.margin, cfg))
 
     n_test, n_train = counts.get("test", 0), counts.get("train", 0)
     total_tuples = n_test + n_train

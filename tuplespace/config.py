@@ -23,7 +23,7 @@ class TupleConfig:
     batch_size: int = 1024
     drop_remainder: bool = True          # trainer drops the last partial batch
     hidden: tuple[int, ...] = (16, 12, 8)  # tower widths after the input layer
-    lr: float = 0.05
+    lr: float = 0.005
     epochs: int = 2
     exclude_self: bool = False           # sampled similar item may be the anchor itself
     init_seed: int = 7                   # weight initialisation seed

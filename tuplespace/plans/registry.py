@@ -535,6 +535,15 @@ def _rational_layers():
     return rational_weights(DIMS)
 
 
+def _init_layers(cfg: TupleConfig | None = None):
+    """Training starts from Glorot-normal weights (seeded) like the reference; the
+    rational weights are for exact forward checks (their outputs are so small that
+    one step lets the bias dominate)."""
+    from tuplespace.operators.tower import glorot_weights
+
+    return glorot_weights(DIMS, (cfg or TupleConfig()).init_seed)
+
+
 @register(
     "tower_forward",
     with_ctes(
@@ -593,7 +602,7 @@ def q_train_one_step(spark, sf_dir):
     from tuplespace.plans.training import BatchSource
 
     j = job(spark, sf_dir)
-    layers = _rational_layers()
+    layers = _init_layers(j.cfg)
     src = BatchSource(j.tuples_train, j.vectors, FIT_BATCH, j.cfg.seed)
     batch = src(0).batch(0)
     g, s = gradient_sums(batch, layers, M0, src.matrix)
@@ -613,7 +622,7 @@ def q_train_fit(spark, sf_dir):
 
     j = job(spark, sf_dir)
     cfg = replace(j.cfg, batch_size=FIT_BATCH, epochs=1)
-    layers, rows = fit_margin(j.tuples_train, j.vectors, _rational_layers(), M0, cfg)
+    layers, rows = fit_margin(j.tuples_train, j.vectors, _init_layers(cfg), M0, cfg)
     return metrics_frame(spark, rows, new_run_id(), 0)
 
 
