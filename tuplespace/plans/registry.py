@@ -626,6 +626,24 @@ def q_train_fit(spark, sf_dir):
     return metrics_frame(spark, rows, new_run_id(), 0)
 
 
+@register("margin_fit")
+def q_margin_fit(spark, sf_dir):
+    """One epoch of synchronous SGD per margin triple (fresh weights each), test
+    evaluation after the epoch; one summary row per margin."""
+    from dataclasses import replace
+
+    from tuplespace.plans.training import margin_fit
+
+    j = job(spark, sf_dir)
+    cfg = replace(j.cfg, batch_size=FIT_BATCH, epochs=1)
+    summary, _ = margin_fit(j, cfg, _init_layers(cfg))
+    return spark.createDataFrame(
+        [tuple(float(r[k]) if k != "margin_id" else int(r[k]) for k in r) for r in summary],
+        "margin_id int, ms double, mc double, mn double, train_acc_comp double, train_acc_neg double, "
+        "train_precision double, test_acc_rank double",
+    )
+
+
 @register("metrics_log")
 def q_metrics_log(spark, sf_dir):
     """Evaluate the test split, append the metric rows to a partitioned table, read back."""
