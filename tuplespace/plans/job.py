@@ -62,7 +62,8 @@ class TupleJob:
         from tuplespace.operators.enrich import labelled_union, with_vector_ids
 
         u = with_vector_ids(labelled_union(self.comp, self.neg, self.sim), self.vectors)
-        return cut_lineage(u, "joined")
+        # partitioned by kind: each of the three relations reads only its folder
+        return cut_lineage(u, "joined", partition_by=("kind",))
 
     @cached_property
     def joined(self):
@@ -112,12 +113,20 @@ class TupleJob:
 
         return attach_vectors(labelled_union(self.comp, self.neg, self.sim), self.vectors)
 
+    @cached_property
+    def vector_table(self):
+        from tuplespace.operators.lookup import VectorTable
+
+        return VectorTable(self.vectors, max_bytes=self.cfg.score_matrix_bytes)
+
     @cached_property
     def pair_dist(self) -> DataFrame:
-        from tuplespace.functions.vectors import with_sq_distances
+        """(kind, item_id_1, item_id_2, eu) for the three pair relations (J2 + V1)."""
+        from tuplespace.operators.enrich import labelled_union
 
-        return with_sq_distances(
-            self.pairs_v, [("ev1", "ev2", "eu")], ["kind", "item_id_1", "item_id_2"], sqrt=True
+        pairs = labelled_union(self.comp, self.neg, self.sim)
+        return self.vector_table.sq_distances(
+            pairs, [("item_id_1", "item_id_2", "eu")], ["kind", "item_id_1", "item_id_2"], sqrt=True
         )
 
     def outputs(self, layers=None) -> DataFrame:
@@ -136,25 +145,24 @@ class TupleJob:
     def distances(self, split: str = "test", layers=None) -> DataFrame:
         """(i, c, s, n, d2c, d2s, d2n) for a split.
 
-        The test split joins the four item outputs; the train split (the per-anchor
-        product) joins three per-pair distances computed once on the distinct
-        (i,c), (i,s), (i,n) parts, so no vector is moved per tuple."""
-        from tuplespace.functions.vectors import with_sq_distances
-        from tuplespace.operators.scoring import tuple_distances
+        The test split looks up the four item outputs; the train split (the
+        per-anchor product) joins three per-pair distances computed once on the
+        distinct (i,c), (i,s), (i,n) parts, so no vector is moved per tuple."""
+        from tuplespace.operators.lookup import VectorTable
 
-        out = self.outputs(layers)
+        key = None if layers is None else hash(b"".join(w.tobytes() + b.tobytes() for w, b in layers))
+        tables = self.__dict__.setdefault("_out_tables", {})
+        if key not in tables:
+            tables[key] = VectorTable(self.outputs(layers), "out", max_bytes=self.cfg.score_matrix_bytes)
+        vt = tables[key]
         if split == "test":
-            return tuple_distances(self.tuples_test, out)
+            specs = [("i", "c", "d2c"), ("i", "s", "d2s"), ("i", "n", "d2n")]
+            return vt.sq_distances(self.tuples_test, specs, ["i", "c", "s", "n"])
         C, S, N = self.parts
-
-        def part_d2(part, role, name):
-            a = out.select(F.col("item_id").alias("i"), F.col("out").alias("va"))
-            b = out.select(F.col("item_id").alias(role), F.col("out").alias("vb"))
-            return with_sq_distances(part.join(a, "i").join(b, role), [("va", "vb", name)], ["i", role])
-
+        dC = vt.sq_distances(C, [("i", "c", "d2c")], ["i", "c"])
+        dS = vt.sq_distances(S, [("i", "s", "d2s")], ["i", "s"])
+        dN = vt.sq_distances(N, [("i", "n", "d2n")], ["i", "n"])
         return (
-            self.tuples_train.join(part_d2(C, "c", "d2c"), ["i", "c"])
-            .join(part_d2(S, "s", "d2s"), ["i", "s"])
-            .join(part_d2(N, "n", "d2n"), ["i", "n"])
+            self.tuples_train.join(dC, ["i", "c"]).join(dS, ["i", "s"]).join(dN, ["i", "n"])
             .select("i", "c", "s", "n", "d2c", "d2s", "d2n")
         )

@@ -46,7 +46,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_base(spark).rstrip('/')}/tuplespace/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df, name: str = "stage"):
+def cut_lineage(df, name: str = "stage", partition_by: tuple[str, ...] = ()):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     This is the lineage cut used wherever two passes must see the same rows (for
@@ -55,5 +55,26 @@ def cut_lineage(df, name: str = "stage"):
     checkpoint."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    with job_label(spark, f"write {name}"):
+        writer = df.write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
+    out = spark.read.parquet(path)
+    return out.select(*df.columns) if partition_by else out
+
+
+class job_label:
+    """Context manager naming the Spark jobs started inside it (event log / UI)."""
+
+    def __init__(self, spark: SparkSession, text: str):
+        self.sc, self.text = spark.sparkContext, text
+
+    def __enter__(self):
+        self.prev = self.sc.getLocalProperty("spark.job.description")
+        self.sc.setJobDescription(f"tuplespace: {self.text}")
+        return self
+
+    def __exit__(self, *exc):
+        self.sc.setJobDescription(self.prev)
+        return False
