@@ -27,10 +27,12 @@ def distributed_rank(
     shared checkpoint folder so that both passes (counts and numbering) see the same
     rows, also after an executor is lost.
     """
-    spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without an explicit count AQE sizes the range partitions by bytes (it merges
+    # adjacent ranges, which keeps them in order); a count pins them (tests).
+    ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
+              else df.repartitionByRange(*order_cols))
     numbered = (
-        df.repartitionByRange(parts, *order_cols)
+        ranged
         .sortWithinPartitions(*order_cols)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn(
@@ -61,10 +63,8 @@ def running_totals(df: DataFrame, order_col: str, cols: list[str], suffix: str =
     """Cumulative sums of ``cols`` in ``order_col`` order without a one-task window:
     range partitions get local running sums, shifted by the totals of all earlier
     partitions (a window over P rows only)."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = cut_lineage(
-        df.repartitionByRange(parts, order_col).withColumn("_pid", F.spark_partition_id()), "running"
+        df.repartitionByRange(order_col).withColumn("_pid", F.spark_partition_id()), "running"
     )
     local = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     with_local = tagged.withColumns({f"_l_{c}": F.sum(c).over(local) for c in cols})

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 def save_index(index: DataFrame, path: str, partitions: int | None = None) -> None:
     """Range-partitioned and sorted by (path, item_id): a lookup of one path reads
     the files whose min/max statistics cover it."""
-    spark = index.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (index.repartitionByRange(n, "path", "item_id").sortWithinPartitions("path", "item_id")
+    ranged = (index.repartitionByRange(partitions, "path", "item_id") if partitions
+              else index.repartitionByRange("path", "item_id"))
+    (ranged.sortWithinPartitions("path", "item_id")
      .write.mode("overwrite").parquet(path))
 
 
