@@ -80,6 +80,12 @@ def test_tuple_assembly(spark):
     brute = {(c[0], c[1], s[1], n[1]) for c in comp_v.collect() for s in sim_v.collect() for n in neg_v.collect()
              if c[0] == s[0] == n[0]}
     assert train == brute
+    # a hot anchor split into cells (1 or 2 items per side) gives the same rows, each once
+    for side in (1, 2):
+        cells = tuples.assemble_train(C, S, N, cell_side=side).collect()
+        assert len(cells) == len(brute) and {tuple(r) for r in cells} == brute
+    cs = tuples.salted_product([(C, "c"), (S, "s")], cell_side=1).collect()
+    assert sorted(map(tuple, cs)) == sorted(tuples.comp_sim(C, S).collect())
     counts = tuples.tuple_counts(tuples.anchor_fanout(comp_v, sim_v, neg_v)).first()
     assert counts["tuples_before_dedup"] == 3 * 3 * 2 and counts["tuples_train"] == 12
     test = tuples.assemble_test(C, S, N).collect()

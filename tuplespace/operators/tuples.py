@@ -43,15 +43,59 @@ def tuple_parts(comp_v: DataFrame, sim_v: DataFrame, neg_v: DataFrame):
     return keep(C), keep(S), keep(N)
 
 
+# Fixed value: items per side of one cell of an anchor's product (a cell of a
+# three-way product then holds up to 128**3 = 2,097,152 tuples).
+CELL_SIDE = 128
+
+
+def salted_product(parts: list[tuple[DataFrame, str]], cell_side: int = CELL_SIDE) -> DataFrame:
+    """Per-anchor product of the parts ``[(df(i, x), x), ...]``, split into cells.
+
+    An anchor's product is a grid with one axis per part. Each axis is cut into
+    m_x = ceil(k_x / cell_side) chunks (k_x = the anchor's rows in that part; a row
+    goes to chunk xxhash64(x) mod m_x), and each cell of the grid is one join key
+    (i, cell). A row is copied to every cell that shares its chunk, so every output
+    row is made in exactly one cell. An ordinary anchor (all k_x <= cell_side) is one
+    cell with no copies; a hot anchor is spread over prod(m_x) cells, i.e. over many
+    tasks, while the copies stay a small fraction (about 1 / cell_side**(P-1) per
+    part) of the output it must produce anyway."""
+    counts = None
+    for df, x in parts:
+        c = df.groupBy("i").agg(F.count(F.lit(1)).alias(f"_k_{x}"))
+        counts = c if counts is None else counts.join(c, "i")
+    m = {x: F.greatest(F.lit(1), F.ceil(F.col(f"_k_{x}") / F.lit(cell_side))).cast("long")
+         for _, x in parts}
+    stride, strides = F.lit(1).cast("long"), {}
+    for _, x in parts:
+        strides[x] = stride
+        stride = stride * F.col(f"_m_{x}")
+    shares = counts.select(
+        "i", *[m[x].alias(f"_m_{x}") for _, x in parts],
+        *[strides[x].alias(f"_st_{x}") for _, x in parts], stride.alias("_cells"),
+    )
+    out = None
+    for df, x in parts:
+        mx, st = F.col(f"_m_{x}"), F.col(f"_st_{x}")
+        own = F.pmod(F.xxhash64(x), mx)
+        t = F.col("_t")
+        keyed = (
+            df.join(shares, "i")
+            .withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_cells") / mx).cast("long") - 1)))
+            .select("i", x, (F.pmod(t, st) + own * st + F.floor(t / st) * st * mx).alias("_cell"))
+        )
+        out = keyed if out is None else out.join(keyed, ["i", "_cell"])
+    return out.select("i", *[x for _, x in parts])
+
+
 def comp_sim(C: DataFrame, S: DataFrame) -> DataFrame:
     """Every complementary x every similar item of the anchor (distinct rows)."""
-    return C.join(S, "i").select("i", "c", "s")
+    return salted_product([(C, "c"), (S, "s")])
 
 
-def assemble_train(C: DataFrame, S: DataFrame, N: DataFrame) -> DataFrame:
-    """All distinct (i, c, s, n). The output itself is the per-anchor product; the
-    joins run on ENSURE_REQUIREMENTS exchanges so AQE splits a hot anchor."""
-    return comp_sim(C, S).join(N, "i").select("i", "c", "s", "n")
+def assemble_train(C: DataFrame, S: DataFrame, N: DataFrame, cell_side: int = CELL_SIDE) -> DataFrame:
+    """All distinct (i, c, s, n): the per-anchor product, made cell by cell so a hot
+    anchor is split over many tasks (``salted_product``)."""
+    return salted_product([(C, "c"), (S, "s"), (N, "n")], cell_side)
 
 
 def assemble_test(C: DataFrame, S: DataFrame, N: DataFrame, seed: str = "0") -> DataFrame:
