@@ -139,13 +139,11 @@ def test_minibatches_epoch_reshuffles(spark):
     assert sorted(e0.values()) == list(range(64)) and e0 != e1
 
 
-@pytest.mark.parametrize("max_bytes", [0, 1 << 20])
-def test_vector_table_both_strategies(spark, max_bytes):
+def test_vector_table_distances(spark):
     from tuplespace.operators.lookup import VectorTable
 
     vecs = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 1.0]), ("c", [0.0, 0.0])], "item_id string, ev array<double>")
     pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "zz")], "x string, y string")
-    vt = VectorTable(vecs, max_bytes=max_bytes)
-    assert vt.broadcast == (max_bytes > 0)
+    vt = VectorTable(vecs)
     got = {(r["x"], r["y"]): r["d2"] for r in vt.sq_distances(pairs, [("x", "y", "d2")], ["x", "y"]).collect()}
     assert got == {("a", "b"): 5.0, ("a", "c"): 5.0}

@@ -27,10 +27,6 @@ class TupleConfig:
     epochs: int = 2
     exclude_self: bool = False           # sampled similar item may be the anchor itself
     init_seed: int = 7                   # weight initialisation seed
-    # Scoring looks vectors up by join (measured as fast as a broadcast matrix at
-    # sf0.1, with no driver collect); set > 0 to ship per-item vectors up to this
-    # many bytes as a broadcast matrix instead (size checked by an aggregate).
-    score_matrix_bytes: int = 0
     extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     @property

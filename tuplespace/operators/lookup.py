@@ -1,24 +1,18 @@
 """Item lookups: titles of tuple items (J7) and the vector table used for distances.
 
-``VectorTable`` is the embedding-matrix lookup of the reference, chosen by size:
-when an aggregate proves the per-item vectors fit ``max_bytes``, they are shipped
-to the tasks once as a broadcast matrix and rows carry only int positions (a join
-on ids, no vector payload in any shuffle); otherwise the vectors are joined to the
-rows and shuffled with them.
+``VectorTable`` is the embedding-matrix lookup of the reference as a join: the
+per-item vectors are joined to the rows by id (Catalyst and AQE pick broadcast or
+sort-merge by runtime size), and the distances run on Arrow batches. No item
+matrix is collected on the driver.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tuplespace.operators.scoring import ROLES
 
-# Largest per-item matrix shipped to every task as a broadcast (checked size).
-MATRIX_MAX_BYTES = 256 * 1024 * 1024
-
 
 def tuple_titles(tuples: DataFrame, titles: DataFrame) -> DataFrame:
     df = tuples
@@ -28,64 +22,17 @@ def tuple_titles(tuples: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 class VectorTable:
-    def __init__(self, vectors: DataFrame, vec_col: str = "ev", max_bytes: int = MATRIX_MAX_BYTES):
-        from tuplespace.operators.encode import dense_ids
-
+    def __init__(self, vectors: DataFrame, vec_col: str = "ev"):
         self.vectors = vectors.select("item_id", F.col(vec_col).alias("vec"))
-        self.ids = None
-        self.matrix = None
-        if max_bytes <= 0:
-            return
-        n, dim = self.vectors.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-        if n and dim and n * dim * 8 <= max_bytes:
-            self.ids = dense_ids(self.vectors)
-            pdf = self.vectors.join(self.ids, "item_id").select("idx", "vec").toPandas()
-            mat = np.full((int(n), int(dim)), np.nan)
-            lengths = pdf["vec"].map(len).to_numpy()
-            for k in np.nonzero(lengths == dim)[0]:
-                mat[int(pdf["idx"].iat[k])] = np.asarray(pdf["vec"].iat[k], dtype=np.float64)
-            self.matrix = vectors.sparkSession.sparkContext.broadcast(mat)
-
-    @property
-    def broadcast(self) -> bool:
-        return self.matrix is not None
-
-    def positions(self, df: DataFrame, cols) -> DataFrame:
-        """Add ``<col>_idx`` (item position) for each id column (inner joins)."""
-        for c in cols:
-            df = df.join(self.ids.select(F.col("item_id").alias(c), F.col("idx").alias(f"{c}_idx")), c)
-        return df
 
     def sq_distances(self, df: DataFrame, specs, keep, sqrt: bool = False) -> DataFrame:
         """For each (a_id, b_id, out) add the squared (or plain, with ``sqrt``)
         distance between the two items' vectors; rows whose items have no vector
-        are dropped (inner-join semantics either way)."""
-        ids = list(dict.fromkeys(c for a, b, _ in specs for c in (a, b)))
-        if not self.broadcast:
-            from tuplespace.functions.vectors import with_sq_distances
+        are dropped (inner-join semantics)."""
+        from tuplespace.functions.vectors import with_sq_distances
 
-            joined = df
-            for c in ids:
-                joined = joined.join(self.vectors.select(F.col("item_id").alias(c), F.col("vec").alias(f"{c}_vec")), c)
-            return with_sq_distances(joined, [(f"{a}_vec", f"{b}_vec", o) for a, b, o in specs], keep, sqrt)
-        rows = self.positions(df, ids)
-        fields = [df.schema[c] for c in keep] + [T.StructField(o, T.DoubleType()) for _, _, o in specs]
-        schema = T.StructType(fields)
-        matrix = self.matrix
-
-        def run(batches):
-            import pyarrow as pa
-
-            m = matrix.value
-            for batch in batches:
-                arrays = [batch.column(c) for c in keep]
-                for a, b, _ in specs:
-                    va = m[np.asarray(batch.column(f"{a}_idx"))]
-                    vb = m[np.asarray(batch.column(f"{b}_idx"))]
-                    d = ((va - vb) ** 2).sum(axis=1)
-                    if sqrt:
-                        d = np.sqrt(d)
-                    arrays.append(pa.array(d, mask=np.isnan(d)))
-                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
-
-        return rows.select(*keep, *[f"{c}_idx" for c in ids]).mapInArrow(run, schema)
+        ids = list(dict.fromkeys(c for a, b, _ in specs for c in (a, b)))
+        joined = df
+        for c in ids:
+            joined = joined.join(self.vectors.select(F.col("item_id").alias(c), F.col("vec").alias(f"{c}_vec")), c)
+        return with_sq_distances(joined, [(f"{a}_vec", f"{b}_vec", o) for a, b, o in specs], keep, sqrt)

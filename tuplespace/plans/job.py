@@ -117,7 +117,7 @@ class TupleJob:
     def vector_table(self):
         from tuplespace.operators.lookup import VectorTable
 
-        return VectorTable(self.vectors, max_bytes=self.cfg.score_matrix_bytes)
+        return VectorTable(self.vectors)
 
     @cached_property
     def pair_dist(self) -> DataFrame:
@@ -153,7 +153,7 @@ class TupleJob:
         key = None if layers is None else hash(b"".join(w.tobytes() + b.tobytes() for w, b in layers))
         tables = self.__dict__.setdefault("_out_tables", {})
         if key not in tables:
-            tables[key] = VectorTable(self.outputs(layers), "out", max_bytes=self.cfg.score_matrix_bytes)
+            tables[key] = VectorTable(self.outputs(layers), "out")
         vt = tables[key]
         if split == "test":
             specs = [("i", "c", "d2c"), ("i", "s", "d2s"), ("i", "n", "d2n")]
