@@ -49,8 +49,8 @@ BASE = {
         "LEFT JOIN idx_sizes z ON z.path = d.path "
         "LEFT JOIN idx_ranked o ON o.path = d.path AND o.item_id = d.item_id_1 "
         "LEFT JOIN idx_ranked r ON r.path = d.path AND z.n > 1 AND r.r = "
-        f"({H(SEED, 'd.item_id_1', 'd.comp_id', chr(39) + 'item' + chr(39))} % (z.n - 1)) + "
-        f"CASE WHEN ({H(SEED, 'd.item_id_1', 'd.comp_id', chr(39) + 'item' + chr(39))} % (z.n - 1)) >= o.r "
+        f"({H(SEED, 'd.item_id_1', 'd.comp_id', chr(39) + 'item' + chr(39))} % NULLIF(z.n - 1, 0)) + "
+        f"CASE WHEN ({H(SEED, 'd.item_id_1', 'd.comp_id', chr(39) + 'item' + chr(39))} % NULLIF(z.n - 1, 0)) >= o.r "
         "THEN 1 ELSE 0 END"
     ),
     "sim": "SELECT item_id_1, item_id_2 FROM draws_item WHERE item_id_2 IS NOT NULL",
