@@ -147,3 +147,15 @@ def test_vector_table_distances(spark):
     vt = VectorTable(vecs)
     got = {(r["x"], r["y"]): r["d2"] for r in vt.sq_distances(pairs, [("x", "y", "d2")], ["x", "y"]).collect()}
     assert got == {("a", "b"): 5.0, ("a", "c"): 5.0}
+
+
+def test_hot_anchor_product_is_whole(spark):
+    """One anchor with 300 complementary items is cut into 3 cells on that axis; the
+    product still has every (c, s, n) exactly once, next to an ordinary anchor."""
+    C = spark.createDataFrame([("h", f"c{k}") for k in range(300)] + [("o", "c0")], "i string, c string")
+    S = spark.createDataFrame([("h", "s0"), ("h", "s1"), ("h", "s2"), ("o", "s0")], "i string, s string")
+    N = spark.createDataFrame([("h", "n0"), ("h", "n1"), ("o", "n0")], "i string, n string")
+    got = [tuple(r) for r in tuples.assemble_train(C, S, N).collect()]
+    cs, ss, ns = C.collect(), S.collect(), N.collect()
+    brute = {(i, c, s, n) for i, c in cs for j, s in ss for k, n in ns if i == j == k}
+    assert len(got) == len(brute) == 300 * 3 * 2 + 1 and set(got) == brute
