@@ -77,8 +77,8 @@ def test_tuple_assembly(spark):
     train = {tuple(r) for r in tuples.assemble_train(C, S, N).collect()}
     # anchor b has no negative, z no vector: only a forms tuples, 3 c x 2 distinct s x 2 n
     assert len(train) == 12 and {t[0] for t in train} == {"a"}
-    brute = {(c[0], c[1], s[1], n[1]) for c in comp_v.collect() for s in sim_v.collect() for n in neg_v.collect()
-             if c[0] == s[0] == n[0]}
+    cv, sv, nv = comp_v.collect(), sim_v.collect(), neg_v.collect()
+    brute = {(c[0], c[1], s[1], n[1]) for c in cv for s in sv for n in nv if c[0] == s[0] == n[0]}
     assert train == brute
     # a hot anchor split into cells (1 or 2 items per side) gives the same rows, each once
     for side in (1, 2):
