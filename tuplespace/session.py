@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
@@ -10,6 +12,7 @@ from pyspark.sql import SparkSession
 
 def local_session(cores: str = "*", partitions: int = 8, app: str = "tuplespace") -> SparkSession:
     """Local session used by tests and the bench; a cluster passes its own session."""
+    shared = os.environ.get("TUPLESPACE_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="tuplespace-ckpt-")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -22,6 +25,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "tuplespace"
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", shared)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -29,16 +33,19 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "tuplespace"
 
 
 def checkpoint_base(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints; ours only when none is set."""
+    """The shared folder the cluster names for checkpoints.
+
+    Intermediate tables are read by every executor, so there is no fallback to a
+    machine-local folder on a cluster: a session without ``spark.checkpoint.dir`` is
+    refused. Only a local master (one machine, as in tests) gets a temporary folder."""
     sc = spark.sparkContext
-    base = sc.getCheckpointDir()
+    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = tempfile.mkdtemp(prefix="tuplespace-ckpt-")
-    sc.setCheckpointDir(conf)
-    return sc.getCheckpointDir() or conf
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tuplespace-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -60,8 +67,19 @@ def cut_lineage(df, name: str = "stage", partition_by: tuple[str, ...] = ()):
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
-    out = spark.read.parquet(path)
-    return out.select(*df.columns) if partition_by else out
+    out = spark.read.schema(df.schema).parquet(path)
+    out = out.select(*df.columns) if partition_by else out
+    out._tuplespace_path = path
+    return out
+
+
+def drop_table(df) -> None:
+    """Delete the folder behind a table made by :func:`cut_lineage` (no further use)."""
+    path = getattr(df, "_tuplespace_path", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 class job_label:
