@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tuplespace.llm.common import read_table
+from tuplespace.llm.langid import identify_languages
 from tuplespace.llm.minhash import near_duplicates
 from tuplespace.llm.token_orc import tokenize_documents
 
@@ -18,6 +19,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,7 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_langid": op2_langid,
     "op5_minhash": op5_minhash,
     "op8_token_orc": op8_token_orc,
 }
