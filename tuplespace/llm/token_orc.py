@@ -27,7 +27,7 @@ from tuplespace.llm.common import text_blocks
 from tuplespace.session import scratch_path
 
 END_ID = 2
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 700_000
 # Words of a-z and the letters of Latin-1: composed already, and lower-cased one by one.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 # ASCII punctuation that starts no contraction.
@@ -63,30 +63,39 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.cores: dict[bytes, list[int]] = {}
-        self.first = np.zeros(1, np.int64)  # where each piece's ids begin in the pool
+        self.index: dict[bytes, int] = {b"": 0}  # piece: its number
+        self.first = np.zeros(2, np.int64)  # by number, where the piece's ids begin in the pool
         self.pool = np.zeros(0, np.int32)
 
+    def add(self, pieces: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces)), strict=True))
+        self.first = np.r_[self.first, self.first[-1] + np.cumsum(sizes)]
+        self.pool = np.r_[self.pool, ids]
+
     def learn_cores(self, cores: list[bytes]) -> None:
         ascii, latin, other = [], [], []
         for c in cores:
             (other if not _PLAIN.fullmatch(c) else ascii if c.isascii() else latin).append(c)
         for coder, plain in ((self.ascii, ascii), (self.latin, latin)):
+            found, sizes, done = [], [], []
             for begin in range(0, len(plain), 512):
                 some = plain[begin : begin + 512]
                 small = b" ".join(some).decode().lower()
-                ids = coder.encode_batch_fast([small], add_special_tokens=False)[0].ids
-                cuts = np.r_[0, np.flatnonzero(self.ends[ids]) + 1].tolist()
-                if len(cuts) == len(some) + 1:
-                    for core, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
-                        self.cores[core] = ids[a:b]
+                ids = np.array(coder.encode_batch_fast([small], add_special_tokens=False)[0].ids, np.int32)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) == len(some):
+                    found.append(ids)
+                    sizes.append(np.diff(np.r_[0, cuts]))
+                    done += some
                 else:
                     other += some
-        for begin in range(0, len(other), 512):
-            some = other[begin : begin + 512]
-            found = self.full.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-            self.cores.update((c, e.ids) for c, e in zip(some, found, strict=True))
+            if done:
+                self.add(done, np.concatenate(sizes), np.concatenate(found))
+        for begin in range(0, len(other), 4096):
+            some = other[begin : begin + 4096]
+            found = [e.ids for e in self.full.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.add(some, sizes, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())))
 
     def learn(self, pieces: list[bytes]) -> None:
         split = []
@@ -95,14 +104,19 @@ class WordEncoder:
             if len(core) < len(piece) and not _PLAIN.fullmatch(core):
                 core = piece
             split.append((core, piece[len(core):]))
-        known = self.cores
-        self.learn_cores([c for c in dict.fromkeys(c for pair in split for c in pair) if c and c not in known])
-        known[b""] = []
-        ids = [known[core] + known[tail] if tail else known[core] for core, tail in split]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.first = np.r_[self.first, self.first[-1] + np.cumsum(sizes)]
-        self.pool = np.r_[self.pool, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))]
-        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces)), strict=True))
+        index = self.index
+        self.learn_cores([c for c in dict.fromkeys(c for pair in split for c in pair) if c not in index])
+        tailed = [pair for pair in split if pair[1]]
+        parts = np.fromiter((index[c] for pair in tailed for c in pair), np.int64, 2 * len(tailed))
+        sizes, ids = self.gather(parts)
+        self.add([core + tail for core, tail in tailed], sizes[::2] + sizes[1::2], ids)
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids per piece, all ids in order) of the pieces with these numbers."""
+        begins = self.first[numbers]
+        sizes = self.first[numbers + 1] - begins
+        before = np.cumsum(sizes) - sizes
+        return sizes, self.pool[np.repeat(begins - before, sizes) + np.arange(int(sizes.sum()))]
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, each followed by ``end_id``."""
@@ -121,12 +135,8 @@ class WordEncoder:
             new = [words[k] for k in missing.tolist()]
             self.learn(list(dict.fromkeys(new)))
             which[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
-        begins = self.first[which]
-        sizes = self.first[which + 1] - begins
-        before = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(sizes, out=before[1:])
-        ids = self.pool[np.repeat(begins - before[:-1], sizes) + np.arange(before[-1])]
-        ends = before[np.cumsum(counts)]
+        sizes, ids = self.gather(which)
+        ends = np.r_[0, np.cumsum(sizes)][np.cumsum(counts)]
         return np.insert(ids, ends, end_id), np.r_[0, ends + np.arange(1, len(texts) + 1)]
 
 
