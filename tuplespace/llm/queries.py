@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tuplespace.llm.common import read_table
+from tuplespace.llm.decontam import contaminated
 from tuplespace.llm.langid import identify_languages
 from tuplespace.llm.minhash import near_duplicates
 from tuplespace.llm.token_orc import tokenize_documents
@@ -27,6 +28,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize_documents(spark, read_table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -34,6 +39,7 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op5_minhash": op5_minhash,
+    "op7_decontam": op7_decontam,
     "op8_token_orc": op8_token_orc,
 }
 
