@@ -10,6 +10,7 @@ from tuplespace.llm.common import read_table
 from tuplespace.llm.decontam import contaminated
 from tuplespace.llm.langid import identify_languages
 from tuplespace.llm.minhash import near_duplicates
+from tuplespace.llm.mixing import mix_report
 from tuplespace.llm.token_orc import tokenize_documents
 
 
@@ -36,11 +37,16 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize_documents(spark, read_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op5_minhash": op5_minhash,
     "op7_decontam": op7_decontam,
     "op8_token_orc": op8_token_orc,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE: dict[str, str] = {}
