@@ -1,17 +1,51 @@
 """The corpus pipeline over ``documents``, stage by stage; each stage's rows are written and reread.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.
+All stages but the last return the columns of ``docs``. No stage reads what an earlier one dropped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tuplespace.llm.common import read_table
+from tuplespace.llm.decontam import decontaminate
+from tuplespace.llm.langid import UNKNOWN, train_language_model
+from tuplespace.llm.minhash import near_duplicates
+from tuplespace.llm.mixing import mix
 from tuplespace.llm.queries import word_tokenizer
 from tuplespace.llm.token_orc import tokenize_documents
 from tuplespace.session import cut_lineage
 
+# A document whose best language has a calibrated probability under this is rejected.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; texts without letters and undecided ones go."""
+    predicted = train_language_model(docs).predict(docs)
+    return predicted.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id.
+
+    Of rows that repeat that id one stays. Rows of a group without any id stay."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    return left.where("doc_id IS NULL").unionByName(left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the ``benchmark`` table."""
+    return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents the mix takes, one row for each time it takes them."""
+    return mix(docs)
+
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all that is left, written as ORC; one row per document read back from the files."""
@@ -19,6 +53,10 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("language_id", language_id),
+    ("minhash_near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
     ("token_orc", token_output),
 ]
 

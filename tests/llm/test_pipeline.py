@@ -1,0 +1,55 @@
+import re
+
+import corpus_pipeline as P
+from tuplespace.llm.queries import word_tokenizer
+from tuplespace.llm.token_orc import WordEncoder
+
+
+def grams(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(words[k:k + 5]) for k in range(len(words) - 4)} or {tuple(words)}
+
+
+def plain(text):
+    return " " + " ".join("".join(c if c.isalnum() else " " for c in text.lower()).split()) + " "
+
+
+def test_stages_on_their_own_input(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    columns, rows = docs.columns, {r.doc_id: r for r in docs.collect()}
+    after = {}
+    for name, stage in P.STAGES:
+        docs = P.cut_lineage(stage(spark, docs, sf_small), f"test-{name}")
+        assert name == "token_orc" or docs.columns == columns
+        after[name] = [r.doc_id for r in docs.collect()]
+    langs, once, clean, mixed, tokens = (after[name] for name, _ in P.STAGES)
+    # Language ID keeps all documents with letters.
+    assert sorted(langs) == sorted(i for i, r in rows.items() if re.search(r"[^\W\d_]", r.text or ""))
+    # One of each group of near copies stays: no links among the kept, each dropped one is linked.
+    sets = {i: grams(rows[i].text) for i in langs}
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    assert not any(linked(a, b) for a in once for b in once if a < b)
+    assert all(any(linked(a, b) for b in langs if b != a) for a in set(langs) - set(once))
+    items = [r.text for r in spark.read.parquet(f"{sf_small}/benchmark.parquet").collect()]
+    assert sorted(clean) == sorted(i for i in once if not any(plain(t) in plain(rows[i].text) for t in items))
+    assert set(mixed) <= set(clean) and max(mixed.count(i) for i in set(mixed)) <= 2
+    assert sorted(tokens) == sorted(mixed)
+    coder = WordEncoder(word_tokenizer())
+    sizes = {i: len(coder.full.encode(rows[i].text, add_special_tokens=False).ids) + 1 for i in set(mixed)}
+    start = 0
+    for r in sorted(docs.collect(), key=lambda r: r.start):
+        assert (r.start, r.n_tokens) == (start, sizes[r.doc_id])
+        start += r.n_tokens
+
+
+def test_odd_rows_pass_all_stages(spark, sf_small):
+    rows = [(None, "the text has no id and is short", "en"), (1, None, "en"), (2, "", None), (3, "12 3", "en"), (4, "the cat and the dog", "en"),
+            (4, "the cat and the dog", "en"), (5, "der hund und die katze", "de"), (6, "wort " * 30000, None)]
+    docs = spark.createDataFrame([(i, t, g, None, 0) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in P.STAGES:
+        docs = P.cut_lineage(stage(spark, docs, sf_small), f"odd-{name}")
+    assert {r.doc_id for r in docs.collect()} <= {None, 4, 5, 6}
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in P.STAGES:
+        empty = P.cut_lineage(stage(spark, empty, sf_small), f"empty-{name}")
+    assert empty.collect() == []
