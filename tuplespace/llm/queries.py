@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tuplespace.llm.common import read_table
 from tuplespace.llm.decontam import contaminated
 from tuplespace.llm.langid import identify_languages
+from tuplespace.llm.lines import LINES_SQL, line_report
 from tuplespace.llm.minhash import near_duplicates
 from tuplespace.llm.mixing import mix_report
 from tuplespace.llm.token_orc import tokenize_documents
+from tuplespace.llm.urls import filter_urls, urls_sql
 
 
 def word_tokenizer() -> str:
@@ -25,10 +27,18 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
 
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(read_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read_table(spark, sf_dir, "pages"))
+
+
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -43,10 +53,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
+    "op4_line_runs": op4_line_runs,
     "op5_minhash": op5_minhash,
+    "op6_url_ratio": op6_url_ratio,
     "op7_decontam": op7_decontam,
     "op8_token_orc": op8_token_orc,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_line_runs": LINES_SQL,
+    "op6_url_ratio": urls_sql(),
+}
