@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tuplespace.llm.common import read_table
 from tuplespace.llm.decontam import contaminated
+from tuplespace.llm.kdshards import shard_report
 from tuplespace.llm.langid import identify_languages
 from tuplespace.llm.lines import LINES_SQL, line_report
 from tuplespace.llm.minhash import near_duplicates
@@ -27,6 +28,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
 
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(read_table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
+    "op3_kd_shards": op3_kd_shards,
     "op4_line_runs": op4_line_runs,
     "op5_minhash": op5_minhash,
     "op6_url_ratio": op6_url_ratio,
