@@ -13,6 +13,7 @@ from tuplespace.llm.langid import identify_languages
 from tuplespace.llm.lines import LINES_SQL, line_report
 from tuplespace.llm.minhash import near_duplicates
 from tuplespace.llm.mixing import mix_report
+from tuplespace.llm.onebit import nearest
 from tuplespace.llm.token_orc import tokenize_documents
 from tuplespace.llm.urls import filter_urls, urls_sql
 
@@ -24,6 +25,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_one_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_one_bit": op1_one_bit,
     "op2_langid": op2_langid,
     "op3_kd_shards": op3_kd_shards,
     "op4_line_runs": op4_line_runs,
