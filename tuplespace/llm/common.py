@@ -91,8 +91,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = S
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes with A-Z lower-cased (spans are disjoint, ascending)."""
+SAME_BYTES = np.arange(256, dtype=np.uint8)
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = ASCII_LOWER) -> np.ndarray:
+    """64-bit hash of each span of bytes, mapped by ``table`` (A-Z lower-cased unless another is given)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
@@ -104,7 +107,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     power = np.ones(int(lengths.max()), np.uint64)
     power[1:] = _MULT
     np.cumprod(power, out=power)
-    terms = (ASCII_LOWER[data[where]].astype(np.uint64) + np.uint64(1)) * power[place]
+    terms = (table[data[where]].astype(np.uint64) + np.uint64(1)) * power[place]
     return mix64(np.add.reduceat(terms, first) + lengths.astype(np.uint64) * _MIX1)
 
 

@@ -14,6 +14,7 @@ from tuplespace.llm.lines import LINES_SQL, line_report
 from tuplespace.llm.minhash import near_duplicates
 from tuplespace.llm.mixing import mix_report
 from tuplespace.llm.onebit import nearest
+from tuplespace.llm.suffix_dedup import repeated_passages
 from tuplespace.llm.token_orc import tokenize_documents
 from tuplespace.llm.urls import filter_urls, urls_sql
 
@@ -57,6 +58,10 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize_documents(spark, read_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read_table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_ratio": op6_url_ratio,
     "op7_decontam": op7_decontam,
     "op8_token_orc": op8_token_orc,
+    "op9_suffix_array": op9_suffix_array,
     "op10_mixing": op10_mixing,
 }
 
