@@ -4,11 +4,14 @@ Test items are cut into units of at most ``UNIT_WORDS`` words and indexed: posti
 per term in unit order, in blocks of ``BLOCK_UNITS`` units, each with its largest
 impact. Impacts are divided by the unit's own best score, so that a threshold means
 a share of a perfect match. Every document is cut into overlapping passages, long
-enough that any unit lies whole in one of them. A passage is a query: cells of words
-whose terms' largest impacts can't reach the threshold are skipped, then
-(passage, block) pairs by the block maxima, and only the rest have their postings
-summed. Units above the threshold are verified on word runs: the shares of the
-question's and of the answer's five-word shingles found in the passage.
+enough that any unit lies whole in one of them. A passage is a query. A unit's
+commonest terms, up to the share ``COMMON`` of its score, can't lift it over the
+threshold alone, so only postings of its other terms start a search: their block
+maxima bound the score of each (passage, block), their impacts that of each
+(passage, unit) of the blocks that remain, always with the common terms' share
+added, and only what can still reach the threshold is scored in full. Units above it
+are verified on word runs: the shares of the question's and of the answer's
+five-word shingles found in the passage.
 
 An index shard holds at most ``SHARD_UNITS`` units; it is read to the driver under
 that bound and sent with the task. More items make more shards, each one pass.
@@ -39,6 +42,7 @@ UNIT_WORDS = 128
 BLOCK_UNITS = 32
 SHARD_UNITS = 2_000
 SCORE_SHARE = 0.5
+COMMON = 0.25
 OVERLAP = 0.75
 K1, B = 1.2, 0.75
 
@@ -65,6 +69,28 @@ def _grams(words: np.ndarray) -> tuple[np.ndarray, int]:
     return np.unique(shingle_hashes(words, np.zeros(len(words), np.int64), size)[0]), size
 
 
+class _Lists:
+    """Posting lists: for each term its (target, weight) pairs, targets being units or blocks."""
+
+    def __init__(self, term: np.ndarray, target: np.ndarray, weight: np.ndarray, terms: int):
+        order = np.lexsort((target, term))
+        self.target, self.weight = target[order], weight[order]
+        self.size = np.bincount(term, minlength=terms)
+        self.first = np.cumsum(self.size) - self.size
+
+    def sums(self, passage: np.ndarray, term: np.ndarray, targets: int, allow=None):
+        """(passage, target, weight sum) over the postings of the (passage, term) rows that ``allow`` admits."""
+        size = self.size[term]
+        row = np.repeat(np.arange(len(term)), size)
+        at = np.repeat(self.first[term] - (np.cumsum(size) - size), size) + np.arange(len(row))
+        p, target, weight = passage[row], self.target[at], self.weight[at]
+        if allow is not None:
+            keep = allow(p, target)
+            p, target, weight = p[keep], target[keep], weight[keep]
+        key, place = np.unique(p * targets + target, return_inverse=True)
+        return key // targets, key % targets, np.bincount(place, weight, len(key))
+
+
 class ItemIndex:
     """Inverted index of one shard of test units."""
 
@@ -104,11 +130,25 @@ class ItemIndex:
         norm = K1 * (1 - B + B * lengths / lengths.mean())
         impact = idf[term] * tf * (K1 + 1) / (tf + norm[unit])
         impact /= np.bincount(unit, impact, units)[unit]
-        self.terms, self.unit, self.impact = terms, unit, impact
-        self.first = np.searchsorted(term, np.arange(len(terms) + 1))
-        self.block_max = np.zeros((len(terms), self.blocks))
-        np.maximum.at(self.block_max, (term, unit // BLOCK_UNITS), impact)
-        self.best = self.block_max.max(axis=1)
+        self.terms = terms
+        self.bag = [dict(zip(term[k].tolist(), impact[k].tolist(), strict=True))
+                    for k in np.split(np.argsort(unit, kind="stable"), np.cumsum(np.bincount(unit, minlength=units))[:-1])]
+        # Within each unit from the commonest term on: which are common, and their share.
+        order = np.lexsort((-df[term], unit))
+        sums = np.cumsum(impact[order])
+        head = np.searchsorted(unit[order], np.arange(units))
+        sums -= np.repeat(sums[head] - impact[order][head], np.bincount(unit, minlength=units))
+        leads = np.ones(len(order), bool)
+        leads[order[sums <= COMMON]] = False
+        self.common = np.bincount(unit[~leads], impact[~leads], units)
+        self.postings = _Lists(term[leads], unit[leads], impact[leads], len(terms))
+        # Block maxima: per term and block the largest impact of its leading postings.
+        key, at = np.unique(term[leads] * self.blocks + unit[leads] // BLOCK_UNITS, return_inverse=True)
+        most = np.zeros(len(key))
+        np.maximum.at(most, at, impact[leads])
+        self.block_postings = _Lists(key // self.blocks, key % self.blocks, most, len(terms))
+        self.block_common = np.zeros(self.blocks)
+        np.maximum.at(self.block_common, np.arange(units) // BLOCK_UNITS, self.common)
 
     def search(self, words: np.ndarray, documents: np.ndarray, share: float):
         """(passage begin, passage end, unit, score) with score at least ``share``; begin and end are places in ``words``."""
@@ -118,33 +158,32 @@ class ItemIndex:
         place[place == len(self.terms)] = 0
         known = np.flatnonzero(self.terms[place] == words)
         # Cells of unit_words words; a passage is a cell and the next one of its document.
-        heads = np.r_[True, documents[1:] != documents[:-1]]
-        head = np.flatnonzero(heads)
+        head = np.flatnonzero(np.r_[True, documents[1:] != documents[:-1]])
         inside = np.arange(len(words)) - np.repeat(head, np.diff(np.r_[head, len(words)]))
-        opens = inside % self.unit_words == 0
-        cell = np.cumsum(opens) - 1
-        begins = np.flatnonzero(opens)
+        begins = np.flatnonzero(inside % self.unit_words == 0)
         ends = np.r_[begins[1:], len(words)]
         paired = np.r_[documents[begins[1:]] == documents[begins[:-1]], False]
-        reach = np.bincount(cell[known], self.best[place[known]], len(begins))
-        bound = reach + np.where(paired, np.r_[reach[1:], 0], 0)
-        # The last cell is a passage of its own only if it has no predecessor.
-        alone = paired | np.r_[True, ~paired[:-1]]
-        for p in np.flatnonzero((bound >= share) & alone).tolist():
+        passage = paired | np.r_[True, ~paired[:-1]]  # the last cell only if it has no predecessor
+        leading = known[self.block_postings.size[place[known]] > 0]
+        pairs = np.unique((np.searchsorted(begins, leading, side="right") - 1) * len(self.terms) + place[leading])
+        cell, term = pairs // len(self.terms), pairs % len(self.terms)
+        second = (cell > 0) & paired[cell - 1]
+        cell, term = np.concatenate([cell, cell[second] - 1]), np.concatenate([term, term[second]])
+        cell, term = cell[passage[cell]], term[passage[cell]]
+
+        at, block, bound = self.block_postings.sums(cell, term, self.blocks)
+        live = bound + self.block_common[block] >= share
+        open_ = np.sort(at[live] * self.blocks + block[live])
+        at, unit, bound = self.postings.sums(cell, term, len(self.bag), lambda p, u: np.isin(
+            p * self.blocks + u // BLOCK_UNITS, open_))
+        live = bound + self.common[unit] >= share
+        for p, u in zip(at[live].tolist(), unit[live].tolist(), strict=True):
             begin, end = int(begins[p]), int(ends[p + 1] if paired[p] else ends[p])
             a, b = np.searchsorted(known, (begin, end))
-            found = np.unique(place[known[a:b]])
-            open_blocks = np.flatnonzero(self.block_max[found].sum(axis=0) >= share)
-            if not len(open_blocks):
-                continue
-            sums = np.zeros(self.blocks * BLOCK_UNITS)
-            for t in found.tolist():
-                at = slice(self.first[t], self.first[t + 1])
-                units = self.unit[at]
-                live = np.isin(units // BLOCK_UNITS, open_blocks)
-                sums[units[live]] += self.impact[at][live]
-            for u in np.flatnonzero(sums >= share).tolist():
-                yield begin, end, u, float(sums[u])
+            bag = self.bag[u]
+            score = sum(bag.get(t, 0.0) for t in set(place[known[a:b]].tolist()))
+            if score >= share:
+                yield begin, end, u, score
 
     def overlaps(self, unit: int, words: np.ndarray) -> tuple[float, float | None]:
         """Shares of the unit's question and answer shingles among the passage's; None without an answer."""
