@@ -1,8 +1,9 @@
 """Distance distributions: exact quartiles, Gaussian KDE on a grid, histogram.
 
 Everything is an aggregate over the samples joined to a per-kind parameter row
-(one row per kind, broadcast); the quartiles come from the distributed rank, so
-no group is ever collected.
+(one row per kind); the quartiles come from distributed running totals, so no group
+is ever collected. A sample may carry a weight: the train split's samples are its
+distinct pairs, weighted by the tuples that hold them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuplespace.operators.ranks import distributed_rank
+from tuplespace.operators.ranks import running_totals
 from tuplespace.session import cut_lineage
 
 # Fixed values of our own density definition: Scott-style bandwidth
@@ -25,33 +26,47 @@ GRID_PAD = 3.0
 HIST_BINS = 50
 
 
-def quantiles(samples: DataFrame, by: str, value: str, qs=(0.25, 0.75)) -> DataFrame:
+def weighted(samples: DataFrame, by: str, value: str, weight: str | None) -> DataFrame:
+    """(by, value, w): each sample with how often it counts (once without ``weight``)."""
+    w = F.lit(1) if weight is None else F.col(weight)
+    return samples.select(by, value, w.cast("long").alias("w"))
+
+
+def quantiles(samples: DataFrame, by: str, value: str, qs=(0.25, 0.75), weight: str | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per group (quantile_cont semantics):
-    position q*(n-1) among the group's sorted values."""
-    ranked = distributed_rank(samples.select(by, value), [by, value], "_r")
-    spans = ranked.groupBy(by).agg(F.min("_r").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    vals = ranked.select(F.col("_r").alias("_t"), F.col(value).alias("_v"))
-    out = spans
+    position q*(n-1) among the group's sorted values, a value counting ``weight`` times.
+    Equal values are one row; distributed running totals of the weights place them."""
+    rows = weighted(samples, by, value, weight).groupBy(by, value).agg(F.sum("w").alias("w"))
+    rows = rows.withColumn("_o", F.struct(by, value))
+    cum = running_totals(rows, "_o", ["w"])
+    cum = cum.select(by, value, F.col("w_cum").alias("_to"), (F.col("w_cum") - F.col("w")).alias("_from"))
+    spans = cum.groupBy(by).agg(F.min("_from").alias("_start"), F.max("_to").alias("_end"))
+    out = spans.withColumn("_n", F.col("_end") - F.col("_start"))
     for k, q in enumerate(qs):
         pos = F.lit(q) * (F.col("_n") - 1)
-        out = out.withColumns({f"_p{k}": pos, f"_lo{k}": F.floor(pos), f"_hi{k}": F.ceil(pos)})
-        lo = vals.select(F.col("_t").alias(f"_tl{k}"), F.col("_v").alias(f"_vl{k}"))
-        hi = vals.select(F.col("_t").alias(f"_th{k}"), F.col("_v").alias(f"_vh{k}"))
-        out = (
-            out.join(lo, F.col(f"_tl{k}") == F.col("_start") + F.col(f"_lo{k}"))
-            .join(hi, F.col(f"_th{k}") == F.col("_start") + F.col(f"_hi{k}"))
-            .withColumn(f"q{k}", F.col(f"_vl{k}") + (F.col(f"_p{k}") - F.col(f"_lo{k}")) * (F.col(f"_vh{k}") - F.col(f"_vl{k}")))
-        )
-    return out.select(by, *[f"q{k}" for k in range(len(qs))])
-
-
-def kde_params(samples: DataFrame, by: str = "kind", value: str = "d") -> DataFrame:
+        out = out.withColumns({f"_p{k}": pos, f"_lo{k}": F.col("_start") + F.floor(pos), f"_hi{k}": F.col("_start") + F.ceil(pos)})
+    # One row per group meets the group's distinct values; each asks for the values at its places.
+    def at(place):
+        return F.max(F.when((F.col("_from") <= F.col(place)) & (F.col(place) < F.col("_to")), F.col(value)))
+
+    keep = [f"_{x}{k}" for x in ("p", "lo") for k in range(len(qs))]
+    found = cum.join(out, by).groupBy(by, "_start", *keep).agg(
+        *[at(f"_{x}{k}").alias(f"_v{x}{k}") for x in ("lo", "hi") for k in range(len(qs))])
+    parts = [(F.col(f"_vlo{k}") + (F.col(f"_p{k}") - (F.col(f"_lo{k}") - F.col("_start"))) * (F.col(f"_vhi{k}") - F.col(f"_vlo{k}")))
+             .alias(f"q{k}") for k in range(len(qs))]
+    return found.select(by, *parts)
+
+
+def kde_params(samples: DataFrame, by: str = "kind", value: str = "d", weight: str | None = None) -> DataFrame:
     """Per group: n, sd, min, max, quartiles, bandwidth h and the grid span."""
-    stats = samples.groupBy(by).agg(
-        F.count(value).alias("n"), F.stddev_samp(value).alias("sd"),
+    rows = weighted(samples, by, value, weight)
+    v, w = F.col(value), F.col("w")
+    centre = rows.groupBy(by).agg((F.sum(v * w) / F.sum("w")).alias("_mean"))
+    stats = rows.join(centre, by).groupBy(by).agg(
+        F.sum("w").alias("n"), F.sqrt(F.sum(w * F.pow(v - F.col("_mean"), 2)) / (F.sum("w") - 1)).alias("sd"),
         F.min(value).alias("vmin"), F.max(value).alias("vmax"),
     )
-    q = quantiles(samples, by, value)
+    q = quantiles(samples, by, value, weight=weight)
     spread = F.least(F.col("sd"), (F.col("q1") - F.col("q0")) / F.lit(IQR_SCALE))
     h = F.lit(BW_FACTOR) * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     return stats.join(q, by).withColumn("h", h).withColumns({
@@ -60,19 +75,19 @@ def kde_params(samples: DataFrame, by: str = "kind", value: str = "d") -> DataFr
     })
 
 
-def density_grid(samples: DataFrame, by: str = "kind", value: str = "d") -> DataFrame:
+def density_grid(samples: DataFrame, by: str = "kind", value: str = "d", weight: str | None = None) -> DataFrame:
     """(kind, k, g, density): one aggregate pass with one kernel average per grid
-    point; the parameter table has one row per kind (broadcast, fixed size). The
-    samples feed three passes (stats, quartile rank, kernel sums), so they are
-    written once first."""
-    samples = cut_lineage(samples.select(by, value), "samples")
-    params = kde_params(samples, by, value)
+    point. The samples feed several passes (stats, quartiles, kernel sums), so they
+    are written once first."""
+    samples = cut_lineage(weighted(samples, by, value, weight), "samples")
+    params = kde_params(samples, by, value, "w")
     step = (F.col("ghi") - F.col("glo")) / F.lit(GRID_POINTS - 1)
-    joined = samples.select(by, value).join(F.broadcast(params.select(by, "h", "glo", "ghi")), by)
+    joined = samples.join(params.select(by, "h", "glo", "ghi"), by)
     aggs = []
     for k in range(GRID_POINTS):
         g = F.col("glo") + F.lit(k) * step
-        aggs.append(F.avg(F.exp(F.lit(-0.5) * F.pow((F.col(value) - g) / F.col("h"), 2))).alias(f"k{k}"))
+        bump = F.exp(F.lit(-0.5) * F.pow((F.col(value) - g) / F.col("h"), 2))
+        aggs.append((F.sum(bump * F.col("w")) / F.sum("w")).alias(f"k{k}"))
     wide = joined.groupBy(by, "h", "glo", "ghi").agg(*aggs)
     rows = ", ".join(f"{k}, k{k}" for k in range(GRID_POINTS))
     long = wide.selectExpr(by, "h", "glo", "ghi", f"stack({GRID_POINTS}, {rows}) AS (k, m)")
@@ -84,16 +99,17 @@ def density_grid(samples: DataFrame, by: str = "kind", value: str = "d") -> Data
     )
 
 
-def histogram(samples: DataFrame, by: str = "kind", value: str = "d", bins: int = HIST_BINS) -> DataFrame:
-    """(kind, bucket, n, lo, hi): equal-width bins over [min, max] per kind."""
+def histogram(samples: DataFrame, by: str = "kind", value: str = "d", bins: int = HIST_BINS,
+              weight: str | None = None) -> DataFrame:
+    """(kind, bucket, n, lo, hi): equal-width bins over [min, max] per kind. The samples
+    are written once, as they are read for the range and for the counts."""
+    samples = cut_lineage(weighted(samples, by, value, weight), "samples")
     rng = samples.groupBy(by).agg(F.min(value).alias("vmin"), F.max(value).alias("vmax"))
     width = (F.col("vmax") - F.col("vmin")) / F.lit(bins)
     b = F.when(F.col("vmax") > F.col("vmin"), F.least(
         F.floor((F.col(value) - F.col("vmin")) / (F.col("vmax") - F.col("vmin")) * F.lit(bins)), F.lit(bins - 1)
     )).otherwise(F.lit(0)).cast("int")
-    counted = samples.select(by, value).join(F.broadcast(rng), by).groupBy(by, "vmin", "vmax", b.alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    counted = samples.join(rng, by).groupBy(by, "vmin", "vmax", b.alias("bucket")).agg(F.sum("w").alias("n"))
     return counted.select(
         by, "bucket", "n",
         (F.col("vmin") + F.col("bucket") * width).alias("lo"),

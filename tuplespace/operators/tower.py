@@ -9,7 +9,7 @@ matmuls) and the tuples join the small output table.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +37,9 @@ def glorot_weights(dims: tuple[int, ...], seed: int) -> Layers:
     layers = []
     for n_in, n_out in zip(dims[:-1], dims[1:]):
         std = np.sqrt(2.0 / (n_in + n_out))
-        w = np.clip(rng.normal(0.0, std, size=(n_in, n_out)), -2 * std, 2 * std)
+        w = rng.normal(0.0, std, size=(n_in, n_out))
+        while (far := np.abs(w) > 2 * std).any():  # draw again, so no mass piles up at the ends
+            w[far] = rng.normal(0.0, std, size=int(far.sum()))
         layers.append((w, np.zeros(n_out)))
     return layers
 
@@ -61,10 +63,16 @@ def normalize_rows(z: np.ndarray) -> np.ndarray:
     return z / np.sqrt(np.maximum(ss, NORM_EPS))
 
 
-def stack(col: pd.Series, dim: int | None = None) -> np.ndarray:
+def stack(col, dim: int | None = None) -> np.ndarray:
+    """A column of equally long vectors as a matrix; an Arrow list column is flattened at once."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    if isinstance(col, pa.Array):
+        flat = np.asarray(col.flatten(), dtype=np.float64)
+        return flat.reshape(len(col), dim if dim is not None else (len(flat) // len(col) if len(col) else 0))
     if len(col) == 0:
         return np.zeros((0, dim or 0))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in col])
+    return np.concatenate(list(col)).astype(np.float64, copy=False).reshape(len(col), -1)
 
 
 def tower_outputs(vectors: DataFrame, layers: Layers | None, normalize: bool = True,
@@ -85,11 +93,12 @@ def tower_outputs(vectors: DataFrame, layers: Layers | None, normalize: bool = T
     dim_in = layers[0][0].shape[0]
 
     def run(batches):
-        for pdf in batches:
-            x = stack(pdf["ev"], dim_in)
-            z = forward(x, layers) if len(x) else np.zeros((0, layers[-1][0].shape[1]))
+        for batch in batches:
+            z = forward(stack(batch.column("ev"), dim_in), layers)
             if normalize:
                 z = normalize_rows(z)
-            yield pd.DataFrame({"item_id": pdf["item_id"], out_col: list(z)})
+            ends = pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item_id"), pa.ListArray.from_arrays(ends, pa.array(z.ravel()))], names=["item_id", out_col])
 
-    return vectors.select("item_id", "ev").mapInPandas(run, schema)
+    return vectors.select("item_id", "ev").where(F.col("ev").isNotNull()).mapInArrow(run, schema)

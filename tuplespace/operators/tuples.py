@@ -49,7 +49,8 @@ CELL_SIDE = 128
 
 
 def salted_product(parts: list[tuple[DataFrame, str]], cell_side: int = CELL_SIDE) -> DataFrame:
-    """Per-anchor product of the parts ``[(df(i, x), x), ...]``, split into cells.
+    """Per-anchor product of the parts ``[(df(i, x, ...), x), ...]``, split into cells;
+    further columns of a part (a pair's distance) are carried along.
 
     An anchor's product is a grid with one axis per part. Each axis is cut into
     m_x = ceil(k_x / cell_side) chunks (k_x = the anchor's rows in that part; a row
@@ -81,10 +82,14 @@ def salted_product(parts: list[tuple[DataFrame, str]], cell_side: int = CELL_SID
         keyed = (
             df.join(shares, "i")
             .withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_cells") / mx).cast("long") - 1)))
-            .select("i", x, (F.pmod(t, st) + own * st + F.floor(t / st) * st * mx).alias("_cell"))
+            .select("i", x, *_carried(df, x), (F.pmod(t, st) + own * st + F.floor(t / st) * st * mx).alias("_cell"))
         )
         out = keyed if out is None else out.join(keyed, ["i", "_cell"])
-    return out.select("i", *[x for _, x in parts])
+    return out.select("i", *[x for _, x in parts], *[c for df, x in parts for c in _carried(df, x)])
+
+
+def _carried(df: DataFrame, x: str) -> list[str]:
+    return [c for c in df.columns if c not in ("i", x)]
 
 
 def comp_sim(C: DataFrame, S: DataFrame) -> DataFrame:
@@ -137,10 +142,15 @@ def anchor_fanout(comp_v: DataFrame, sim_v: DataFrame, neg_v: DataFrame) -> Data
         )
 
     per = counts(comp_v, "c").join(counts(sim_v, "s"), "i").join(counts(neg_v, "n"), "i")
+
+    def product(kind):  # a hot anchor's product of three counts passes BIGINT
+        wide = [F.col(f"{kind}_{role}").cast("decimal(12,0)") for role in "csn"]
+        return (wide[0] * wide[1] * wide[2]).cast("decimal(38,0)")
+
     return per.withColumns(
         {
-            "tuples_before_dedup": F.col("k_c") * F.col("k_s") * F.col("k_n"),
-            "tuples_train": F.col("d_c") * F.col("d_s") * F.col("d_n"),
+            "tuples_before_dedup": product("k"),
+            "tuples_train": product("d"),
             "tuples_test": F.col("d_c"),
         }
     )

@@ -145,24 +145,31 @@ class TupleJob:
     def distances(self, split: str = "test", layers=None) -> DataFrame:
         """(i, c, s, n, d2c, d2s, d2n) for a split.
 
-        The test split looks up the four item outputs; the train split (the
-        per-anchor product) joins three per-pair distances computed once on the
-        distinct (i,c), (i,s), (i,n) parts, so no vector is moved per tuple."""
+        The test split looks up the four item outputs. The train split is the
+        per-anchor product; its distances are made once per distinct pair and carried
+        through the product, which needs no join after it."""
+        if split == "test":
+            specs = [("i", "c", "d2c"), ("i", "s", "d2s"), ("i", "n", "d2n")]
+            return self._output_table(layers).sq_distances(self.tuples_test, specs, ["i", "c", "s", "n"])
+        return tuples.assemble_train(*self.part_distances(layers))
+
+    def part_distances(self, layers=None):
+        """(i,c,d2c), (i,s,d2s), (i,n,d2n): the distances of the distinct pairs of the
+        train split, written once per weight set."""
+        key = None if layers is None else hash(b"".join(w.tobytes() + b.tobytes() for w, b in layers))
+        cache = self.__dict__.setdefault("_part_distances", {})
+        if key not in cache:
+            vt = self._output_table(layers)
+            cache[key] = tuple(
+                cut_lineage(vt.sq_distances(part, [("i", r, f"d2{r}")], ["i", r]), f"dist-{r}")
+                for part, r in zip(self.parts, "csn"))
+        return cache[key]
+
+    def _output_table(self, layers=None):
         from tuplespace.operators.lookup import VectorTable
 
         key = None if layers is None else hash(b"".join(w.tobytes() + b.tobytes() for w, b in layers))
         tables = self.__dict__.setdefault("_out_tables", {})
         if key not in tables:
             tables[key] = VectorTable(self.outputs(layers), "out")
-        vt = tables[key]
-        if split == "test":
-            specs = [("i", "c", "d2c"), ("i", "s", "d2s"), ("i", "n", "d2n")]
-            return vt.sq_distances(self.tuples_test, specs, ["i", "c", "s", "n"])
-        C, S, N = self.parts
-        dC = vt.sq_distances(C, [("i", "c", "d2c")], ["i", "c"])
-        dS = vt.sq_distances(S, [("i", "s", "d2s")], ["i", "s"])
-        dN = vt.sq_distances(N, [("i", "n", "d2n")], ["i", "n"])
-        return (
-            self.tuples_train.join(dC, ["i", "c"]).join(dS, ["i", "s"]).join(dN, ["i", "n"])
-            .select("i", "c", "s", "n", "d2c", "d2s", "d2n")
-        )
+        return tables[key]

@@ -1,4 +1,4 @@
-"""Registered distribution reports (A9, A10) over the test-split distance samples."""
+"""Registered distribution reports (A8-A10) over the distance samples of both splits."""
 
 from __future__ import annotations
 
@@ -8,59 +8,84 @@ from tuplespace.operators.density import BW_FACTOR, GRID_PAD, GRID_POINTS, HIST_
 from tuplespace.plans.oracle import with_ctes
 from tuplespace.plans.registry import _L0, _P0, job, register, rounded
 
-_SAMPLES = (
-    "SELECT kind, sqrt(d2) AS d FROM (SELECT 'comp' AS kind, d2c AS d2 FROM test_dist UNION ALL "
-    "SELECT 'sim', d2s FROM test_dist UNION ALL SELECT 'neg', d2n FROM test_dist)"
-)
+_SAMPLES = "SELECT split, kind, sqrt(d2) AS d FROM (" + " UNION ALL ".join(
+    f"SELECT '{split}' AS split, '{kind}' AS kind, {d2} AS d2 FROM {split}_dist"
+    for split in ("test", "train") for kind, d2 in (("comp", "d2c"), ("sim", "d2s"), ("neg", "d2n"))) + ")"
 _PARAMS = (
-    f"SELECT kind, n, sd, vmin, vmax, h, vmin - {GRID_PAD} * h AS glo, vmax + {GRID_PAD} * h AS ghi FROM ("
-    f"SELECT kind, count(d) AS n, stddev_samp(d) AS sd, min(d) AS vmin, max(d) AS vmax, "
+    f"SELECT split, kind, n, sd, vmin, vmax, h, vmin - {GRID_PAD} * h AS glo, vmax + {GRID_PAD} * h AS ghi FROM ("
+    f"SELECT split, kind, count(d) AS n, stddev_samp(d) AS sd, min(d) AS vmin, max(d) AS vmax, "
     f"{BW_FACTOR} * least(stddev_samp(d), (quantile_cont(d, 0.75) - quantile_cont(d, 0.25)) / {IQR_SCALE}) "
-    f"* pow(count(d), -0.2) AS h FROM ({_SAMPLES}) GROUP BY kind)"
+    f"* pow(count(d), -0.2) AS h FROM ({_SAMPLES}) GROUP BY split, kind)"
 )
 
 
 def _samples(spark, sf_dir):
-    d = job(spark, sf_dir).distances("test")
-    long = d.selectExpr("stack(3, 'comp', d2c, 'sim', d2s, 'neg', d2n) AS (kind, d2)")
-    return long.select("kind", F.sqrt("d2").alias("d"))
+    """(series, d, w) of both splits; the train split's pairs with their weights, not its tuples."""
+    from tuplespace.operators.product_reports import weighted_samples
+
+    j = job(spark, sf_dir)
+    test = j.distances("test").selectExpr("stack(3, 'comp', d2c, 'sim', d2s, 'neg', d2n) AS (kind, d2)").select(
+        F.concat(F.lit("test/"), "kind").alias("series"), F.sqrt("d2").alias("d"), F.lit(1).cast("long").alias("w"))
+    train = weighted_samples(*j.part_distances()).select(F.concat(F.lit("train/"), "kind").alias("series"), "d", "w")
+    return test.unionByName(train)
+
+
+def _by_split(df):
+    part = F.split("series", "/")
+    return rounded(df.select(part[0].alias("split"), part[1].alias("kind"), *[c for c in df.columns if c != "series"]))
 
 
 @register(
     "distance_density",
     with_ctes(
-        "SELECT p.kind, CAST(k.k AS INTEGER) AS k, round(p.glo + k.k * (p.ghi - p.glo) / "
+        "SELECT p.split, p.kind, CAST(k.k AS INTEGER) AS k, round(p.glo + k.k * (p.ghi - p.glo) / "
         f"{GRID_POINTS - 1}, 6) AS g, round(avg(exp(-0.5 * pow((s.d - (p.glo + k.k * (p.ghi - p.glo) / "
         f"{GRID_POINTS - 1})) / p.h, 2))) / (p.h * sqrt(2 * pi())), 6) AS density "
-        f"FROM ({_PARAMS}) p JOIN ({_SAMPLES}) s ON s.kind = p.kind CROSS JOIN range({GRID_POINTS}) k(k) "
-        "GROUP BY p.kind, k.k, p.glo, p.ghi, p.h",
-        "test_dist",
+        f"FROM ({_PARAMS}) p JOIN ({_SAMPLES}) s ON s.split = p.split AND s.kind = p.kind CROSS JOIN range({GRID_POINTS}) k(k) "
+        "GROUP BY p.split, p.kind, k.k, p.glo, p.ghi, p.h",
+        "test_dist", "train_dist",
     ),
 )
 def q_distance_density(spark, sf_dir):
-    """Gaussian KDE of the test-split distances per kind on a 100-point grid."""
+    """Gaussian KDE of both splits' distances per kind on a 100-point grid."""
     from tuplespace.operators.density import density_grid
 
-    return rounded(density_grid(_samples(spark, sf_dir)))
+    return _by_split(density_grid(_samples(spark, sf_dir), by="series", weight="w"))
 
 
 @register(
     "distance_histogram",
     with_ctes(
-        "SELECT kind, bucket, count(*) AS n, round(vmin + bucket * (vmax - vmin) / "
+        "SELECT split, kind, bucket, count(*) AS n, round(vmin + bucket * (vmax - vmin) / "
         f"{HIST_BINS}, 6) AS lo, round(vmin + (bucket + 1) * (vmax - vmin) / {HIST_BINS}, 6) AS hi FROM ("
-        "SELECT s.kind, r.vmin, r.vmax, CAST(CASE WHEN r.vmax > r.vmin THEN least(floor((s.d - r.vmin) / "
+        "SELECT s.split, s.kind, r.vmin, r.vmax, CAST(CASE WHEN r.vmax > r.vmin THEN least(floor((s.d - r.vmin) / "
         f"(r.vmax - r.vmin) * {HIST_BINS}), {HIST_BINS - 1}) ELSE 0 END AS INTEGER) AS bucket "
-        f"FROM ({_SAMPLES}) s JOIN (SELECT kind, min(d) AS vmin, max(d) AS vmax FROM ({_SAMPLES}) GROUP BY kind) r "
-        "ON r.kind = s.kind) GROUP BY kind, bucket, vmin, vmax",
-        "test_dist",
+        f"FROM ({_SAMPLES}) s JOIN (SELECT split, kind, min(d) AS vmin, max(d) AS vmax FROM ({_SAMPLES}) GROUP BY split, kind) r "
+        "ON r.split = s.split AND r.kind = s.kind) GROUP BY split, kind, bucket, vmin, vmax",
+        "test_dist", "train_dist",
     ),
 )
 def q_distance_histogram(spark, sf_dir):
     """A10: 50 equal-width bins per kind (the scalable pre-binned companion of A9)."""
     from tuplespace.operators.density import histogram
 
-    return rounded(histogram(_samples(spark, sf_dir)))
+    return _by_split(histogram(_samples(spark, sf_dir), by="series", weight="w"))
+
+
+@register(
+    "distance_samples_train",
+    with_ctes(
+        " UNION ALL ".join(
+            f"SELECT '{kind}' AS kind, i, {r} AS item, round(sqrt(any_value(d2{r})), 6) AS d, count(*) AS w "
+            f"FROM train_dist GROUP BY i, {r}" for kind, r in (("comp", "c"), ("sim", "s"), ("neg", "n"))),
+        "train_dist",
+    ),
+)
+def q_distance_samples_train(spark, sf_dir):
+    """A8, train split: the distance of each pair and the number of tuples that hold it."""
+    from tuplespace.operators.product_reports import weighted_samples
+
+    return rounded(weighted_samples(*job(spark, sf_dir).part_distances()))
 
 
 @register(

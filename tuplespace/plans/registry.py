@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuplespace.config import TupleConfig
+from tuplespace.functions.hashing import draw_hash, duck_draw_hash as H
 from tuplespace.operators import paths, sampling, tuples
 from tuplespace.plans.job import TupleJob
 from tuplespace.plans.oracle import (
@@ -148,32 +149,32 @@ def q_tuples_test(spark, sf_dir):
 @register(
     "tuples_train",
     with_ctes(
-        "SELECT i, count(*) AS tuples, count(DISTINCT c) AS d_c, count(DISTINCT s) AS d_s, "
-        "count(DISTINCT n) AS d_n FROM (SELECT DISTINCT i, c, s, n FROM tuples_train) GROUP BY i",
+        "SELECT i, count(*) AS tuples, CAST(sum(" + H(TupleConfig().seed, "i", "c", "s", "n", "'sum'") + ") AS BIGINT) AS tuple_sum "
+        "FROM (SELECT DISTINCT i, c, s, n FROM tuples_train) GROUP BY i",
         "tuples_train",
     ),
 )
 def q_tuples_train(spark, sf_dir):
-    """The materialised distinct train set, reported per anchor."""
-    return job(spark, sf_dir).tuples_train.groupBy("i").agg(
-        F.count(F.lit(1)).alias("tuples"),
-        F.countDistinct("c").alias("d_c"),
-        F.countDistinct("s").alias("d_s"),
-        F.countDistinct("n").alias("d_n"),
-    )
+    """The distinct train set, reported per anchor: its size and the sum of its tuples' hashes."""
+    j = job(spark, sf_dir)
+    each = draw_hash(j.cfg.seed, F.col("i"), F.col("c"), F.col("s"), F.col("n"), "sum")
+    return j.tuples_train.groupBy("i").agg(F.count(F.lit(1)).alias("tuples"), F.sum(each).alias("tuple_sum"))
 
 
 @register(
     "tuples_cs",
     with_ctes(
-        "SELECT i, count(*) AS comp_sim_rows FROM (SELECT DISTINCT C.i, C.c, S.s FROM C JOIN S ON S.i = C.i) "
+        "SELECT i, count(*) AS comp_sim_rows, CAST(sum(" + H(TupleConfig().seed, "i", "c", "s", "'sum'") + ") AS BIGINT) AS row_sum "
+        "FROM (SELECT DISTINCT C.i, C.c, S.s FROM C JOIN S ON S.i = C.i) "
         "GROUP BY i",
         "C", "S",
     ),
 )
 def q_tuples_cs(spark, sf_dir):
-    C, S, _ = job(spark, sf_dir).parts
-    return tuples.comp_sim(C, S).groupBy("i").agg(F.count(F.lit(1)).alias("comp_sim_rows"))
+    j = job(spark, sf_dir)
+    C, S, _ = j.parts
+    each = draw_hash(j.cfg.seed, F.col("i"), F.col("c"), F.col("s"), "sum")
+    return tuples.comp_sim(C, S).groupBy("i").agg(F.count(F.lit(1)).alias("comp_sim_rows"), F.sum(each).alias("row_sum"))
 
 
 @register(
@@ -189,7 +190,8 @@ def q_tuples_cs(spark, sf_dir):
 def q_tuples_all(spark, sf_dir):
     """Per-anchor size of the full join (bag) and of its distinct set, from grouped
     counts; the oracle forms the join by brute force."""
-    return job(spark, sf_dir).fanout.select("i", "tuples_before_dedup", "tuples_train")
+    return job(spark, sf_dir).fanout.select(
+        "i", *[F.col(c).cast("long").alias(c) for c in ("tuples_before_dedup", "tuples_train")])
 
 
 @register(
@@ -205,7 +207,8 @@ def q_tuples_all(spark, sf_dir):
     ),
 )
 def q_tuple_counts(spark, sf_dir):
-    return tuples.tuple_counts(job(spark, sf_dir).fanout)
+    counts = tuples.tuple_counts(job(spark, sf_dir).fanout)
+    return counts.select(*[F.col(c).cast("long").alias(c) for c in counts.columns])
 
 
 # --- 2. pair distances and statistics ----------------------------------------------
@@ -358,53 +361,61 @@ _ROUND_ACC = (
     ),
 )
 def q_tuple_accuracy(spark, sf_dir):
+    return _sweep(job(spark, sf_dir), [M0]).drop("margin_id", "ms", "mc", "mn")
+
+
+def _sweep(j: TupleJob, margins) -> DataFrame:
+    """Loss and accuracies of both splits per margin: the test tuples are scored, the
+    train product is summed from its pairs."""
     from tuplespace.operators.metrics import margin_sweep
+    from tuplespace.operators.product_reports import product_sweep
 
-    j = job(spark, sf_dir)
-    frames = []
-    for split in ("test", "train"):
-        sw = margin_sweep(j.distances(split), [M0]).drop("margin_id", "ms", "mc", "mn")
-        frames.append(rounded(sw).select(F.lit(split).alias("split"), "*"))
-    return frames[0].unionByName(frames[1])
+    test = margin_sweep(j.distances("test"), margins)
+    train = product_sweep(*j.part_distances(), margins)
+    both = test.select(F.lit("test").alias("split"), "*").unionByName(train.select(F.lit("train").alias("split"), "*"))
+    return rounded(both)
 
 
-_SWEEP_SQL = (
-    "SELECT m.margin_id, m.ms, m.mc, m.mn, count(*) AS n_tuples, "
+_SWEEP_SQL = " UNION ALL ".join(
+    f"SELECT '{split}' AS split, m.margin_id, m.ms, m.mc, m.mn, count(*) AS n_tuples, "
     + f"avg({loss_sql()['loss']}) AS mean_loss, "
     + ", ".join(f"avg(CAST({pred_sql()['pred_' + k]} AS DOUBLE)) AS acc_{k}" for k in ("comp", "sim", "neg", "rank"))
-    + f" FROM test_dist CROSS JOIN {margins_values()} GROUP BY m.margin_id, m.ms, m.mc, m.mn"
+    + f" FROM {split}_dist CROSS JOIN {margins_values()} GROUP BY m.margin_id, m.ms, m.mc, m.mn"
+    for split in ("test", "train")
 )
 
 
 @register(
     "margin_sweep",
     with_ctes(
-        "SELECT margin_id, CAST(ms AS DOUBLE) AS ms, CAST(mc AS DOUBLE) AS mc, CAST(mn AS DOUBLE) AS mn, n_tuples, "
+        "SELECT split, margin_id, CAST(ms AS DOUBLE) AS ms, CAST(mc AS DOUBLE) AS mc, CAST(mn AS DOUBLE) AS mn, n_tuples, "
         + _ROUND_ACC + " FROM (" + _SWEEP_SQL + ")",
-        "test_dist",
+        "test_dist", "train_dist",
     ),
 )
 def q_margin_sweep(spark, sf_dir):
-    from tuplespace.operators.metrics import margin_sweep
-
     j = job(spark, sf_dir)
-    return rounded(margin_sweep(j.distances("test"), j.cfg.margins))
+    return _sweep(j, j.cfg.margins)
 
 
 @register(
     "best_margin",
     with_ctes(
-        "SELECT margin_id, run_precision AS best_run_precision, CAST(ms AS DOUBLE) AS ms, "
+        "SELECT split, margin_id, run_precision AS best_run_precision, CAST(ms AS DOUBLE) AS ms, "
         "CAST(mc AS DOUBLE) AS mc, CAST(mn AS DOUBLE) AS mn FROM ("
-        "SELECT *, " + r6("acc_comp / (acc_comp + (1.0 - acc_neg))", "run_precision") + " FROM (" + _SWEEP_SQL + ")) "
-        "ORDER BY run_precision DESC, margin_id LIMIT 1",
-        "test_dist",
+        "SELECT *, row_number() OVER (PARTITION BY split ORDER BY run_precision DESC, margin_id) AS place FROM ("
+        "SELECT *, " + r6("acc_comp / (acc_comp + (1.0 - acc_neg))", "run_precision") + " FROM (" + _SWEEP_SQL + "))) "
+        "WHERE place = 1",
+        "test_dist", "train_dist",
     ),
 )
 def q_best_margin(spark, sf_dir):
+    """The margin with the best precision of each split (the reference picks on the train split)."""
     from tuplespace.operators.metrics import best_margin
 
-    return best_margin(q_margin_sweep(spark, sf_dir), "run_precision")
+    sweep = q_margin_sweep(spark, sf_dir)
+    of = lambda s: best_margin(sweep.where(F.col("split") == s), "run_precision").select(F.lit(s).alias("split"), "*")
+    return of("test").unionByName(of("train"))
 
 
 @register(
@@ -576,7 +587,7 @@ def q_evaluate(spark, sf_dir):
 
 # --- 8. training ----------------------------------------------------------------------
 
-FIT_BATCH = 65536  # large synchronous batches for the registered fit
+FIT_BATCH = 65536  # large synchronous batches for the registered fits; the last, smaller batch counts too
 
 
 @register("train_gradient", with_ctes(linear_gradient_sql(M0), "tuples_test", "vectors"))
@@ -603,7 +614,7 @@ def q_train_one_step(spark, sf_dir):
 
     j = job(spark, sf_dir)
     layers = _init_layers(j.cfg)
-    src = BatchSource(j.tuples_train, j.vectors, FIT_BATCH, j.cfg.seed)
+    src = BatchSource(j.tuples_train, j.vectors, FIT_BATCH, j.cfg.seed, drop_remainder=False)
     batch = src(0).batch(0)
     g, s = gradient_sums(batch, layers, M0)
     new = sgd_step(layers, g, s[0], j.cfg.lr)
@@ -621,7 +632,7 @@ def q_train_fit(spark, sf_dir):
     from tuplespace.plans.training import fit_margin, metrics_frame, new_run_id
 
     j = job(spark, sf_dir)
-    cfg = replace(j.cfg, batch_size=FIT_BATCH, epochs=1)
+    cfg = replace(j.cfg, batch_size=FIT_BATCH, epochs=1, drop_remainder=False)
     layers, rows = fit_margin(j.tuples_train, j.vectors, _init_layers(cfg), M0, cfg)
     return metrics_frame(spark, rows, new_run_id(), 0)
 
@@ -635,7 +646,7 @@ def q_margin_fit(spark, sf_dir):
     from tuplespace.plans.training import margin_fit
 
     j = job(spark, sf_dir)
-    cfg = replace(j.cfg, batch_size=FIT_BATCH, epochs=1)
+    cfg = replace(j.cfg, batch_size=FIT_BATCH, epochs=1, drop_remainder=False)
     summary, _ = margin_fit(j, cfg, _init_layers(cfg))
     return spark.createDataFrame(
         [tuple(float(r[k]) if k != "margin_id" else int(r[k]) for k in r) for r in summary],

@@ -4,8 +4,8 @@ Ids keep the tables' BIGINT type (the operators accept string or bigint ids;
 ordering "by id" follows the column type).
 
 catalog  <- part      id = p_partkey, title = p_name, paths [p_type, p_brand] and ["NAME", p_name]
-pairs    <- lineitem  each part of an order with the next ORDER_NEIGHBOURS parts of that order
-                      (partkey order, a < b); label '1' when the pair occurs in >= 2 orders
+pairs    <- lineitem  one pair per row: l_partkey, the item with id l_suppkey; label '1' when
+                      l_quantity <= SMALL_QUANTITY
 vectors  <- embeddings  item p takes row vec_id = p_partkey % (row count of embeddings)
 """
 
@@ -14,12 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuplespace.operators.ranks import distributed_rank
-
-# The literal first element of every name path; how many following
-# parts of the same order (in partkey order) each part is paired with.
+# The literal first element of every name path; the largest quantity of
+# a line whose pair counts as complementary.
 NAME_PATH_ROOT = "NAME"
-ORDER_NEIGHBOURS = 2
+SMALL_QUANTITY = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,36 +39,13 @@ def catalog_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled pairs (item_id_1, item_id_2, label) from order neighbours.
-
-    Each distinct part of an order is paired with the next ORDER_NEIGHBOURS parts of
-    the same order in partkey order, so the pair set is linear in the line items
-    (at most ORDER_NEIGHBOURS pairs per part and order), never all pairs of an order.
-    The distinct (order, part) rows get one global rank in (order, part) order; the
-    neighbours of rank r are the rows r+1..r+W that belong to the same order. Every
-    step is an equi-join on a unique rank or a partially aggregated count, so a hot
-    order is spread over many tasks.
-    """
-    li = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")
-    ).distinct()
-    ranked = distributed_rank(li, ["o", "p"], "r")
-    ahead = ranked.select(
-        "o",
-        F.col("p").alias("p1"),
-        F.explode(F.sequence(F.col("r") + 1, F.col("r") + ORDER_NEIGHBOURS)).alias("r2"),
-    )
-    later = ranked.select(F.col("r").alias("r2"), F.col("o").alias("o2"), F.col("p").alias("p2"))
-    co = (
-        ahead.join(later, "r2")
-        .filter(F.col("o") == F.col("o2"))
-        .groupBy("p1", "p2")
-        .agg(F.count(F.lit(1)).alias("shared"))
-    )
-    return co.select(
-        F.col("p1").alias("item_id_1"),
-        F.col("p2").alias("item_id_2"),
-        F.when(F.col("shared") >= 2, F.lit("1")).otherwise(F.lit("0")).alias("label"),
+    """Labelled pairs (item_id_1, item_id_2, label), one per line item: the part, the
+    item whose id is the supplier's, and label '1' for a small quantity. Pairs of both
+    labels grow with the line items; the few second items are hot keys."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("item_id_1"),
+        F.col("l_suppkey").alias("item_id_2"),
+        F.when(F.col("l_quantity") <= SMALL_QUANTITY, F.lit("1")).otherwise(F.lit("0")).alias("label"),
     )
 
 
@@ -94,15 +69,8 @@ DUCK_CTES = {
         "p_name AS title, 'img/' || CAST(p_partkey AS VARCHAR) AS imUrl FROM part"
     ),
     "pairs": (
-        "SELECT p1 AS item_id_1, p2 AS item_id_2, "
-        "CASE WHEN shared >= 2 THEN '1' ELSE '0' END AS label FROM ("
-        " SELECT a.p AS p1, b.p AS p2, count(*) AS shared FROM"
-        " (SELECT o, p, row_number() OVER (PARTITION BY o ORDER BY p) AS rn FROM"
-        "  (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)) a JOIN"
-        " (SELECT o, p, row_number() OVER (PARTITION BY o ORDER BY p) AS rn FROM"
-        "  (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)) b"
-        f" ON a.o = b.o AND b.rn > a.rn AND b.rn <= a.rn + {ORDER_NEIGHBOURS}"
-        " GROUP BY a.p, b.p)"
+        "SELECT l_partkey AS item_id_1, l_suppkey AS item_id_2, "
+        f"CASE WHEN l_quantity <= {SMALL_QUANTITY} THEN '1' ELSE '0' END AS label FROM lineitem"
     ),
     "vectors": (
         "SELECT p.p_partkey AS item_id, e.embedding AS ev FROM part p "
