@@ -12,7 +12,8 @@ TABLES = "part lineitem embeddings".split()
 FAST = [
     "clean_catalog", "path_index", "sample_similar", "sample_similar_no_self", "tuples_test", "tuple_counts",
     "tuples_all", "margin_sweep", "tower_forward", "dense_ids", "minibatches", "decode_item_id", "parse_paths",
-    "train_gradient",
+    "train_gradient", "tuples_train", "best_margin", "distance_histogram", "distance_samples_train", "src_catalog",
+    "src_first_file", "image_catalog", "metrics_log",
 ]
 ALL = sorted(ORACLE)
 NAMES = ALL if os.environ.get("TUPLESPACE_FULL") else FAST
@@ -63,6 +64,24 @@ def test_no_python_udf_in_tuple_plan(spark, sf_small):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_train_reports_form_no_product(spark, sf_small):
+    from tuplespace.operators.product_reports import product_sweep
+    from tuplespace.plans.job import TupleJob
+
+    j = TupleJob(spark, sf_small)
+    parts = j.part_distances()
+    plan = product_sweep(*parts, j.cfg.margins)
+    keys = plan._jdf.queryExecution().analyzed().toString()
+    assert "_cell" not in keys and sum(p.count() for p in parts) < j.tuples_train.count()
+
+
+def test_pairs_of_both_labels_grow_with_the_lines(spark):
+    from tuplespace.sources.testdata import pairs
+
+    counts = [dict(pairs(spark, f"/root/testdata/sf{sf}").groupBy("label").count().collect()) for sf in ("0.001", "0.01")]
+    assert all(8 < counts[1][label] / counts[0][label] < 12 for label in "01")
+
+
 def test_partition_invariance(spark, sf_small):
     from tuplespace.plans.job import TupleJob
 

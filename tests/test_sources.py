@@ -96,3 +96,27 @@ def test_meta_titles(spark, tmp_path):
     got = src.read_meta_titles(spark, str(tmp_path / "m.txt")).collect()
     assert [(r["item_id"], r["title"]) for r in got] == [("1", "T1")]
     assert F is not None
+
+
+def test_quotes_survive_the_text_round_trip(spark, tmp_path):
+    rows = [("1", "c", '"x', "u"), ("2", "c", 'a "b" c', "v"), ("3", "c", "plain", 'w"')]
+    write_text(spark.createDataFrame(rows, "item_id string, cat string, title string, url string"), str(tmp_path / "m"))
+    back = src.read_meta_titles(spark, str(tmp_path / "m")).collect()
+    assert {(r["item_id"], r["title"]) for r in back} == {(r[0], r[2]) for r in rows}
+
+
+def test_first_file_is_listed_not_scanned(spark, tmp_path):
+    (tmp_path / "part-1").write_text("late\n")
+    (tmp_path / "part-0").write_text("early\n")
+    (tmp_path / "_SUCCESS").write_text("")
+    assert [r["value"] for r in src.read_dir(spark, str(tmp_path), "first").collect()] == ["early"]
+
+
+def test_counts_of_a_hot_anchor_pass_bigint(spark):
+    from tuplespace.operators.tuples import tuple_counts
+
+    per = spark.createDataFrame([(1, 3_000_000, 3_000_000, 3_000_000)] * 2, "i long, k_c long, k_s long, k_n long")
+    wide = [F.col(f"k_{r}").cast("decimal(12,0)") for r in "csn"]
+    product = (wide[0] * wide[1] * wide[2]).cast("decimal(38,0)")
+    rows = per.withColumns({c: product for c in ("tuples_before_dedup", "tuples_train")}).withColumn("tuples_test", F.lit(1))
+    assert int(tuple_counts(rows).first()["tuples_before_dedup"]) == 2 * 27 * 10**18

@@ -39,6 +39,12 @@ def sum_squares(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
 
 
+def order_sum(v: Column) -> Column:
+    """Sum of k * v[k], k from 1: a digest of a vector that a change of order changes."""
+    terms = F.zip_with(v, F.sequence(F.lit(1), F.size(v)), lambda x, k: x.cast("double") * k)
+    return F.when(F.size(v) > 0, F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x))
+
+
 def l2_normalize(v: Column) -> Column:
     """v * rsqrt(max(sum v^2, eps)); the zero vector stays zero.
 

@@ -89,6 +89,11 @@ def sqd(a: str, b: str) -> str:
     return f"list_sum(list_transform(range(1, len({a}) + 1), lambda k: ({a}[k] - {b}[k]) ^ 2))"
 
 
+def order_sum_sql(v: str) -> str:
+    """Sum of k * v[k], k from 1 (SQL text)."""
+    return f"list_sum(list_transform(range(1, len({v}) + 1), lambda k: k * CAST({v}[k] AS DOUBLE)))"
+
+
 def l2n(v: str) -> str:
     return (f"list_transform({v}, lambda x: CAST(x AS DOUBLE) / sqrt(greatest(list_sum("
             f"list_transform({v}, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))), 1e-12)))")
@@ -268,5 +273,3 @@ def _mentions(sql: str, name: str) -> bool:
 
     return re.search(rf"\b(FROM|JOIN)\s+{re.escape(name)}\b", sql) is not None
 
-
-MARGINS = DEFAULT_MARGINS

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tuplespace.functions.vectors import order_sum
 from tuplespace.operators import paths
-from tuplespace.plans.oracle import r6, with_ctes
+from tuplespace.plans.oracle import order_sum_sql, r6, with_ctes
 from tuplespace.plans.registry import job, register, rounded
 
 
@@ -17,12 +18,11 @@ def _scratch(spark, name):
 
 def _vec_summary(df, id_col="item_id", ev="ev", keep=()):
     return rounded(df.select(
-        id_col, *keep, F.size(ev).alias("dim"),
-        F.aggregate(F.col(ev), F.lit(0.0), lambda a, x: a + x.cast("double")).alias("ev_sum"),
+        id_col, *keep, F.size(ev).alias("dim"), order_sum(F.col(ev)).alias("ev_sum"),
     ))
 
 
-_VEC_SQL = "len(ev) AS dim, round(list_sum(CAST(ev AS DOUBLE[])), 6) AS ev_sum"
+_VEC_SQL = f"len(ev) AS dim, round({order_sum_sql('ev')}, 6) AS ev_sum"
 
 
 @register(
@@ -30,12 +30,14 @@ _VEC_SQL = "len(ev) AS dim, round(list_sum(CAST(ev AS DOUBLE[])), 6) AS ev_sum"
     with_ctes("SELECT CAST(asin AS VARCHAR) AS asin, categories, title, imUrl FROM catalog", "catalog"),
 )
 def q_src_catalog(spark, sf_dir):
-    """The catalog written as JSON lines (9 declared fields) and read back."""
+    """The catalog written as JSON lines (9 declared fields, categories as a nested
+    list as in the source files) and read back; the reader hands the list over as its text."""
     from tuplespace.operators.clean import clean_catalog
     from tuplespace.sources.testdata import catalog_raw
     from tuplespace.sources.text import CATALOG_FIELDS, read_catalog
 
     raw = catalog_raw(spark, sf_dir).withColumn("asin", F.col("asin").cast("string"))
+    raw = raw.withColumn("categories", F.from_json("categories", "array<array<string>>"))
     full = raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in CATALOG_FIELDS])
     path = _scratch(spark, "catalog_json")
     full.write.mode("overwrite").json(path)
@@ -74,6 +76,39 @@ def q_src_vectors_text(spark, sf_dir):
     return _vec_summary(read_vectors_text(spark, path))
 
 
+FILES = 8
+
+
+@register("src_first_file", f"SELECT CAST(p_partkey AS VARCHAR) AS value FROM part WHERE p_partkey % {FILES} = 0")
+def q_src_first_file(spark, sf_dir):
+    """A folder of part files, one per residue of the id; the first file alone is read."""
+    from tuplespace.sources.testdata import table
+    from tuplespace.sources.text import read_dir
+
+    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % FILES).alias("f"))
+    path = _scratch(spark, "part_files")
+    (part.repartitionByRange(FILES, "f").select(F.col("p_partkey").cast("string").alias("value"))
+     .write.mode("overwrite").text(path))
+    return read_dir(spark, path, files="first")
+
+
+@register(
+    "image_catalog",
+    with_ctes(
+        f"SELECT k.asin, k.categories, k.title, k.imUrl, len(v.ev) AS dim, round({order_sum_sql('v.ev')}, 6) AS ev_sum "
+        "FROM vectors v JOIN catalog k ON k.asin = v.item_id",
+        "vectors", "catalog",
+    ),
+)
+def q_image_catalog(spark, sf_dir):
+    """Per-item vectors in the image reader's layout (asin, iev) joined to the catalog."""
+    from tuplespace.sources.binary import image_catalog
+
+    j = job(spark, sf_dir)
+    images = j.vectors.select(F.col("item_id").alias("asin"), F.col("ev").alias("iev"))
+    return _vec_summary(image_catalog(images, j.catalog), "asin", "iev", keep=("categories", "title", "imUrl"))
+
+
 @register(
     "src_quads",
     with_ctes(
@@ -118,7 +153,7 @@ def q_src_vectors_wide(spark, sf_dir):
     "src_catalog_vectors",
     with_ctes(
         "SELECT CAST(v.item_id AS VARCHAR) AS catalog_item_id, p.p_name AS title, len(v.ev) AS dim, "
-        "round(list_sum(CAST(v.ev AS DOUBLE[])), 6) AS ev_sum FROM vectors v JOIN part p ON p.p_partkey = v.item_id",
+        f"round({order_sum_sql('v.ev')}, 6) AS ev_sum FROM vectors v JOIN part p ON p.p_partkey = v.item_id",
         "vectors",
     ),
 )
@@ -207,7 +242,7 @@ def q_decode_item_id(spark, sf_dir):
 
 @register(
     "parse_vector",
-    "SELECT vec_id, len(embedding) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS ev_sum, "
+    f"SELECT vec_id, len(embedding) AS dim, round({order_sum_sql('embedding')}, 6) AS ev_sum, "
     "round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 6) AS ev_sq FROM embeddings",
 )
 def q_parse_vector(spark, sf_dir):
@@ -220,7 +255,7 @@ def q_parse_vector(spark, sf_dir):
     parsed = txt.select("vec_id", parse_vector(F.col("t")).alias("ev"))
     return rounded(parsed.select(
         "vec_id", F.size("ev").alias("dim"),
-        F.aggregate("ev", F.lit(0.0), lambda a, x: a + x).alias("ev_sum"), sum_squares(F.col("ev")).alias("ev_sq"),
+        order_sum(F.col("ev")).alias("ev_sum"), sum_squares(F.col("ev")).alias("ev_sq"),
     ))
 
 

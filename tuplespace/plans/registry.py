@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from tuplespace.config import TupleConfig
 from tuplespace.functions.hashing import draw_hash, duck_draw_hash as H
+from tuplespace.functions.vectors import order_sum
 from tuplespace.operators import paths, sampling, tuples
 from tuplespace.plans.job import TupleJob
 from tuplespace.plans.oracle import (
-    linear_gradient_sql, loss_sql, margins_values, pred_sql, r6, sqd, with_ctes,
+    linear_gradient_sql, loss_sql, margins_values, order_sum_sql, pred_sql, r6, with_ctes,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,17 +218,16 @@ def q_tuple_counts(spark, sf_dir):
     "pairs_with_vectors",
     with_ctes(
         "SELECT kind, item_id_1, item_id_2, len(ev1) AS dim1, len(ev2) AS dim2, "
-        + r6("list_sum(CAST(ev1 AS DOUBLE[]))", "sum1") + ", " + r6("list_sum(CAST(ev2 AS DOUBLE[]))", "sum2")
+        + r6(order_sum_sql("ev1"), "sum1") + ", " + r6(order_sum_sql("ev2"), "sum2")
         + " FROM pairs_v",
         "pairs_v",
     ),
 )
 def q_pairs_with_vectors(spark, sf_dir):
-    sumv = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x.cast("double"))
     return rounded(job(spark, sf_dir).pairs_v.select(
         "kind", "item_id_1", "item_id_2",
         F.size("ev1").alias("dim1"), F.size("ev2").alias("dim2"),
-        sumv("ev1").alias("sum1"), sumv("ev2").alias("sum2"),
+        order_sum(F.col("ev1")).alias("sum1"), order_sum(F.col("ev2")).alias("sum2"),
     ))
 
 
@@ -257,7 +257,7 @@ def q_distance_stats(spark, sf_dir):
     with_ctes(
         "SELECT item_id, " + r6("sqrt(list_sum(list_transform(ev, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))", "norm_in")
         + ", " + r6("sqrt(list_sum(list_transform(out, lambda x: x * x)))", "norm_out")
-        + ", " + r6("list_sum(out)", "out_sum") + " FROM (SELECT v.item_id, v.ev, o.out FROM vectors v "
+        + ", " + r6(order_sum_sql("out"), "out_sum") + " FROM (SELECT v.item_id, v.ev, o.out FROM vectors v "
         "JOIN outputs_id o ON o.item_id = v.item_id)",
         "vectors", "outputs_id",
     ),
@@ -271,7 +271,7 @@ def q_l2_normalize(spark, sf_dir):
         "item_id",
         F.sqrt(sum_squares(F.col("ev"))).alias("norm_in"),
         F.sqrt(sum_squares(out)).alias("norm_out"),
-        F.aggregate(out, F.lit(0.0), lambda a, x: a + x).alias("out_sum"),
+        order_sum(out).alias("out_sum"),
     ))
 
 
@@ -279,7 +279,7 @@ def q_l2_normalize(spark, sf_dir):
     "tuple_vectors",
     with_ctes(
         "SELECT t.i, t.c, t.s, t.n, "
-        + ", ".join(r6(f"list_sum(CAST(v{r}.ev AS DOUBLE[]))", f"sum_{r}") for r in "icsn")
+        + ", ".join(r6(order_sum_sql(f"v{r}.ev"), f"sum_{r}") for r in "icsn")
         + " FROM tuples_test t "
         + " ".join(f"JOIN vectors v{r} ON v{r}.item_id = t.{r}" for r in "icsn"),
         "tuples_test", "vectors",
@@ -290,8 +290,7 @@ def q_tuple_vectors(spark, sf_dir):
 
     j = job(spark, sf_dir)
     tv = tuple_vectors(j.tuples_test, j.vectors, out_col="ev")
-    sumv = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return rounded(tv.select("i", "c", "s", "n", *[sumv(f"v_{r}").alias(f"sum_{r}") for r in "icsn"]))
+    return rounded(tv.select("i", "c", "s", "n", *[order_sum(F.col(f"v_{r}")).alias(f"sum_{r}") for r in "icsn"]))
 
 
 @register(
@@ -655,19 +654,25 @@ def q_margin_fit(spark, sf_dir):
     )
 
 
-@register("metrics_log")
+_LOGGED = ("mean_loss", "acc_comp", "acc_sim", "acc_neg", "acc_rank")
+
+
+@register(
+    "metrics_log",
+    "SELECT margin_id, CAST(0 AS INTEGER) AS epoch, CAST(0 AS BIGINT) AS step, 'test' AS split, metric, value FROM ("
+    + " UNION ALL ".join(f"SELECT margin_id, '{m}' AS metric, {m} AS value FROM ({ORACLE['evaluate']})" for m in _LOGGED) + ")",
+)
 def q_metrics_log(spark, sf_dir):
-    """Evaluate the test split, append the metric rows to a partitioned table, read back."""
+    """The test split's metrics of every margin appended to a partitioned table and read back."""
     from tuplespace.plans.training import append_metrics, metrics_frame, new_run_id
     from tuplespace.session import scratch_path
 
-    ev = q_evaluate(spark, sf_dir).collect()  # one row per margin
-    run = new_run_id()
-    rows = [{"epoch": 0, "step": 0, "split": "test", "metric": f"{k}@{r['margin_id']}", "value": r[k]}
-            for r in ev for k in ("mean_loss", "acc_comp", "acc_sim", "acc_neg", "acc_rank")]
-    path = scratch_path(spark, "metrics")
-    append_metrics(metrics_frame(spark, rows, run, 0), path)
-    return spark.read.parquet(path).filter(F.col("run_id") == run)
+    run, path = new_run_id(), scratch_path(spark, "metrics")
+    for r in q_evaluate(spark, sf_dir).collect():  # one row per margin
+        rows = [{"epoch": 0, "step": 0, "split": "test", "metric": m, "value": r[m]} for m in _LOGGED]
+        append_metrics(metrics_frame(spark, rows, run, r["margin_id"]), path)
+    log = spark.read.parquet(path).where(F.col("run_id") == run)
+    return log.select("margin_id", "epoch", "step", "split", "metric", "value")
 
 
 @register("weights_roundtrip", ORACLE["evaluate"])
