@@ -34,7 +34,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that repeat that id one stays. Rows of a group without any id stay."""
     gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
-    return left.where("doc_id IS NULL").unionByName(left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    ids = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    ids = cut_lineage(ids, "repeated-ids")
+    if ids.isEmpty():  # as in any table with a key: no second shuffle of the texts
+        return left
+    once = left.join(ids, left["doc_id"] == ids["_id"], "left_semi").dropDuplicates(["doc_id"])
+    return left.join(ids, left["doc_id"] == ids["_id"], "left_anti").unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
