@@ -25,6 +25,7 @@ def main() -> None:
     spark = local_session(cores=cpus, partitions=int(cpus) * 2, app="tuplespace-bench")
 
     from tuplespace.operators.metrics import distance_stats, margin_sweep
+    from tuplespace.operators.product_reports import product_sweep
     from tuplespace.operators.tower import rational_weights
     from tuplespace.plans.job import TupleJob
     from tuplespace.plans.training import fit_margin
@@ -47,7 +48,7 @@ def main() -> None:
         w = TupleJob(spark, warm_dir)
         w.materialize_tuples()
         distance_stats(w.pair_dist).collect()
-        margin_sweep(w.distances("train"), w.cfg.margins).collect()
+        product_sweep(*w.part_distances(), w.cfg.margins).collect()
         margin_sweep(w.distances("test", rational_weights((64, 16, 12, 8))), w.cfg.margins).collect()
     extra["warmup_sec"] = round(time.time() - t_warm, 3)
 
@@ -57,13 +58,14 @@ def main() -> None:
     timed("tuple_counts", lambda: j.fanout.agg({"tuples_before_dedup": "sum"}).collect())
     timed("distance_stats", lambda: distance_stats(j.pair_dist).collect())
     timed("margin_sweep_test", lambda: margin_sweep(j.distances("test"), j.cfg.margins).collect())
-    timed("margin_sweep_train", lambda: margin_sweep(j.distances("train"), j.cfg.margins).collect())
+    timed("margin_sweep_train", lambda: product_sweep(*j.part_distances(), j.cfg.margins).collect())
     layers = rational_weights((64, 16, 12, 8))
     timed("evaluate_tower_test", lambda: margin_sweep(j.distances("test", layers), j.cfg.margins).collect())
-    timed("evaluate_tower_train", lambda: margin_sweep(j.distances("train", layers), j.cfg.margins).collect())
+    timed("evaluate_tower_train", lambda: product_sweep(*j.part_distances(layers), j.cfg.margins).collect())
     from tuplespace.operators.tower import glorot_weights
 
-    cfg = replace(j.cfg, batch_size=32768, epochs=1)
+    # One whole epoch: the last, smaller batch is a step too.
+    cfg = replace(j.cfg, batch_size=1 << 20, epochs=1, drop_remainder=False)
     init = glorot_weights((64, 16, 12, 8), cfg.init_seed)
     timed("fit_sync_epoch", lambda: fit_margin(j.tuples_train, j.vectors, init, cfg.margin, cfg))
 
