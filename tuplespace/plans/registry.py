@@ -19,6 +19,7 @@ from tuplespace.plans.job import TupleJob
 from tuplespace.plans.oracle import (
     linear_gradient_sql, loss_sql, margins_values, order_sum_sql, pred_sql, r6, with_ctes,
 )
+from tuplespace.plans.oracle_sgd import distances_sql, epoch_metrics_sql, outputs_sql, steps_sql, totals_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -545,15 +546,6 @@ def _rational_layers():
     return rational_weights(DIMS)
 
 
-def _init_layers(cfg: TupleConfig | None = None):
-    """Training starts from Glorot-normal weights (seeded) like the reference; the
-    rational weights are for exact forward checks (their outputs are so small that
-    one step lets the bias dominate)."""
-    from tuplespace.operators.tower import glorot_weights
-
-    return glorot_weights(DIMS, (cfg or TupleConfig()).init_seed)
-
-
 @register(
     "tower_forward",
     with_ctes(
@@ -586,7 +578,7 @@ def q_evaluate(spark, sf_dir):
 
 # --- 8. training ----------------------------------------------------------------------
 
-FIT_BATCH = 65536  # large synchronous batches for the registered fits; the last, smaller batch counts too
+FIT_BATCH = 131072  # large synchronous batches for the registered fits; the last, smaller batch counts too
 
 
 @register("train_gradient", with_ctes(linear_gradient_sql(M0), "tuples_test", "vectors"))
@@ -605,14 +597,43 @@ def q_train_gradient(spark, sf_dir):
     return spark.createDataFrame(data, "param long, g double")
 
 
-@register("train_one_step")
+FIT_STEPS = 2  # the SQL twins follow so many steps: up to 262,144 tuples of the train split
+LINEAR = (DIMS[0], DIMS[-1])  # the checked fits train one linear layer from the rational weights
+
+
+def _linear_layers():
+    from tuplespace.operators.tower import rational_weights
+
+    return rational_weights(LINEAR)
+
+
+def _fit_sql(body: str, steps: int, margins, *needs: str) -> str:
+    """``body`` after the CTEs of ``steps`` training steps per margin, named m0, m1, ..."""
+    cfg = TupleConfig()
+    extra = ["vec AS MATERIALIZED (SELECT item_id, CAST(ev AS DOUBLE[]) AS x FROM vectors)"]
+    for k, margin in enumerate(margins):
+        extra += steps_sql(margin, cfg.lr, cfg.seed, FIT_BATCH, steps, *LINEAR, name=f"m{k}")
+    return with_ctes("", "tuples_train", "vectors", *needs).rstrip() + ",\n" + ",\n".join(extra) + "\n" + body
+
+
+def _one_step_sql() -> str:
+    after = distances_sql(f"(SELECT * FROM m0pos WHERE pos < {FIT_BATCH})", f"({outputs_sql('m0p1', *LINEAR)})", LINEAR[1])
+    loss = "(" + " + ".join(f"({v})" for k, v in loss_sql(*[str(x) for x in M0]).items() if k != "loss") + ")"
+    return _fit_sql(
+        "SELECT 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM m0d0 UNION ALL "
+        f"SELECT 'loss_before', round(avg({loss}), 6) FROM m0d0 UNION ALL "
+        f"SELECT 'loss_after', round(avg({loss}), 6) FROM ({after}) UNION ALL "
+        "SELECT 'grad_norm', round(sqrt(list_sum(list_transform(g, lambda v: v * v)) / len(g)), 6) FROM m0w0", 1, [M0])
+
+
+@register("train_one_step", _one_step_sql())
 def q_train_one_step(spark, sf_dir):
-    """One synchronous SGD step on the first train batch: loss before and after."""
+    """One synchronous SGD step of a linear tower on the first train batch: loss before and after."""
     from tuplespace.operators.train import gradient_sums, grad_norm, sgd_step
     from tuplespace.plans.training import BatchSource
 
     j = job(spark, sf_dir)
-    layers = _init_layers(j.cfg)
+    layers = _linear_layers()
     src = BatchSource(j.tuples_train, j.vectors, FIT_BATCH, j.cfg.seed, drop_remainder=False)
     batch = src(0).batch(0)
     g, s = gradient_sums(batch, layers, M0)
@@ -620,25 +641,40 @@ def q_train_one_step(spark, sf_dir):
     _, s2 = gradient_sums(batch, new, M0)
     data = [("rows", float(s[0])), ("loss_before", float(s[1] / s[0])), ("loss_after", float(s2[1] / s2[0])),
             ("grad_norm", float(grad_norm(g / s[0])))]
-    return spark.createDataFrame(data, "metric string, value double")
+    return rounded(spark.createDataFrame(data, "metric string, value double"))
 
 
-@register("train_fit")
+@register("train_fit", _fit_sql(
+    "SELECT step, metric, round(value, 6) AS value FROM (" + epoch_metrics_sql("m0", M0, FIT_STEPS) + ")", FIT_STEPS, [M0]))
 def q_train_fit(spark, sf_dir):
-    """One epoch of synchronous SGD over the whole train split; metric rows."""
+    """One epoch of synchronous SGD of a linear tower over the whole train split; its metric rows."""
     from dataclasses import replace
 
     from tuplespace.plans.training import fit_margin, metrics_frame, new_run_id
 
     j = job(spark, sf_dir)
     cfg = replace(j.cfg, batch_size=FIT_BATCH, epochs=1, drop_remainder=False)
-    layers, rows = fit_margin(j.tuples_train, j.vectors, _init_layers(cfg), M0, cfg)
-    return metrics_frame(spark, rows, new_run_id(), 0)
+    _, rows = fit_margin(j.tuples_train, j.vectors, _linear_layers(), M0, cfg)
+    log = metrics_frame(spark, rows, new_run_id(), 0).where("metric <> 'seconds'")
+    return rounded(log.select("step", "metric", "value"))
 
 
-@register("margin_fit")
+def _margin_fit_sql() -> str:
+    margins = TupleConfig().margins
+    rows = []
+    for k, m in enumerate(margins):
+        t = f"(SELECT sum(hit_comp) / sum(n) AS c, sum(hit_neg) / sum(n) AS a FROM ({totals_sql(f'm{k}', m, FIT_STEPS)}) WHERE n > 0)"
+        test = distances_sql("tuples_test", f"({outputs_sql(f'm{k}p{FIT_STEPS}', *LINEAR)})", LINEAR[1])
+        rows.append(
+            f"SELECT CAST({k} AS INTEGER) AS margin_id, CAST({m[0]} AS DOUBLE) AS ms, CAST({m[1]} AS DOUBLE) AS mc, CAST({m[2]} AS DOUBLE) AS mn, "
+            f"round(c, 6) AS train_acc_comp, round(a, 6) AS train_acc_neg, round(c / (c + (1.0 - a)), 6) AS train_precision, "
+            f"round((SELECT avg(CAST(d2c < d2n AS DOUBLE)) FROM ({test})), 6) AS test_acc_rank FROM {t}")
+    return _fit_sql(" UNION ALL ".join(rows), FIT_STEPS, margins, "tuples_test")
+
+
+@register("margin_fit", _margin_fit_sql())
 def q_margin_fit(spark, sf_dir):
-    """One epoch of synchronous SGD per margin triple (fresh weights each), test
+    """One epoch of synchronous SGD per margin triple (the same fresh linear tower each), test
     evaluation after the epoch; one summary row per margin."""
     from dataclasses import replace
 
@@ -646,12 +682,12 @@ def q_margin_fit(spark, sf_dir):
 
     j = job(spark, sf_dir)
     cfg = replace(j.cfg, batch_size=FIT_BATCH, epochs=1, drop_remainder=False)
-    summary, _ = margin_fit(j, cfg, _init_layers(cfg))
-    return spark.createDataFrame(
+    summary, _ = margin_fit(j, cfg, _linear_layers())
+    return rounded(spark.createDataFrame(
         [tuple(float(r[k]) if k != "margin_id" else int(r[k]) for k in r) for r in summary],
         "margin_id int, ms double, mc double, mn double, train_acc_comp double, train_acc_neg double, "
         "train_precision double, test_acc_rank double",
-    )
+    ))
 
 
 _LOGGED = ("mean_loss", "acc_comp", "acc_sim", "acc_neg", "acc_rank")
