@@ -29,6 +29,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches between JVM and Python by bytes: whole texts pass through
+    them, and 10,000 rows (the default) of long ones fill an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def text_blocks(batches, column: str = "text", max_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the incoming batches with at most ``max_bytes`` of text (one row at least)."""
     for batch in batches:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuplespace.llm.common import (
-    SHINGLE_WORDS, WHITE_SPACE, byte_set, hash_spans, shingle_hashes, string_view, text_blocks, word_spans)
+    SHINGLE_WORDS, WHITE_SPACE, byte_set, hash_spans, shingle_hashes, small_batches, string_view, text_blocks, word_spans)
 from tuplespace.session import cut_lineage
 
 UNIT_WORDS = 128
@@ -217,6 +217,7 @@ def index_shards(benchmark: DataFrame, size: int = SHARD_UNITS):
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SCORE_SHARE, overlap: float = OVERLAP) -> DataFrame:
     """One row per (doc_id, item_id) whose question and answer a passage of the document holds:
     doc_id, item_id, bm25_share, question_overlap, answer_overlap (best of the document's passages)."""
+    small_batches(docs.sparkSession)
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, "doc_id"), (benchmark, "item_id")))
     schema = (f"doc_id {kind}, item_id {item_kind}, bm25_share double, question_overlap double, answer_overlap double")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuplespace.llm.common import mix64, text_blocks
+from tuplespace.llm.common import mix64, small_batches, text_blocks
 from tuplespace.session import cut_lineage
 
 MAX_GRAM = 3
@@ -208,6 +208,7 @@ class LanguageModel:
 
 def train_language_model(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -> LanguageModel:
     """Fit on the training fold of ``docs`` (doc_id, text, lang)."""
+    small_batches(docs.sparkSession)
     train = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     train = train.where(F.col("doc_id").isNotNull() & ~fold(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     languages = sorted(r[0] for r in train.select("lang").distinct().collect())  # the classes

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuplespace.llm.common import long_lists, mix64, shingle_sets, text_blocks
+from tuplespace.llm.common import long_lists, mix64, shingle_sets, small_batches, text_blocks
 from tuplespace.llm.components import component_labels
 from tuplespace.session import cut_lineage
 
@@ -218,6 +218,7 @@ def _digested(batches):
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD_PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     signed = cut_lineage(signatures(docs), "minhash")
     sets = signed.where("cls IS NOT NULL")
     # Equal sets have equal signatures: any row's will do for the class.

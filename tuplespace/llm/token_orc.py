@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tuplespace.llm.common import text_blocks
+from tuplespace.llm.common import small_batches, text_blocks
 from tuplespace.session import scratch_path
 
 END_ID = 2
@@ -156,6 +156,7 @@ def write_token_orc(
     row_stride: int = 2_000,
 ) -> None:
     """Encode ``docs`` (doc_id, text) and write ORC files in ascending id order."""
+    small_batches(docs.sparkSession)
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
     placed = hashed.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
     placed = placed.select("doc_id", "text", F.spark_partition_id().alias("part"))
