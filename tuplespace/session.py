@@ -77,9 +77,13 @@ def drop_table(df) -> None:
     """Delete the folder behind a table made by :func:`cut_lineage` (no further use)."""
     path = getattr(df, "_tuplespace_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        delete_path(df.sparkSession, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours under the checkpoint base, through the file system Spark uses."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 class job_label:
