@@ -13,13 +13,10 @@ the first in a seeded order, so that the buckets of a group mostly share theirs
 repeat the same few pairs. Links to pivots already join most of every group. Buckets
 that still hold several components are finished exactly: members outside the pivot's
 component meet the members of other components, each pair in its first common band
-only. First the pairs whose estimate is near the threshold, which join what belongs
-together; then, for what is still apart, longer signatures (``FINE_HASHES``) are made
-and every pair is confirmed that their closer estimate does not rule out.
+only, with their sets at hand, and only links come out.
 
 With 32 bands of 4 a pair at similarity 0.75 shares no band with probability 5e-6.
-Both slacks are about five standard deviations of their estimate at 0.75 (0.041 for
-128 groups of 4 bits, 0.016 for 1,024 of 2 bits).
+The slack is about five standard deviations of the estimate at 0.75 (0.041).
 
 Cases: null or empty text has the empty set and no links. Rows that repeat an id are
 rows of their own with the same component. A null id is linked like any other text,
@@ -41,8 +38,6 @@ from tuplespace.session import cut_lineage
 HASHES, BANDS, BITS = 128, 32, 4
 THRESHOLD_PERCENT = 75
 SLACK = 0.2
-NEAR = 0.03  # the first round of open buckets takes estimates down to the threshold less this
-FINE_HASHES, FINE_BITS, FINE_SLACK = 1024, 2, 0.08
 
 
 def minima(hashes: np.ndarray, offsets: np.ndarray, count: int = HASHES) -> np.ndarray:
@@ -128,11 +123,17 @@ def estimate(a: Column, b: Column, hashes: int = HASHES, bits: int = BITS) -> Co
     return (agreeing_groups(a, b, hashes, bits) / hashes - chance) / (1 - chance)
 
 
-def _may_link(threshold: int, floor: float, hashes: int = HASHES, bits: int = BITS) -> Column:
+def _may_link(threshold: int) -> Column:
     """Sizes and estimate of a and b allow the threshold."""
     na, nb = F.col("n_a"), F.col("n_b")
     sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * threshold
-    return sizes & (estimate(F.col("packed_a"), F.col("packed_b"), hashes, bits) >= floor)
+    return sizes & (estimate(F.col("packed_a"), F.col("packed_b")) >= threshold / 100 - SLACK)
+
+
+def _linked(a: str, b: str, threshold: int) -> Column:
+    """The full sets reach the threshold."""
+    both = F.size(F.array_intersect(a, b))
+    return both * 100 >= (F.size(a) + F.size(b) - both) * threshold
 
 
 def _side(classes: DataFrame, s: str, *more: str) -> DataFrame:
@@ -155,58 +156,44 @@ def _open(crowded: DataFrame, named: DataFrame) -> DataFrame:
     return placed.join(keys, "key", "left_semi")
 
 
-def _meetings(rows: DataFrame, classes: DataFrame, may_link: Column) -> DataFrame:
-    """Pairs (a, b) of different components in an open bucket, one of them outside, that may link;
-    a pair counts in its first common band."""
+def _meetings(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) of classes of different components in an open bucket, one of them outside;
+    a pair counts in its first common band. ``classes`` has bands and grams."""
     a = rows.where("outside").select("band", "key", F.col("cls").alias("a"), F.col("comp").alias("comp_a"))
     b = rows.select("key", F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
     same = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
     first = F.array_position(same, F.lit(True)) == F.col("band") + 1
-    both = a.join(_side(classes, "a", "bands"), "a").join(b.join(_side(classes, "b", "bands"), "b"), "key")
-    return both.where((F.col("comp_a") != F.col("comp_b")) & may_link & first).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def _finer(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``classes`` with signatures of FINE_HASHES minima in place of ``packed``."""
-    def run(batches):
-        for block in text_blocks(batches):
-            hashes, offsets = shingle_sets(block.column("text"))
-            some = np.flatnonzero(np.diff(offsets))
-            packed = np.zeros((len(some), FINE_HASHES * FINE_BITS // 64), np.uint64)
-            if len(some):
-                mins = minima(hashes, np.r_[offsets[:-1][some], len(hashes)], FINE_HASHES)
-                packed = pack_low_bits(mins, FINE_BITS)
-            ends = np.cumsum(np.diff(offsets) > 0)
-            yield pa.RecordBatch.from_arrays(
-                [block.column("cls"), set_digests(hashes, offsets), long_lists(packed.ravel(), np.r_[0, ends] * packed.shape[1])],
-                names=["cls", "own", "packed"])
+    both = a.join(_side(classes, "a", "bands", "grams"), "a").join(b.join(_side(classes, "b", "bands", "grams"), "b"), "key")
+    links = both.where((F.col("comp_a") != F.col("comp_b")) & _may_link(threshold) & first & _linked("grams_a", "grams_b", threshold))
+    return links.select("a", "b")
+
 
+def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, grams) of the classes in ``wanted`` (cls, rep), from the texts of their representatives.
+
+    An id on several rows may bring another text's set: the digest drops it."""
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
-    fine = texts.join(classes.select("cls", "rep"), "rep").select("cls", "text").mapInArrow(
-        run, "cls binary, own binary, packed array<long>")
-    fine = fine.where("cls = own").dropDuplicates(["cls"]).select("cls", "packed")
-    return cut_lineage(classes.drop("packed").join(fine, "cls"), "finer")
+    grams = texts.join(wanted, "rep").select("cls", "text").mapInArrow(_digested, "cls binary, own binary, grams array<long>")
+    return cut_lineage(grams.where("cls = own").dropDuplicates(["cls"]).select("cls", "grams"), "sets")
+
+
+def _as_reps(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links of classes as links of their representatives."""
+    reps = classes.select("cls", "rep")
+    links = links.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("_a")), "a")
+    links = links.join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("_b")), "b")
+    return cut_lineage(links.select(F.col("_a").alias("a"), F.col("_b").alias("b")), "confirmed")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, as links of representatives."""
     pairs = cut_lineage(pairs.select("a", "b").distinct(), "candidates")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = wanted.join(classes.select("cls", "rep"), "cls")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
-    # An id on several rows may bring another text's set: the digest check below drops it.
-    grams = texts.join(wanted, "rep").select("cls", "text").mapInArrow(_digested, "cls binary, own binary, grams array<long>")
-    grams = cut_lineage(grams.where("cls = own").dropDuplicates(["cls"]).select("cls", "grams"), "sets")
+    grams = _shingled(docs, wanted.join(classes.select("cls", "rep"), "cls"))
     ga = grams.select(F.col("cls").alias("a"), F.col("grams").alias("ga"))
     gb = grams.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    kept = pairs.join(ga, "a").join(gb, "b").where(
-        both * 100 >= (F.size("ga") + F.size("gb") - both) * threshold).select("a", "b")
-    reps = classes.select("cls", "rep")
-    kept = kept.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("_a")), "a")
-    kept = kept.join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("_b")), "b")
-    return cut_lineage(kept.select(F.col("_a").alias("a"), F.col("_b").alias("b")), "confirmed")
+    kept = pairs.join(ga, "a").join(gb, "b").where(_linked("ga", "gb", threshold)).select("a", "b")
+    return _as_reps(kept, classes)
 
 
 def _digested(batches):
@@ -234,20 +221,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD_PERCENT) -> Data
     crowded = cut_lineage(members.join(buckets, "key"), "buckets")  # only buckets of several classes
     pairs = (crowded.where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
              .distinct().join(_side(found, "a"), "a").join(_side(found, "b"), "b")
-             .where(_may_link(threshold, threshold / 100 - SLACK)))
+             .where(_may_link(threshold)))
     links = _confirmed(docs, pairs, found, threshold)
     labels = component_labels(links)
 
-    rows_open = _open(crowded, _components(found, labels))
-    more = _confirmed(docs, _meetings(rows_open, found, _may_link(threshold, threshold / 100 - NEAR)), found, threshold)
-    if not more.isEmpty():
-        links = links.union(more)
-        labels = component_labels(links)
-        rows_open = _open(crowded, _components(found, labels))
+    rows_open = cut_lineage(_open(crowded, _components(found, labels)), "open")
     still = found.join(rows_open.select("cls").distinct(), "cls", "left_semi")
-    fine = _finer(docs, still)
-    allowed = _may_link(threshold, threshold / 100 - FINE_SLACK, FINE_HASHES, FINE_BITS)
-    more = _confirmed(docs, _meetings(rows_open, fine, allowed), found, threshold)
+    still = still.join(_shingled(docs, still.select("cls", "rep")), "cls")
+    more = _as_reps(_meetings(rows_open, still, threshold), found)
     if not more.isEmpty():
         labels = component_labels(links.union(more))
 
