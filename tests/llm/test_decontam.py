@@ -85,3 +85,23 @@ def test_several_index_shards_give_the_same(spark, sf_small, monkeypatch):
     assert len(shards) > 2
     monkeypatch.setattr(decontam, "index_shards", lambda b: shards)
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == whole
+
+
+def test_long_items_are_judged_as_a_whole(spark, rng, make_words):
+    phrase = "in the light of all"
+    def item(question, tail):
+        return f"{make_words(rng, question)}. {tail}"
+    tailed = item(128, phrase)  # 133 words, the last five common
+    answered = item(128, make_words(rng, 3))  # a tail under five words
+    longer = item(300, make_words(rng, 10))
+    noise = [make_words(rng, 300) for _ in range(3)]
+    words = longer.split()
+    pieces = f" {noise[1]} ".join(" ".join(words[k:k + 155]) for k in (0, 155))
+    bench = spark.createDataFrame(list(enumerate([tailed, answered, longer], 1)), "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, f"{noise[0]} {phrase} {noise[1]}"), (2, f"{noise[0]} {tailed} {noise[1]}"), (3, f"{tailed.split('.')[0]} {noise[2]}"),
+         (4, f"{noise[1]} {answered}"), (5, f"{noise[1]} {answered.split('.')[0]} {noise[0]}"), (6, f"{noise[2]} {longer} {noise[0]}"),
+         (7, " ".join(words[:300])), (8, " ".join(words[60:200])), (9, f"{noise[0]} {pieces} {noise[2]}"),
+         (10, f"{noise[0]} {' '.join(words[40:])}"), (11, " ".join(words[128:]))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
+    assert got == {(2, 1), (4, 2), (6, 3), (9, 3), (10, 3)}

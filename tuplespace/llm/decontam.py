@@ -1,6 +1,7 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, with block-max WAND.
 
-Test items are cut into units of at most ``UNIT_WORDS`` words and indexed: postings
+Test items are cut into units of at most ``UNIT_WORDS`` words (the last one of a longer
+item is as long as the others and overlaps the one before it) and indexed: postings
 per term in unit order, in blocks of ``BLOCK_UNITS`` units, each with its largest
 impact. Impacts are divided by the unit's own best score, so that a threshold means
 a share of a perfect match. Every document is cut into overlapping passages, long
@@ -9,9 +10,11 @@ commonest terms, up to the share ``COMMON`` of its score, can't lift it over the
 threshold alone, so only postings of its other terms start a search: their block
 maxima bound the score of each (passage, block), their impacts that of each
 (passage, unit) of the blocks that remain, always with the common terms' share
-added, and only what can still reach the threshold is scored in full. Units above it
-are verified on word runs: the shares of the question's and of the answer's
-five-word shingles found in the passage.
+added, and only what can still reach the threshold is scored in full. Units only find
+candidates: an item with a unit above the threshold is verified as a whole on word
+runs, by the shares of its question's and of its answer's five-word shingles found. An
+item of one unit is looked for in each passage, a longer one in all passages of the
+document that hold a unit of it, each widened by the item's words around that unit.
 
 An index shard holds at most ``SHARD_UNITS`` units; it is read to the driver under
 that bound and sent with the task. More items make more shards, each one pass.
@@ -96,7 +99,8 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items: list[int] = []
-        self.grams = []  # per unit ((question grams, run length), (answer grams, run length))
+        self.grams = []  # per item ((question grams, run length), (answer grams, run length))
+        self.units = []  # per unit (its item's place in ``items``, words of the item before it, words after it)
         bags = []
         for item_id, text in items:
             q, a = question_and_answer(text or "")
@@ -107,13 +111,13 @@ class ItemIndex:
             if len(q) < SHINGLE_WORDS:  # too little to ask: the whole item is the question
                 q, a = words, words[:0]
             whole = np.concatenate([q, a])
-            for begin in range(0, len(whole), UNIT_WORDS):
-                end = min(begin + UNIT_WORDS, len(whole))
-                if begin and end - begin < SHINGLE_WORDS:
-                    break
-                self.items.append(item_id)
-                self.grams.append((_grams(q[begin:end]), _grams(a[max(begin - len(q), 0):max(end - len(q), 0)])))
+            for end in range(UNIT_WORDS, len(whole) + UNIT_WORDS, UNIT_WORDS):
+                end = min(end, len(whole))
+                begin = max(end - UNIT_WORDS, 0)
+                self.units.append((len(self.items), begin, len(whole) - end))
                 bags.append(whole[begin:end])
+            self.items.append(item_id)
+            self.grams.append((_grams(q), _grams(a)))
         units = len(bags)
         self.unit_words = max([SHINGLE_WORDS, *map(len, bags)])
         self.blocks = -(-units // BLOCK_UNITS)
@@ -185,20 +189,40 @@ class ItemIndex:
             if score >= share:
                 yield begin, end, u, score
 
-    def overlaps(self, unit: int, words: np.ndarray) -> tuple[float, float | None]:
-        """Shares of the unit's question and answer shingles among the passage's; None without an answer."""
-        out = []
-        for grams, size in self.grams[unit]:
-            if not size:
-                out.append(None)
-            elif len(words) < size:
-                out.append(0.0)
+    def overlaps(self, item: int, words: np.ndarray, spans: list[tuple[int, int]]) -> tuple[float, float | None]:
+        """Shares of the item's question and answer shingles in the ``spans`` of ``words``; None without an answer."""
+        joined = []
+        for begin, end in sorted(spans):
+            if joined and begin <= joined[-1][1]:
+                joined[-1] = joined[-1][0], max(end, joined[-1][1])
             else:
-                there = shingle_hashes(words, np.zeros(len(words), np.int64), size)[0]
-                out.append(float(np.isin(grams, there).mean()))
+                joined.append((begin, end))
+        near = np.concatenate([words[begin:end] for begin, end in joined])
+        owner = np.repeat(np.arange(len(joined)), [end - begin for begin, end in joined])
+        out = []
+        for grams, size in self.grams[item]:
+            out.append(float(np.isin(grams, shingle_hashes(near, owner, size)[0]).mean()) if size else None)
         question, answer = out
         return (answer, None) if question is None else (question, answer)
 
+    def matches(self, words: np.ndarray, documents: np.ndarray, share: float, overlap: float):
+        """(document, item's place in ``items``, best score of a unit, question and answer overlap) of the items found."""
+        found: dict = {}
+        for begin, end, unit, score in self.search(words, documents, share):
+            item, before, after = self.units[unit]
+            document = int(documents[begin])
+            if before or after:
+                first, last = np.searchsorted(documents, (document, document + 1))
+                begin, end = max(begin - before, int(first)), min(end + after, int(last))
+            # An item of one unit is looked for in each passage by itself.
+            spans, scores = found.setdefault((document, item, -1 if before or after else begin), ([], []))
+            spans.append((begin, end))
+            scores.append(score)
+        for (document, item, _), (spans, scores) in found.items():
+            question, answer = self.overlaps(item, words, spans)
+            if question >= overlap and (answer is None or answer >= overlap):
+                yield document, item, max(scores), question, answer
+
 
 def index_shards(benchmark: DataFrame, size: int = SHARD_UNITS):
     """ItemIndex of every ``size`` items, items in order of a hash; read one shard at a time."""
@@ -215,8 +239,8 @@ def index_shards(benchmark: DataFrame, size: int = SHARD_UNITS):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SCORE_SHARE, overlap: float = OVERLAP) -> DataFrame:
-    """One row per (doc_id, item_id) whose question and answer a passage of the document holds:
-    doc_id, item_id, bm25_share, question_overlap, answer_overlap (best of the document's passages)."""
+    """One row per (doc_id, item_id) whose question and answer the document holds: doc_id, item_id, bm25_share (best of
+    the item's units), question_overlap, answer_overlap (best of the document's passages)."""
     small_batches(docs.sparkSession)
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, "doc_id"), (benchmark, "item_id")))
     schema = (f"doc_id {kind}, item_id {item_kind}, bm25_share double, question_overlap double, answer_overlap double")
@@ -233,11 +257,9 @@ def _matcher(index: ItemIndex, share: float, overlap: float):
         for block in text_blocks(batches):
             words, documents = text_words(block.column("text"))
             rows, matched = [], []
-            for begin, end, unit, score in index.search(words, documents, share):
-                question, answer = index.overlaps(unit, words[begin:end])
-                if question >= overlap and (answer is None or answer >= overlap):
-                    rows.append(int(documents[begin]))
-                    matched.append((index.items[unit], score, question, answer))
+            for document, item, *figures in index.matches(words, documents, share, overlap):
+                rows.append(document)
+                matched.append((index.items[item], *figures))
             items, scores, questions, answers = zip(*matched, strict=True) if matched else ((),) * 4
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()),
