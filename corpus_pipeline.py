@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tuplespace.llm.common import read_table
 from tuplespace.llm.decontam import decontaminate
 from tuplespace.llm.langid import UNKNOWN, train_language_model
-from tuplespace.llm.minhash import near_duplicates
+from tuplespace.llm.minhash import kept_rows, linked_rows, rows_without_id
 from tuplespace.llm.mixing import mix
 from tuplespace.llm.queries import word_tokenizer
 from tuplespace.llm.token_orc import tokenize_documents
@@ -31,9 +31,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Of rows that repeat that id one stays. Rows of a group without any id stay."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    Of rows that repeat that id one stays, of a group without any id one row."""
+    linked = linked_rows(docs)
+    if docs.where("doc_id IS NULL").isEmpty():
+        return _rows_with_id(docs, linked)
+    linked = cut_lineage(linked, "linked")
+    return _rows_with_id(docs.where("doc_id IS NOT NULL"), linked).unionByName(rows_without_id(docs, linked))
+
+
+def _rows_with_id(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    gone = kept_rows(linked).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     ids = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
     ids = cut_lineage(ids, "repeated-ids")
     if ids.isEmpty():  # as in any table with a key: no second shuffle of the texts

@@ -87,3 +87,20 @@ def test_components_of_long_chain(spark, rng):
     got = dict(component_labels(spark.createDataFrame(links, "a long, b long")).collect())
     first, second = names[:91], names[91:]
     assert got == {x: min(first) for x in first} | {x: min(second) for x in second}
+
+
+def test_texts_without_an_id_are_linked(spark, rng, make_words):
+    from corpus_pipeline import near_dedup
+
+    a, b, c, d, e = (make_words(rng, 60).split() for _ in range(5))
+    # The first and the last 50 words of c are alike only through the whole.
+    rows = [(None, a, "a"), (None, [*a[1:], "one"], "a"), (None, [*a[1:], "two"], "a"), (None, a, "a"), (5, b, "b"), (None, b[2:], "b"),
+            (None, d, "d"), (8, e, "e"), (20, c[:50], "c"), (21, c[10:], "c"), (None, c, "c"), (None, [], "none"), (None, [], "none")]
+    docs = spark.createDataFrame([(i, " ".join(t), k) for i, t, k in rows], "doc_id long, text string, source string").repartition(3)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect()), key=str)
+    want = [(None, None, True)] * 7 + [(5, 5, True), (None, 5, False), (8, 8, True), (20, 20, True), (21, 20, False), (None, 20, False)]
+    assert got == sorted(want, key=str)
+    left = near_dedup(spark, docs, "")
+    assert left.columns == docs.columns
+    want = [("5", "b"), ("8", "e"), ("20", "c"), ("None", "a"), ("None", "d"), ("None", "none"), ("None", "none")]
+    assert sorted((str(r.doc_id), r.source) for r in left.collect()) == sorted(want)

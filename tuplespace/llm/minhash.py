@@ -20,8 +20,9 @@ The slack is about five standard deviations of the estimate at 0.75 (0.041).
 
 Cases: null or empty text has the empty set and no links. Rows that repeat an id are
 rows of their own with the same component. A null id is linked like any other text,
-but names no component: if a component has no other id, component_id is null and the
-row is kept. Further columns of the input are not read.
+but names no component: if a component has no other id, component_id is null and its
+rows are kept (``rows_without_id`` takes one of them). Further columns of the input are
+not read.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tuplespace.llm.common import long_lists, mix64, shingle_sets, small_batches, text_blocks
 from tuplespace.llm.components import component_labels
@@ -141,10 +143,18 @@ def _side(classes: DataFrame, s: str, *more: str) -> DataFrame:
                           *[F.col(c).alias(f"{c}_{s}") for c in more])
 
 
+def _node() -> Column:
+    """A class as a node of the links: its smallest id ``rep``, or its digest if it has none. Nodes with an id come
+    first, so that the smallest node of a component has its smallest id."""
+    none = F.col("rep").isNull()
+    return F.struct(none.alias("no_id"), F.coalesce("rep", F.lit(0)).alias("id"),
+                    F.when(none, F.col("cls")).otherwise(F.lit(b"")).alias("cls"))
+
+
 def _components(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(cls, comp) of every class; its own representative where it has no link."""
-    named = classes.select("cls", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return named.select("cls", F.coalesce("component", "rep").alias("comp"))
+    """(cls, comp) of every class; its own node where it has no link."""
+    named = classes.select("cls", _node().alias("node")).join(labels, "node", "left")
+    return named.select("cls", F.coalesce("component", "node").alias("comp"))
 
 
 def _open(crowded: DataFrame, named: DataFrame) -> DataFrame:
@@ -171,29 +181,35 @@ def _meetings(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
 def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, grams) of the classes in ``wanted`` (cls, rep), from the texts of their representatives.
 
-    An id on several rows may bring another text's set: the digest drops it."""
+    An id on several rows may bring another text's set: the digest drops it. Classes without an id
+    are found by the digests of the distinct texts without an id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
-    grams = texts.join(wanted, "rep").select("cls", "text").mapInArrow(_digested, "cls binary, own binary, grams array<long>")
-    return cut_lineage(grams.where("cls = own").dropDuplicates(["cls"]).select("cls", "grams"), "sets")
-
-
-def _as_reps(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links of classes as links of their representatives."""
-    reps = classes.select("cls", "rep")
-    links = links.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("_a")), "a")
-    links = links.join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("_b")), "b")
+    schema = "cls binary, own binary, grams array<long>"
+    grams = texts.join(wanted, "rep").select("cls", "text").mapInArrow(_digested, schema).where("cls = own")
+    bare = texts.where("rep IS NULL").select("text").distinct()
+    bare = bare.select(F.lit(None).cast("binary").alias("cls"), "text").mapInArrow(_digested, schema)
+    bare = bare.join(wanted.where("rep IS NULL").select(F.col("cls").alias("own")), "own", "left_semi")
+    grams = grams.select("cls", "grams").union(bare.select("own", "grams"))
+    return cut_lineage(grams.dropDuplicates(["cls"]), "sets")
+
+
+def _as_nodes(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links of classes as links of their nodes."""
+    nodes = classes.select("cls", _node().alias("node"))
+    links = links.join(nodes.select(F.col("cls").alias("a"), F.col("node").alias("_a")), "a")
+    links = links.join(nodes.select(F.col("cls").alias("b"), F.col("node").alias("_b")), "b")
     return cut_lineage(links.select(F.col("_a").alias("a"), F.col("_b").alias("b")), "confirmed")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold, as links of representatives."""
+    """The pairs (a, b) whose full sets reach the threshold, as links of nodes."""
     pairs = cut_lineage(pairs.select("a", "b").distinct(), "candidates")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     grams = _shingled(docs, wanted.join(classes.select("cls", "rep"), "cls"))
     ga = grams.select(F.col("cls").alias("a"), F.col("grams").alias("ga"))
     gb = grams.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
     kept = pairs.join(ga, "a").join(gb, "b").where(_linked("ga", "gb", threshold)).select("a", "b")
-    return _as_reps(kept, classes)
+    return _as_nodes(kept, classes)
 
 
 def _digested(batches):
@@ -203,8 +219,9 @@ def _digested(batches):
             [block.column("cls"), set_digests(hashes, offsets), long_lists(hashes, offsets)], names=["cls", "own", "grams"])
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD_PERCENT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+def linked_rows(docs: DataFrame, threshold: int = THRESHOLD_PERCENT) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, cls, and as ``node`` the smallest node of its component
+    (cls and node null if the text has no shingle)."""
     small_batches(docs.sparkSession)
     signed = cut_lineage(signatures(docs), "minhash")
     sets = signed.where("cls IS NOT NULL")
@@ -213,7 +230,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD_PERCENT) -> Data
     found = (sets.where("doc_id IS NOT NULL").join(classes.withColumnRenamed("cls", "_cls"),
              (F.col("cls") == F.col("_cls")) & (F.col("doc_id") == F.col("rep")))
              .select("cls", "rep", "n_shingles", "packed", "bands").dropDuplicates(["cls"]))
-    found = cut_lineage(found, "classes")
+    bare = sets.where("doc_id IS NULL").dropDuplicates(["cls"]).join(classes.where("rep IS NULL"), "cls")
+    found = cut_lineage(found.union(bare.select("cls", "rep", "n_shingles", "packed", "bands")), "classes")
     members = found.select("cls", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls")).alias("first"))
@@ -228,12 +246,39 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD_PERCENT) -> Data
     rows_open = cut_lineage(_open(crowded, _components(found, labels)), "open")
     still = found.join(rows_open.select("cls").distinct(), "cls", "left_semi")
     still = still.join(_shingled(docs, still.select("cls", "rep")), "cls")
-    more = _as_reps(_meetings(rows_open, still, threshold), found)
+    more = _as_nodes(_meetings(rows_open, still, threshold), found)
     if not more.isEmpty():
         labels = component_labels(links.union(more))
 
-    named = _components(found, labels).withColumnRenamed("comp", "_component")
-    out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    named = _components(found, labels).withColumnRenamed("comp", "node")
+    return signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left").select("doc_id", "n_shingles", "cls", "node")
+
+
+def _component_id() -> Column:
+    return F.when(F.col("cls").isNull(), F.col("doc_id")).when(~F.col("node.no_id"), F.col("node.id"))
+
+
+def kept_rows(linked: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of ``linked_rows``."""
+    return linked.select("doc_id", "n_shingles", _component_id().alias("component_id"),
+                         F.coalesce(F.col("doc_id") == _component_id(), _component_id().isNull()).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD_PERCENT) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    return kept_rows(linked_rows(docs, threshold))
+
+
+def _with_digests(batches):
+    for block in text_blocks(batches):
+        yield pa.RecordBatch.from_arrays([*block.columns, set_digests(*shingle_sets(block.column("text")))],
+                                         names=[*block.schema.names, "_cls"])
+
+
+def rows_without_id(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Of the rows of ``docs`` without an id: one of each component that has no id, and those without a shingle."""
+    schema = StructType([*docs.schema.fields, StructField("_cls", BinaryType())])
+    bare = docs.where("doc_id IS NULL").mapInArrow(_with_digests, schema)
+    first = linked.where("node.no_id AND node.cls = cls").select(F.col("cls").alias("_cls")).distinct()
+    once = bare.where("_cls IS NOT NULL").dropDuplicates(["_cls"]).join(first, "_cls", "left_semi")
+    return once.select(*docs.columns).unionByName(bare.where("_cls IS NULL").select(*docs.columns))
