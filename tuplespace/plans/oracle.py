@@ -161,8 +161,8 @@ BASE.update({
 })
 
 
-def linear_gradient_sql(margin, dim_in: int = 64, dim_out: int = 8) -> str:
-    """Mean gradient of the loss over the test tuples for a one-layer linear tower
+def linear_gradient_sql(margin, dim_in: int = 64, dim_out: int = 8, source: str = "tuples_test") -> str:
+    """Mean gradient of the loss over the tuples of ``source`` for a one-layer linear tower
     z = x W (W_1 rational, zero bias): sum over tuples and roles of x (outer) g_z.
     Parameters are numbered as flattened: W row-major, then b."""
     ms, mc, mn = margin
@@ -178,7 +178,7 @@ def linear_gradient_sql(margin, dim_in: int = 64, dim_out: int = 8) -> str:
     per = (
         "SELECT t.i, a.x AS xa, c.x AS xc, s.x AS xs, n.x AS xn, a.u AS ua, c.u AS uc, s.u AS us, n.u AS un, "
         "a.r AS ra, c.r AS rc, s.r AS rs, n.r AS rn, a.ss AS sa, c.ss AS sc, s.ss AS s_s, n.ss AS sn "
-        f"FROM tuples_test t JOIN ({unit}) a ON a.item_id = t.i JOIN ({unit}) c ON c.item_id = t.c "
+        f"FROM {source} t JOIN ({unit}) a ON a.item_id = t.i JOIN ({unit}) c ON c.item_id = t.c "
         f"JOIN ({unit}) s ON s.item_id = t.s JOIN ({unit}) n ON n.item_id = t.n"
     )
     diffs = (
@@ -210,7 +210,7 @@ def linear_gradient_sql(margin, dim_in: int = 64, dim_out: int = 8) -> str:
                                ("xs", "gus", "us", "rs", "s_s"), ("xn", "gun", "un", "rn", "sn"))
     )
     return (
-        "SELECT param, round(g / (SELECT count(*) FROM tuples_test), 6) AS g FROM ("
+        f"SELECT param, round(g / (SELECT count(*) FROM {source}), 6) AS g FROM ("
         f"SELECT wi * {dim_out} + wj AS param, sum(x[wi + 1] * gz[wj + 1]) AS g FROM ({rows}) q, "
         f"range({dim_in}) ti(wi), range({dim_out}) tj(wj) GROUP BY wi, wj "
         f"UNION ALL SELECT {dim_in * dim_out} + wj AS param, sum(gz[wj + 1]) AS g FROM ({rows}) q, "

@@ -581,22 +581,33 @@ def q_evaluate(spark, sf_dir):
 FIT_BATCH = 131072  # large synchronous batches for the registered fits; the last, smaller batch counts too
 
 
-@register("train_gradient", with_ctes(linear_gradient_sql(M0), "tuples_test", "vectors"))
-def q_train_gradient(spark, sf_dir):
-    """Mean loss gradient over the test tuples for a one-layer linear tower
-    (64 -> 8, rational weights): numpy partials per task, summed by Spark."""
+def _mean_gradient(spark, tuples, vectors):
     from tuplespace.operators.scoring import tuple_vectors
     from tuplespace.operators.tower import rational_weights
     from tuplespace.operators.train import gradient_sums
 
-    j = job(spark, sf_dir)
     layers = rational_weights((DIMS[0], DIMS[-1]))
-    rows = tuple_vectors(j.tuples_test, j.vectors, out_col="ev")
+    rows = tuple_vectors(tuples, vectors, out_col="ev")
     g, stats = gradient_sums(rows, layers, M0)
     data = [(k, float(round(v / stats[0], 6))) for k, v in enumerate(g)]
     return spark.createDataFrame(data, "param long, g double")
 
 
+@register("train_gradient", with_ctes(linear_gradient_sql(M0), "tuples_test", "vectors"))
+def q_train_gradient(spark, sf_dir):
+    """Mean loss gradient over the test tuples for a one-layer linear tower
+    (64 -> 8, rational weights): numpy partials per task, summed by Spark."""
+    j = job(spark, sf_dir)
+    return _mean_gradient(spark, j.tuples_test, j.vectors)
+
+
+@register("train_split_gradient", with_ctes(linear_gradient_sql(M0, source="tuples_train"), "tuples_train", "vectors"))
+def q_train_split_gradient(spark, sf_dir):
+    """The same gradient over all train tuples."""
+    j = job(spark, sf_dir)
+    return _mean_gradient(spark, j.tuples_train, j.vectors)
+
+
 FIT_STEPS = 2  # the SQL twins follow so many steps: up to 262,144 tuples of the train split
 LINEAR = (DIMS[0], DIMS[-1])  # the checked fits train one linear layer from the rational weights
 
