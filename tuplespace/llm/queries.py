@@ -14,6 +14,7 @@ from tuplespace.llm.lines import LINES_SQL, line_report
 from tuplespace.llm.minhash import near_duplicates
 from tuplespace.llm.mixing import mix_report
 from tuplespace.llm.onebit import nearest
+from tuplespace.llm.periodic import collapse_runs
 from tuplespace.llm.suffix_dedup import repeated_passages
 from tuplespace.llm.token_orc import tokenize_documents
 from tuplespace.llm.urls import filter_urls, urls_sql
@@ -66,6 +67,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse_runs(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_one_bit": op1_one_bit,
     "op2_langid": op2_langid,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_orc": op8_token_orc,
     "op9_suffix_array": op9_suffix_array,
     "op10_mixing": op10_mixing,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
