@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tuplespace.llm.common import read_table
+from tuplespace.llm.conversations import repair_report
 from tuplespace.llm.decontam import contaminated
 from tuplespace.llm.kdshards import shard_report
 from tuplespace.llm.langid import identify_languages
@@ -67,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_runs(read_table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_orc": op8_token_orc,
     "op9_suffix_array": op9_suffix_array,
     "op10_mixing": op10_mixing,
+    "op11_viterbi_repair": op11_viterbi_repair,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
