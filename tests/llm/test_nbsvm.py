@@ -1,0 +1,116 @@
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tuplespace.llm.nbsvm import (
+    FEATURES, MAX_GRAM, class_counts, count_ratios, dual_descent, fit_sigmoid, gram_columns, score_quality, train_quality_model,
+)
+
+
+def rows_for(rng, n, junk):
+    words = ["the", "sea", "was", "calm", "and", "light", "fell", "over", "it", "again"]
+    out = []
+    for k in range(n):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 60)))
+        out.append((k, text.upper().replace(" ", "!! ") if k % junk == 0 else text, int(k % junk != 0)))
+    return out
+
+
+def test_columns_are_the_distinct_grams():
+    texts = ["abcab", "", None, "é", "abcab", "a"]
+    found = list(gram_columns(pa.array(texts)))
+    for text, columns in zip(texts, found, strict=True):
+        raw = (text or "").encode()
+        grams = {raw[k : k + n] for n in range(1, MAX_GRAM + 1) for k in range(len(raw) - n + 1)}
+        assert len(columns) == len(grams) and (np.diff(columns) > 0).all()
+    assert (found[0] == found[4]).all()
+
+
+def test_counts_and_ratios(spark, rng):
+    rows = rows_for(rng, 80, 3)
+    table = spark.createDataFrame([(t, q) for _, t, q in rows], "text string, quality int").repartition(5)
+    counts, totals = class_counts(table)
+    want = np.zeros((2, FEATURES), np.int64)
+    for (_, _, q), columns in zip(rows, gram_columns(pa.array([t for _, t, _ in rows])), strict=True):
+        for c in columns.tolist():
+            want[q, c] += 1
+    assert (counts == want).all() and totals.tolist() == [sum(q == c for *_, q in rows) for c in (0, 1)]
+    p, q = want[1] + 1.0, want[0] + 1.0
+    assert np.allclose(count_ratios(counts), np.log(p / p.sum()) - np.log(q / q.sum()))
+
+
+def test_descent_closes_the_duality_gap():
+    rng = np.random.default_rng(2)
+    rows, signs = [], []
+    for k in range(120):
+        columns = np.sort(rng.choice(50, 12, replace=False))
+        values = rng.normal(size=12) + (0.4 if k % 2 else -0.4)
+        rows.append((columns, values / np.linalg.norm(values)))
+        signs.append(1.0 if k % 2 else -1.0)
+    signs, bounds = np.array(signs), np.full(120, 0.7)
+    w, b, alpha = dual_descent(rows, signs, bounds, epochs=2000, tolerance=1e-8)
+    losses = np.array([max(0.0, 1 - s * (w[c] @ v + b)) for (c, v), s in zip(rows, signs, strict=True)])
+    primal = 0.5 * (w @ w + b * b) + (bounds * losses).sum()
+    dual = alpha.sum() - 0.5 * (w @ w + b * b)
+    assert (alpha >= 0).all() and (alpha <= bounds).all()
+    assert primal - dual < 1e-5 * primal
+    again = np.zeros(FEATURES)
+    for (c, v), s, a in zip(rows, signs, alpha, strict=True):
+        again[c] += a * s * v
+    assert np.allclose(again, w)
+
+
+def test_sigmoid_rises_and_meets_the_shares():
+    rng = np.random.default_rng(1)
+    labels = np.repeat([0, 1], 400)
+    margins = np.where(labels == 1, 1.0, -1.0) + rng.normal(size=800)
+    slope, offset = fit_sigmoid(margins, labels, np.array([0.1, 0.9]))
+    p = 1 / (1 + np.exp(-(slope * margins + offset)))
+    assert slope > 1 and abs(0.1 * p[labels == 0].mean() + 0.9 * p[labels == 1].mean() - 0.9) < 0.01
+
+
+def test_edges(spark, rng):
+    rows = rows_for(rng, 200, 4)
+    docs = [(k, t, "x", 9) for k, t, _ in rows] + [(None, "the sea", "x", 1), (900, None, "x", 1), (901, "", "x", 1), (5, rows[5][1], "x", 1),
+            (902, "THE!! " * 30000, "x", 1)]
+    marks = [(k, q) for k, _, q in rows] + [(3, None), (4, 7), (None, 1), (5000, 0), (6, 0), (6, 1)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, score string, quality int").repartition(4)
+    labels = spark.createDataFrame([(k, q, 0.5) for k, q in marks], "doc_id long, quality int, score double")
+    out = score_quality(table, labels).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(d[0]) for d in docs)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
+    by_id = {r.doc_id: r for r in out}
+    held = [(by_id[k].predicted, q) for k, _, q in rows if by_id[k].held_out]
+    assert sum(p == q for p, q in held) >= 0.95 * len(held)
+    assert by_id[900].score == by_id[901].score and by_id[902].predicted == 0
+
+
+@pytest.mark.parametrize("marks", [[], [(1, 1)], [(1, 0)]])
+def test_without_two_classes(spark, marks):
+    docs = spark.createDataFrame([(1, "a"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    want = {0: 0.5, 1: 2 / 3 if marks and marks[0][1] else 1 / 3}[len(marks)]
+    assert all(abs(r.score - want) < 1e-9 for r in score_quality(docs, labels).collect())
+    assert score_quality(docs.where("false"), labels).collect() == []
+
+
+def test_same_model_on_other_partitions(spark, rng):
+    rows = rows_for(rng, 150, 3)
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q) for k, _, q in rows], "doc_id long, quality int")
+    one, two = (train_quality_model(docs.repartition(n), labels, sample=20) for n in (1, 7))
+    assert np.array_equal(one.weights, two.weights) and (one.slope, one.offset) == (two.slope, two.offset)
+
+
+def test_held_out_accuracy(spark):
+    from tuplespace.llm.queries import op13_nbsvm
+
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r.score, r.predicted, labels[r.doc_id]) for r in op13_nbsvm(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    assert len(held) > 50 and sum(p == q for _, p, q in held) >= 0.95 * len(held)
+    good, bad = [s for s, _, q in held if q], [s for s, _, q in held if not q]
+    assert np.mean([[g > b for b in bad] for g in good]) >= 0.98

@@ -14,6 +14,7 @@ from tuplespace.llm.langid import identify_languages
 from tuplespace.llm.lines import LINES_SQL, line_report
 from tuplespace.llm.minhash import near_duplicates
 from tuplespace.llm.mixing import mix_report
+from tuplespace.llm.nbsvm import score_quality
 from tuplespace.llm.onebit import nearest
 from tuplespace.llm.periodic import collapse_runs
 from tuplespace.llm.suffix_dedup import repeated_passages
@@ -76,6 +77,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_runs(read_table(spark, sf_dir, "documents"))
 
 
+def op13_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_one_bit": op1_one_bit,
     "op2_langid": op2_langid,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_viterbi_repair": op11_viterbi_repair,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_nbsvm": op13_nbsvm,
 }
 
 ORACLE: dict[str, str] = {
