@@ -166,15 +166,12 @@ class QualityModel:
         return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
-def _sample(train: DataFrame, size: int) -> DataFrame:
-    """For each class the ``size`` ids with the lowest hashes, one row each."""
-    order = F.xxhash64(F.col("doc_id"))
-    parts = []
-    for label in (0, 1):
-        own = train.where(F.col("quality") == label)
-        last = own.select("doc_id").distinct().select(order.alias("h")).orderBy("h").limit(size).agg(F.max("h")).first()[0]
-        parts.append(own.where(order <= F.lit(last).cast("long")))
-    return parts[0].unionByName(parts[1]).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+def _sample(texts: DataFrame, marks: DataFrame, size: int) -> DataFrame:
+    """For each class the ``size`` ids with the lowest hashes among those with a text, one row each."""
+    known = texts.select("doc_id").join(marks, "doc_id").distinct()
+    lowest = [known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for label in (0, 1)]
+    ids = cut_lineage(lowest[0].unionByName(lowest[1]), "quality-ids")
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # 2 * size ids
 
 
 def _fit(ratios: np.ndarray, shares: np.ndarray):
@@ -206,7 +203,8 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
     marks = marks.where(F.col("doc_id").isNotNull() & ~fold(F.col("doc_id")) & F.col("quality").isin(0, 1))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    train = texts.join(marks, "doc_id")
+    # Always a merge join: labels grow with the documents, so no size of them may decide the plan.
+    train = texts.join(marks.hint("merge"), "doc_id")
     counts, rows = class_counts(train)
     ratios, shares = count_ratios(counts), (rows + 1.0) / (rows.sum() + 2.0)
     if not rows.all():
@@ -219,7 +217,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE
                                              names=["doc_id", "quality", "columns"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chosen = cut_lineage(_sample(train, sample).mapInArrow(features, f"doc_id {kind}, quality int, columns array<int>"), "quality-sample")
+    chosen = cut_lineage(_sample(texts, marks, sample).mapInArrow(features, f"doc_id {kind}, quality int, columns array<int>"), "quality-sample")
     chosen = chosen.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0)
     fitted = chosen.groupBy(F.lit(0).alias("all")).applyInArrow(
         _fit(ratios, shares), "weights binary, bias double, slope double, offset double").first()
