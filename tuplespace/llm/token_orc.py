@@ -16,10 +16,11 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,23 +28,23 @@ from tuplespace.llm.common import small_batches, text_blocks
 from tuplespace.session import scratch_path
 
 END_ID = 2
-CACHE_WORDS = 700_000
+GROUP_BYTES = 8 << 20  # of text encoded at once: its distinct pieces are encoded once each
 # Words of a-z and the letters of Latin-1: composed already, and lower-cased one by one.
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_PLAIN = "^[a-zÀ-ÖØ-öø-ÿ]+$"
 # ASCII punctuation that starts no contraction.
-_TRAILING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_CODERS: dict[str, WordEncoder] = {}
+_TRAILING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_TAIL = f"(?s)(?P<tail>[{re.escape(_TRAILING)}]*)$"
 
 
 class WordEncoder:
-    """Ids of a text from the ids of its pieces between white space, each encoded once.
+    """Ids of texts from the ids of their distinct pieces between white space.
 
     Exact for a tokenizer that drops white space and never joins across it (as the
     word-end BPE does). A plain word's trailing ASCII punctuation is split off (the
     pre-tokenizer parts letters and punctuation there anyway), A-Z are lower-cased
-    first unless the piece may hold a special token, and pieces of plain
+    first unless the text may hold a special token, and pieces of plain
     letters are encoded many at a time: each ends with the one id that carries the
-    word-end mark. The cache is emptied between texts once it holds more than ``CACHE_WORDS`` pieces."""
+    word-end mark. Nothing is kept from one group of texts to the next."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,98 +54,84 @@ class WordEncoder:
         self.full = Tokenizer.from_file(path)
         split = {"type": "WhitespaceSplit"}
         as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        simple = spec | {"normalizer": None, "added_tokens": []}
-        self.ascii = Tokenizer.from_str(json.dumps(simple | {"pre_tokenizer": split}))
         both = {"type": "Sequence", "pretokenizers": [split, as_bytes]}
-        self.latin = Tokenizer.from_str(json.dumps(simple | {"pre_tokenizer": both}))
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": both}))
         vocab = spec["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {b"": 0}  # piece: its number
-        self.first = np.zeros(2, np.int64)  # by number, where the piece's ids begin in the pool
-        self.pool = np.zeros(0, np.int32)
-
-    def add(self, pieces: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
-        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces)), strict=True))
-        self.first = np.r_[self.first, self.first[-1] + np.cumsum(sizes)]
-        self.pool = np.r_[self.pool, ids]
-
-    def learn_cores(self, cores: list[bytes]) -> None:
-        ascii, latin, other = [], [], []
-        for c in cores:
-            (other if not _PLAIN.fullmatch(c) else ascii if c.isascii() else latin).append(c)
-        for coder, plain in ((self.ascii, ascii), (self.latin, latin)):
-            found, sizes, done = [], [], []
-            for begin in range(0, len(plain), 512):
-                some = plain[begin : begin + 512]
-                small = b" ".join(some).decode().lower()
-                ids = np.array(coder.encode_batch_fast([small], add_special_tokens=False)[0].ids, np.int32)
-                cuts = np.flatnonzero(self.ends[ids]) + 1
-                if len(cuts) == len(some):
-                    found.append(ids)
-                    sizes.append(np.diff(np.r_[0, cuts]))
-                    done += some
-                else:
-                    other += some
-            if done:
-                self.add(done, np.concatenate(sizes), np.concatenate(found))
-        for begin in range(0, len(other), 4096):
-            some = other[begin : begin + 4096]
-            found = [e.ids for e in self.full.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.add(some, sizes, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())))
-
-    def learn(self, pieces: list[bytes]) -> None:
-        split = []
-        for piece in pieces:
-            core = piece.rstrip(_TRAILING)
-            if len(core) < len(piece) and not _PLAIN.fullmatch(core):
-                core = piece
-            split.append((core, piece[len(core):]))
-        index = self.index
-        self.learn_cores([c for c in dict.fromkeys(c for pair in split for c in pair) if c not in index])
-        tailed = [pair for pair in split if pair[1]]
-        parts = np.fromiter((index[c] for pair in tailed for c in pair), np.int64, 2 * len(tailed))
-        sizes, ids = self.gather(parts)
-        self.add([core + tail for core, tail in tailed], sizes[::2] + sizes[1::2], ids)
-
-    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids per piece, all ids in order) of the pieces with these numbers."""
-        begins = self.first[numbers]
-        sizes = self.first[numbers + 1] - begins
-        before = np.cumsum(sizes) - sizes
-        return sizes, self.pool[np.repeat(begins - before, sizes) + np.arange(int(sizes.sum()))]
-
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of the texts, each followed by ``end_id``."""
-        if len(self.index) > CACHE_WORDS:
-            self.clear()
-        words: list[bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            raw = (text or "").encode()
-            found = raw.split() if b"<|" in raw else raw.lower().split()
-            counts[k] = len(found)
-            words += found
-        which = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(which < 0)
-        if len(missing):
-            new = [words[k] for k in missing.tolist()]
-            self.learn(list(dict.fromkeys(new)))
-            which[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
-        sizes, ids = self.gather(which)
-        ends = np.r_[0, np.cumsum(sizes)][np.cumsum(counts)]
+
+    def parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where each part's ids begin in the pool, how many, the pool) of distinct parts."""
+        words = parts.to_numpy(zero_copy_only=False)
+        is_plain = np.asarray(pc.match_substring_regex(parts, _PLAIN))
+        numbers, sizes, pool = [], [], []
+        other = [np.flatnonzero(~is_plain)]
+        plain = np.flatnonzero(is_plain)
+        for begin in range(0, len(plain), 512):
+            some = plain[begin : begin + 512]
+            ids = self.plain.encode_batch_fast([" ".join(words[some]).lower()], add_special_tokens=False)[0].ids
+            ids = np.array(ids, np.int32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                numbers.append(some)
+                sizes.append(np.diff(np.r_[0, cuts]))
+                pool.append(ids)
+            else:
+                other.append(some)
+        rest = np.concatenate(other)
+        for begin in range(0, len(rest), 4096):
+            some = rest[begin : begin + 4096]
+            found = [e.ids for e in self.full.encode_batch_fast(words[some].tolist(), add_special_tokens=False)]
+            numbers.append(some)
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            pool.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
+        number, size = np.concatenate([*numbers, other[0][:0]]), np.concatenate([*sizes, np.zeros(0, np.int64)])
+        begins, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        begins[number], counts[number] = np.cumsum(size) - size, size
+        return begins, counts, np.concatenate([*pool, np.zeros(0, np.int32)])
+
+    def encode(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of the texts (an Arrow string column or a list), each followed by ``end_id``."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = pc.fill_null(texts, "")
+        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        bounds = np.asarray(words.offsets, np.int64)
+        pieces = words.flatten().dictionary_encode()
+        whole = pieces.dictionary
+        cores = pc.ascii_rtrim(whole, characters=_TRAILING)
+        cores = pc.if_else(pc.match_substring_regex(cores, _PLAIN), cores, whole)
+        tails = pc.struct_field(pc.extract_regex(whole, _TAIL), [0])
+        tails = pc.if_else(pc.equal(cores, whole), "", tails)
+        halves = pa.concat_arrays([cores, tails]).dictionary_encode()
+        begins, counts, pool = self.parts(halves.dictionary)
+        half = np.asarray(halves.indices)
+        pairs = np.stack([half[: len(whole)], half[len(whole):]], axis=1).ravel()
+        sizes, pool = _gather(begins, counts, pool, pairs)
+        lengths = sizes[::2] + sizes[1::2]
+        sizes, ids = _gather(np.cumsum(lengths) - lengths, lengths, pool, np.asarray(pieces.indices))
+        ends = np.r_[0, np.cumsum(sizes)][bounds[1:]]
         return np.insert(ids, ends, end_id), np.r_[0, ends + np.arange(1, len(texts) + 1)]
 
 
-def word_encoder(path: str) -> WordEncoder:
-    """The worker's encoder; it lives as long as the Python worker, over many tasks."""
-    if path not in _CODERS:
-        _CODERS[path] = WordEncoder(path)
-    return _CODERS[path]
+def _gather(begins: np.ndarray, counts: np.ndarray, pool: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids per entry, all ids in order) of the entries with these ``numbers``."""
+    sizes = counts[numbers]
+    at = np.repeat(begins[numbers] - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return sizes, pool[at]
+
+
+def grouped(batches, max_bytes: int = GROUP_BYTES):
+    """The batches joined to groups of about ``max_bytes`` of text (a longer text is a group of its own)."""
+    held, size = [], 0
+    for block in text_blocks(batches, max_bytes=max_bytes):
+        held.append(block)
+        size += block.nbytes
+        if size >= max_bytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def write_token_orc(
@@ -162,9 +149,9 @@ def write_token_orc(
     placed = placed.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches):
-        coder, at = word_encoder(tokenizer), 0
-        for block in text_blocks(batches):
-            ids, offsets = coder.encode(block.column("text").to_pylist(), end_id)
+        coder, at = WordEncoder(tokenizer), 0  # dropped at the task's end
+        for block in grouped(batches):
+            ids, offsets = coder.encode(block.column("text"), end_id)
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id"), block.column("part"), pa.array(at + offsets[:-1]),
                  pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))],
