@@ -3,178 +3,115 @@
 A node that stands for k leaves is split in the ratio of k // 2 to the rest, at the
 weighted median (weight: size in bytes) along the dimension in which it is widest,
 until every node is one leaf, whose bytes are then near the target (all bytes over
-the number of shards). Dimensions are the language, the logarithm of the size and the
-text's checksum, all functions of the text in practice: equal texts stay together.
-
-Medians are found by distributed histograms, all nodes of a level at once: bytes per
-node and bin (``BINS`` bins of the node's own range), then, inside the bin that holds
-the median, per part of a text hash and at last of a row hash, until the bin weighs
-little or is one row. Each histogram is one aggregation; the driver sees one row per
-node and keeps the cuts, at most the number of shards less one. A group of copies
-heavier than the tolerance is cut by its rows' hashes, so no hot value unbalances the
-leaves. Slots number a shard's rows by a distributed rank over range partitions.
+the number of shards). Dimensions are the logarithm of the size, the share of bytes
+beyond ASCII and the text's checksum, all functions of the text: equal texts stay together.
+
+The rows are reduced once to weighted units, and every median is taken over these.
+A unit is a cell of the dimensions' bins (at most ``CELLS``). A cell heavier than
+``TOLERANCE`` of a shard is parted by text hash into parts of about half that weight, and a part
+that is still too heavy, as a hot text is, by row hash. So there are at most
+``CELLS`` + 6 * shards / ``TOLERANCE`` units whatever the number of rows, and none that weighs
+more than the tolerance but for single rows. A level of the tree is one window over the
+units, all nodes at once; nothing but the total is read by the driver. The rows are read
+for the cells, the parts, the hot parts and the shards, not for each level. Slots number a shard's rows by a
+distributed rank over range partitions.
 
 Only DataFrame functions are used.
 
-Cases: null or empty text weighs the 16 bytes of its record and has checksum 0. A null language is a
-value of its own. Null or repeated ids and repeated rows are rows like others. With
-fewer rows than shards some shards are empty. Further columns are not read.
+Cases: null or empty text weighs the 16 bytes of its record and has checksum 0. Null or
+repeated ids and repeated rows are rows like others. With fewer rows than shards some
+shards are empty. Further columns are not read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuplespace.operators.ranks import distributed_rank
-from tuplespace.session import cut_lineage
+from tuplespace.session import cut_lineage, drop_table
 
 SHARDS = 40
 RECORD_BYTES = 16
-BINS = 4096
-TOLERANCE = 0.002  # of a shard's bytes: a bin this light goes to one side whole
-_DIGITS = 2  # digits of BINS values in each of the two hashes
-DIMENSIONS = ("lang_key", "log_size", "text_crc32")
-
-
-@dataclass
-class Node:
-    """A node of the tree: its first shard, its number of leaves, and its cut once it has one."""
-
-    first: int
-    leaves: int
-    dimension: str | None = None
-    low: float = 0.0
-    step: float = 0.0
-    cut: list[int] = field(default_factory=list)  # digits: the left side has smaller ones
-
-    def digits(self) -> list[Column]:
-        """The order along the chosen dimension: bin, then text hash, then row hash."""
-        if self.step > 0:
-            bin_ = F.least(F.floor((F.col(self.dimension) - F.lit(self.low)) / F.lit(self.step)), F.lit(BINS - 1)).cast("int")
-        else:
-            bin_ = F.lit(0)
-        hashes = [_digit(c, k) for c in ("text_hash", "row_hash") for k in range(_DIGITS)]
-        return [bin_, *hashes]
-
-    def is_left(self) -> Column:
-        """Lexicographic: digits up to the cut's length are smaller than the cut."""
-        out = F.lit(False)
-        for own, bound in reversed(list(zip(self.digits(), self.cut, strict=False))):
-            out = (own < bound) | ((own == bound) & out)
-        return out
-
-
-def _digit(column: str, k: int) -> Column:
-    return F.pmod(F.shiftright(F.col(column), 13 + 12 * k), F.lit(BINS)).cast("int")
+TOLERANCE = 0.002  # of a shard's bytes: a unit this light goes to one side whole
+DIMENSIONS = ("size_bin", "script_bin", "sum_bin")
+SIZE_STEPS, SCRIPT_STEPS, SUM_BITS = 8, 16, 6  # bins per unit of ln(size), of the share beyond ASCII, and of the checksum
+CELLS = 168 * (SCRIPT_STEPS + 1) * (1 << SUM_BITS)  # a text has under e^21 bytes
+UNIT = (*DIMENSIONS, "part", "sub")
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """What the tree needs of a row: id, size, checksum, dimensions and hashes."""
-    text = F.col("text").cast("string")
-    size = (F.coalesce(F.octet_length(text), F.lit(0)) + RECORD_BYTES).cast("long")
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    key = sum((F.ascii(F.substring(lang, k + 1, 1)) * 128 ** (2 - k) for k in range(3)), F.lit(0))
-    rows = docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("text_crc32"),
-                       key.cast("double").alias("lang_key"), F.ln(size).alias("log_size"), F.xxhash64(text).alias("text_hash"),
-                       F.monotonically_increasing_id().alias("row"))
-    return rows.withColumn("row_hash", F.xxhash64("row"))
-
-
-def _node_column(nodes: list[Node]) -> Column:
-    """First shard of the node a row is in, by the cuts so far."""
-    def below(first: int, leaves: int) -> Column:
-        node = next((n for n in nodes if (n.first, n.leaves) == (first, leaves) and n.cut), None)
-        if node is None:
-            return F.lit(first)
-        half = leaves // 2
-        return F.when(node.is_left(), below(first, half)).otherwise(below(first + half, leaves - half))
-
-    return below(0, max(n.first + n.leaves for n in nodes))
-
-
-def _choose_dimensions(rows: DataFrame, nodes: list[Node], root: dict[str, tuple[float, float]] | None):
-    """Bytes per node; sets every node's widest dimension, relative to the whole table's range."""
-    aggregates = [f(d).alias(f"{d}_{n}") for d in DIMENSIONS for n, f in (("low", F.min), ("high", F.max))]
-    found = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), *aggregates).collect()}
-    if root is None:
-        whole = next(iter(found.values()))
-        root = {d: (whole[f"{d}_low"], whole[f"{d}_high"]) for d in DIMENSIONS}
-    for node in nodes:
-        r = found.get(node.first)
-        if r is None:
-            continue
-        width = {d: (r[f"{d}_high"] - r[f"{d}_low"]) / ((root[d][1] - root[d][0]) or 1) for d in DIMENSIONS}
-        node.dimension = max(DIMENSIONS, key=lambda d: width[d])
-        node.low = float(r[f"{node.dimension}_low"])
-        node.step = float(r[f"{node.dimension}_high"] - r[f"{node.dimension}_low"]) / BINS
-    return {k: r["bytes"] for k, r in found.items()}, root
-
-
-def _find_cuts(rows: DataFrame, nodes: list[Node], weight: dict[int, int], slack: float) -> None:
-    """Weighted medians of all ``nodes``, one digit a round for those that are still too coarse."""
-    before = {n.first: 0 for n in nodes}  # bytes left of the bin that holds the median
-    goal = {n.first: weight.get(n.first, 0) * (n.leaves // 2) / n.leaves for n in nodes}
-    open_ = [n for n in nodes if weight.get(n.first)]
-    for n in nodes:
-        if n not in open_:
-            n.dimension, n.cut = n.dimension or DIMENSIONS[0], [0]
-    for level in range(1 + 2 * _DIGITS):
-        if not open_:
-            return
-        digit, inside = F.lit(None).cast("int"), F.lit(False)
-        for n in open_:
-            own = n.digits()
-            here = F.col("node") == n.first
-            for k, d in enumerate(n.cut):
-                here = here & (own[k] == d)
-            digit, inside = F.when(here, own[level]).otherwise(digit), inside | here
-        bins = rows.where(inside).groupBy("node", digit.alias("digit")).agg(
-            F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-        upto = Window.partitionBy("node").orderBy("digit")  # at most BINS rows a node
-        goals = F.create_map(*[F.lit(x) for n in open_ for x in (n.first, float(goal[n.first] - before[n.first]))])
-        passed = bins.withColumn("upto", F.sum("bytes").over(upto)).where(F.col("upto") >= goals[F.col("node")])
-        crossing = {r["node"]: r for r in passed.groupBy("node").agg(
-            F.min(F.struct("digit", "upto", "bytes", "n")).alias("c")).select("node", "c.*").collect()}
-        still = []
-        for n in open_:
-            r = crossing[n.first]
-            left = before[n.first] + r["upto"] - r["bytes"]
-            if r["bytes"] <= slack or r["n"] == 1 or level == 2 * _DIGITS:
-                # The bin goes whole to the side that brings the cut nearer to the goal.
-                nearer_left = left + r["bytes"] - goal[n.first] <= goal[n.first] - left
-                n.cut.append(r["digit"] + int(nearer_left))
-            else:
-                n.cut.append(r["digit"])
-                before[n.first] = left
-                still.append(n)
-        open_ = still
-
-
-def plan_shards(rows: DataFrame, shards: int, target_bytes: float | None = None) -> list[Node]:
-    """The cuts of the tree over written ``points``."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    slack = TOLERANCE * (target_bytes or total / shards)
-    level, done, root = [Node(0, shards)], [], None
-    while any(n.leaves > 1 for n in level):
-        split = [n for n in level if n.leaves > 1]
-        placed = rows.withColumn("node", _node_column(done) if done else F.lit(0))
-        weight, root = _choose_dimensions(placed, split, root) if total else ({}, root)
-        _find_cuts(placed, split, weight, slack)
-        done += split
-        level = [Node(first, leaves) for n in split for first, leaves in (
-            (n.first, n.leaves // 2), (n.first + n.leaves // 2, n.leaves - n.leaves // 2))]
-    return done
+    """What the tree needs of a row: id, size, checksum, bins of its dimensions and hashes."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    length = F.octet_length(text)
+    size = (length + RECORD_BYTES).cast("long")
+    script = F.floor((length - F.char_length(text)) * SCRIPT_STEPS / F.greatest(length, F.lit(1)))
+    checksum = F.crc32(text.cast("binary"))
+    rows = docs.select(
+        "doc_id", size.alias("size"), checksum.alias("text_crc32"), F.floor(F.ln(size) * SIZE_STEPS).cast("int").alias("size_bin"),
+        script.cast("int").alias("script_bin"), F.shiftright(checksum, 32 - SUM_BITS).cast("int").alias("sum_bin"),
+        F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("row"))
+    return rows.withColumn("row_hash", F.xxhash64("row")).drop("row")
+
+
+def _weigh(rows: DataFrame, *key: str) -> DataFrame:
+    return rows.groupBy(*key).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+
+
+def _heavy(weighed: DataFrame, slack: float, parts: str) -> DataFrame:
+    """Too heavy groups, each with the number of parts to cut it into; under all bytes / ``slack`` rows."""
+    return weighed.where((F.col("bytes") > slack) & (F.col("n") > 1)).withColumn(
+        parts, F.ceil(F.col("bytes") * 2 / F.lit(slack)).cast("long")).drop("bytes", "n")
+
+
+def weighted_units(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their unit, units with their bytes), both written."""
+    cells = cut_lineage(_weigh(rows, *DIMENSIONS), "kd-cells")
+    slack = max(TOLERANCE * (cells.agg(F.sum("bytes")).first()[0] or 0) / shards, 1.0)
+    heavy = _heavy(cells, slack, "parts")  # at most shards / TOLERANCE rows
+    dealt = rows.join(F.broadcast(heavy), list(DIMENSIONS), "left").withColumn(
+        "part", F.coalesce(F.pmod("text_hash", F.col("parts")), F.lit(0)))
+    hot = cut_lineage(_heavy(_weigh(dealt.where("parts IS NOT NULL"), *DIMENSIONS, "part"), slack, "subs"), "kd-hot")
+    dealt = dealt.join(F.broadcast(hot), [*DIMENSIONS, "part"], "left").withColumn(
+        "sub", F.coalesce(F.pmod("row_hash", F.col("subs")), F.lit(0)))
+    dealt = cut_lineage(dealt.select("doc_id", "size", "text_crc32", "row_hash", *UNIT), "kd-dealt")
+    drop_table(cells)
+    drop_table(hot)
+    return dealt, cut_lineage(_weigh(dealt, *UNIT), "kd-units")
+
+
+def grow_tree(units: DataFrame, shards: int) -> DataFrame:
+    """Units with their leaf as ``shard``: every level cuts all its nodes at their weighted medians."""
+    low, high = ([f(d).alias(f"{n}_{d}") for d in DIMENSIONS] for n, f in (("low", F.min), ("high", F.max)))
+    whole = units.agg(*low, *high)
+    level = units.withColumns({"shard": F.lit(0), "leaves": F.lit(shards)})
+    for _ in range((shards - 1).bit_length()):
+        nodes = level.groupBy("shard").agg(*low, *high, F.sum("bytes").alias("total"))  # at most one row a shard
+        root = whole.select([F.greatest(F.col(f"high_{d}") - F.col(f"low_{d}"), F.lit(1)).alias(f"root_{d}") for d in DIMENSIONS])
+        widths = {d: (F.col(f"high_{d}") - F.col(f"low_{d}")) / F.col(f"root_{d}") for d in DIMENSIONS}
+        widest = F.greatest(*widths.values())
+        nodes = nodes.join(F.broadcast(root)).select("shard", "total", F.coalesce(
+            *[F.when(w == widest, k) for k, w in enumerate(widths.values())]).alias("dimension"))
+        along = F.coalesce(*[F.when(F.col("dimension") == k, F.col(d)) for k, d in enumerate(DIMENSIONS)])
+        upto = Window.partitionBy("shard").orderBy("along", *UNIT)
+        cut = level.join(F.broadcast(nodes), "shard").withColumn("along", along)
+        cut = cut.withColumn("middle", F.sum("bytes").over(upto) - F.col("bytes") / 2)
+        half = F.floor(F.col("leaves") / 2).cast("int")
+        left = (F.col("leaves") == 1) | (F.col("middle") < F.col("total") * half / F.col("leaves"))
+        grown = cut_lineage(cut.select(
+            *UNIT, "bytes", F.when(left, F.col("shard")).otherwise(F.col("shard") + half).alias("shard"),
+            F.when(F.col("leaves") == 1, 1).when(left, half).otherwise(F.col("leaves") - half).cast("int").alias("leaves")), "kd-level")
+        drop_table(level)
+        level = grown
+    return level.select(*UNIT, "shard")
 
 
 def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, lang): doc_id, size, text_crc32, shard, slot."""
+    """Per row of ``docs`` (doc_id, text): doc_id, size, text_crc32, shard, slot."""
     rows = cut_lineage(points(docs), "kd-points")
-    cuts = plan_shards(rows, shards)
-    shard = _node_column(cuts) if cuts else F.lit(0)
-    placed = rows.select("doc_id", "size", "text_crc32", "row_hash", shard.cast("int").alias("shard"))
+    dealt, units = weighted_units(rows, shards)
+    drop_table(rows)
+    placed = dealt.join(grow_tree(units, shards), list(UNIT)).select("doc_id", "size", "text_crc32", "row_hash", "shard")
     ranked = distributed_rank(placed, ["shard", "row_hash"], "rank")
     starts = ranked.groupBy("shard").agg(F.min("rank").alias("start"))  # one row a shard
     return ranked.join(F.broadcast(starts), "shard").select(
