@@ -83,3 +83,28 @@ def test_ratios_by_brute_force(spark, rng):
     assert len(got) == len(types)
     for r in got:
         assert math.isclose(r.ratio, math.log(chance(good, r.ctx, r.ch) / chance(bad, r.ctx, r.ch)), abs_tol=1e-9)
+
+
+def test_whole_urls_count(spark, rng):
+    """URLs that part after their path only, in query, fragment or scheme, are judged by that."""
+    rows = [f"http://a{k % 7}.org/x?good=fine{rng.randint(0, 99)}" for k in range(60)]
+    rows += [f"http://b{k % 7}.com/de/x?buy=pills{rng.randint(0, 99)}#casino" for k in range(60)]
+    odd = ["http://c.net/x?good=fine7", "http://c.net/x?buy=pills7#casino", "good=fine8", "buy=pills8#casino"]
+    pages = spark.createDataFrame(list(enumerate(rows + odd)), "page_id long, url string")
+    got = {r.page_id: r for r in filter_urls(pages).collect()}
+    good, bad, plain_good, plain_bad = (got[len(rows) + k] for k in range(4))
+    assert (good.host, good.path) == (bad.host, bad.path) and (plain_good.host, plain_good.path) == ("", "")
+    assert good.score > bad.score + 1 and plain_good.score > plain_bad.score + 1
+    assert bad.verdict == plain_bad.verdict == "block" and bad.rule is None
+
+
+def test_hot_grams_give_the_same(spark, rng, monkeypatch):
+    from tuplespace.llm import urls
+
+    rows = [f"{'http' * 90}://{rng.choice('abc')}.org/{rng.randint(0, 99)}" for _ in range(30)]
+    rows += [f"http://{rng.choice('pq')}.com/de/{'buy' * rng.randint(1, 200)}" for _ in range(30)] + ["x" * 1100, None]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    want = twin(pages.toPandas())
+    for share in (1, 10, 10**9):
+        monkeypatch.setattr(urls, "HOT_SHARE", share)
+        assert sorted((tuple(r) for r in filter_urls(pages).collect()), key=str) == want

@@ -29,6 +29,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix of underscores that no column's name has: helper columns under it clash with none."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches between JVM and Python by bytes: whole texts pass through
     them, and 10,000 rows (the default) of long ones fill an executor."""

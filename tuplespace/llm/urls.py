@@ -8,12 +8,15 @@ URL's score is the difference of the two log-likelihoods divided by its length;
 accepted at or above a threshold that is calibrated on URLs kept out of training.
 
 The labels come from host and path rules: a URL under a rule has the rule's verdict
-and trains or calibrates the models, any other gets the method's verdict. Counting
-and scoring work on distinct (host, path), so that copies of a URL are one row, and
-n-grams are pre-aggregated before every shuffle. Only DataFrame functions are used.
-
-Cases: a URL that is null or has no ``://`` has an empty host and path, fits no rule
-and is scored as the empty string. Without examples of both kinds the score is that
+and trains or calibrates the models, any other gets the method's verdict. The models see the
+whole URL as it stands, scheme, query and fragment included. Counting
+and scoring work on distinct URLs, so that copies of a URL are one row. A URL is cut into
+pieces of ``PIECE`` characters before its characters become rows, which carry a row id and no URL. n-grams are
+pre-aggregated before every shuffle; the few that are frequent meet their ratios by a
+broadcast of at most ``HOT_SHARE`` rows, so that no n-gram's occurrences crowd one task. Only DataFrame functions are used.
+
+Cases: a URL that is null or has no ``://`` has an empty host and path and fits no rule;
+it is scored as it stands, null as the empty string. Without examples of both kinds the score is that
 of the even chance, the threshold 0. Repeated rows are judged alike. Further columns
 are not read.
 """
@@ -26,12 +29,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuplespace.session import cut_lineage
+from tuplespace.session import cut_lineage, drop_table
 
 ORDER = 4
 EVEN_CHANCE = 1 / 256
 CALIBRATION_DIGITS = ("0", "4", "8", "c")  # first hexadecimal digit of the URL's MD5: a quarter of the labelled URLs
 BIN = 0.02
+PIECE = 256
+HOT_SHARE = 5_000  # an n-gram with more than one in so many of all characters is hot
 # The rules, (host, start of path, verdict).
 RULES = (
     ("org", "/", "allow"),
@@ -58,10 +63,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def _positions(urls: DataFrame) -> DataFrame:
-    """(key columns, cls, ctx, ch): a row per character and the end mark, with the ORDER characters before it."""
-    text = F.concat(F.lit(_OPEN * ORDER), F.col("host"), F.col("path"), F.lit(_CLOSE))
-    rows = urls.withColumn("_text", text).withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_text") - ORDER)))
-    return rows.select(*urls.columns, F.substring("_text", F.col("_at"), F.lit(ORDER)).alias("ctx"),
+    """(columns but url, ctx, ch): a row per character and the end mark, with the ORDER characters before it."""
+    rest = [c for c in urls.columns if c != "url"]
+    pieces = F.regexp_extract_all(F.concat("url", F.lit(_CLOSE)), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    cut = urls.select(*rest, pieces.alias("_pieces")).select(*rest, "_pieces", F.posexplode("_pieces").alias("_k", "_piece"))
+    before = F.when(F.col("_k") == 0, _OPEN * ORDER).otherwise(F.right(F.element_at("_pieces", F.greatest(F.col("_k"), F.lit(1))), F.lit(ORDER)))
+    text = cut.select(*rest, F.concat(before, "_piece").alias("_text"))
+    rows = text.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_text") - ORDER)))
+    return rows.select(*rest, F.substring("_text", F.col("_at"), F.lit(ORDER)).alias("ctx"),
                        F.substring("_text", F.col("_at") + ORDER, F.lit(1)).alias("ch"))
 
 
@@ -87,17 +96,24 @@ def _witten_bell(k: str) -> Column:
 
 
 def score_urls(urls: DataFrame) -> DataFrame:
-    """``urls`` (host, path, cls, calibrates) distinct, with their score."""
+    """``urls`` (id, url, cls, calibrates), ids distinct, with their score."""
     grams = cut_lineage(
-        _positions(urls.select("host", "path", "cls", "calibrates")).groupBy("ctx", "ch").agg(*[
+        _positions(urls.select("url", "cls", "calibrates")).groupBy("ctx", "ch").agg(F.count(F.lit(1)).alias("n"), *[
             F.count(F.when((F.col("cls") == k) & ~F.col("calibrates"), 1)).alias(f"n_{k}") for k in ("allow", "block")]),
         "url-grams")
     counted = grams.where("n_allow + n_block > 0")
-    ratios = cut_lineage(gram_ratios(grams, counted), "url-ratios")
-    places = _positions(urls.select("host", "path"))
-    score = F.round(F.sum("ratio") / F.count(F.lit(1)), 9)
-    scores = places.join(ratios, ["ctx", "ch"]).groupBy("host", "path").agg(score.alias("score"))
-    return urls.join(scores, ["host", "path"])
+    ratios = cut_lineage(gram_ratios(grams, counted).join(grams.select("ctx", "ch", "n"), ["ctx", "ch"]), "url-ratios")
+    least = (grams.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
+    hot = ratios.where(F.col("n") > least).select("ctx", "ch", "ratio")  # under HOT_SHARE rows
+    rare = ratios.where(F.col("n") <= least).select("ctx", "ch", "ratio")
+    places = _positions(urls.select("id", "url"))
+    told = places.join(F.broadcast(hot), ["ctx", "ch"]).select("id", "ratio").unionByName(
+        places.join(F.broadcast(hot), ["ctx", "ch"], "left_anti").join(rare, ["ctx", "ch"]).select("id", "ratio"))
+    scores = told.groupBy("id").agg(F.round(F.sum("ratio") / F.count(F.lit(1)), 9).alias("score"))
+    scored = cut_lineage(urls.join(scores, "id"), "url-scores")
+    drop_table(grams)
+    drop_table(ratios)
+    return scored
 
 
 def calibrated_threshold(scored: DataFrame) -> float:
@@ -117,18 +133,19 @@ def calibrated_threshold(scored: DataFrame) -> float:
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """Per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, score."""
-    host, path = host_and_path(F.col("url").cast("string"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    ruled = rows.select("host", "path").distinct().withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    digit = F.substring(F.md5(F.concat("host", "path").cast("binary")), 1, 1)
-    urls = ruled.select("host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("cls"),
-                        digit.isin(*CALIBRATION_DIGITS).alias("calibrates"))
-    scored = cut_lineage(score_urls(cut_lineage(urls, "urls")), "url-scores")
+    rows = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
+    host, path = host_and_path(F.col("url"))
+    split = rows.select("url").distinct().select("url", host.alias("host"), path.alias("path"))
+    ruled = split.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    digit = F.substring(F.md5(F.col("url").cast("binary")), 1, 1)
+    urls = ruled.select(F.monotonically_increasing_id().alias("id"), "url", "host", "path", F.col("_rule.rule").alias("rule"),
+                        F.col("_rule.verdict").alias("cls"), digit.isin(*CALIBRATION_DIGITS).alias("calibrates"))
+    scored = score_urls(cut_lineage(urls, "urls"))
     threshold = calibrated_threshold(scored)
     judged = scored.select(
-        "host", "path", "rule", F.coalesce("cls", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"),
+        "url", "host", "path", "rule", F.coalesce("cls", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"),
         "score")
-    return rows.join(judged, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+    return rows.join(judged, "url").select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
 def _orders_sql() -> str:
@@ -161,17 +178,18 @@ def _rule_sql(column: int) -> str:
 def urls_sql() -> str:
     """The same rows in DuckDB."""
     return f"""
-WITH split AS (
-  SELECT page_id,
+WITH named AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+split AS (
+  SELECT DISTINCT url,
          coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
-  FROM pages),
+  FROM named),
 urls AS (
-  SELECT host, path, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS cls, substr(md5(host || path), 1, 1) IN {CALIBRATION_DIGITS!r} AS calibrates
-  FROM (SELECT DISTINCT host, path FROM split)),
-padded AS (SELECT *, repeat(chr(2), {ORDER}) || host || path || chr(3) AS txt FROM urls),
+  SELECT url, host, path, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS cls, substr(md5(url), 1, 1) IN {CALIBRATION_DIGITS!r} AS calibrates
+  FROM split),
+padded AS (SELECT *, repeat(chr(2), {ORDER}) || url || chr(3) AS txt FROM urls),
 places AS (SELECT *, unnest(range(1, length(txt) - {ORDER} + 1)) AS pos FROM padded),
-chars AS (SELECT host, path, cls, calibrates, substr(txt, pos, {ORDER}) AS ctx, substr(txt, pos + {ORDER}, 1) AS ch FROM places),
+chars AS (SELECT url, cls, calibrates, substr(txt, pos, {ORDER}) AS ctx, substr(txt, pos + {ORDER}, 1) AS ch FROM places),
 grams AS (
   SELECT ctx, ch, count(*) FILTER (WHERE cls = 'allow' AND NOT calibrates) AS n_allow,
          count(*) FILTER (WHERE cls = 'block' AND NOT calibrates) AS n_block
@@ -179,9 +197,9 @@ grams AS (
 counted AS (SELECT * FROM grams WHERE n_allow + n_block > 0),
 {_orders_sql()},
 scores AS (
-  SELECT c.host, c.path, round(sum(ln(p.p_allow) - ln(p.p_block)) / count(*), 9) AS score
-  FROM chars c JOIN p{ORDER} p USING (ctx, ch) GROUP BY c.host, c.path),
-scored AS (SELECT * FROM urls JOIN scores USING (host, path)),
+  SELECT c.url, round(sum(ln(p.p_allow) - ln(p.p_block)) / count(*), 9) AS score
+  FROM chars c JOIN p{ORDER} p USING (ctx, ch) GROUP BY c.url),
+scored AS (SELECT * FROM urls JOIN scores USING (url)),
 bins AS (
   SELECT floor(score / {BIN}) AS edge, count(*) FILTER (WHERE cls = 'allow') AS good, count(*) FILTER (WHERE cls = 'block') AS bad
   FROM scored WHERE calibrates AND cls IS NOT NULL GROUP BY 1),
@@ -193,8 +211,8 @@ edges AS (
 threshold AS (
   SELECT coalesce((SELECT edge * {BIN} FROM edges WHERE goods > 0 AND bads > 0
                    ORDER BY caught * goods - lost * bads DESC, abs(edge), edge LIMIT 1), 0.0) AS t)
-SELECT s.page_id, s.host, s.path, c.rule,
+SELECT s.page_id, c.host, c.path, c.rule,
        coalesce(c.cls, CASE WHEN c.score >= (SELECT t FROM threshold) THEN 'allow' ELSE 'block' END) AS verdict,
        round(c.score, 6) AS score
-FROM split s JOIN scored c USING (host, path)
+FROM named s JOIN scored c USING (url)
 """
