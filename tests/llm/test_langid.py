@@ -84,3 +84,81 @@ def test_temperature_recovers_scale():
     labels = np.array([rng.choice(3, p=p) for p in softmax(logits)])
     assert fit_temperature(logits * 4, labels) == pytest.approx(4, rel=0.1)
     assert FEATURES & (FEATURES - 1) == 0
+
+
+def test_rare_language_has_its_own_sample(spark, rng):
+    """One in 150 rows; a sample of 130 over all languages would hold hardly one of them."""
+    from tuplespace.llm.langid import train_language_model
+
+    rows = [(k, " ".join(rng.choices(["the", "cat", "and", "dog", "of", "them"], k=9)), "en") for k in range(9000)]
+    rows += [(20000 + k, " ".join(rng.choices(["zxq", "qwxz", "xxq", "zqz"], k=9)), "qq") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = train_language_model(docs, 100, 30).predict(docs).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
+def plain_fit(rows, shard_of, order_of):
+    """TF-IDF and FTRL with dictionaries of single numbers: weights by (column, language)."""
+    import math
+
+    from tuplespace.llm.langid import ALPHA, BETA, EPOCHS, L1, L2, SHARDS
+
+    found = {k: [dict(zip(*(x.tolist() for x in g), strict=True)) for g in gram_counts([t])][0] for k, t, _ in rows}
+    langs = sorted({lang for *_, lang in rows})
+    df = Counter(c for g in found.values() for c in g)
+    idf = {c: math.log((1 + len(rows)) / (1 + n)) + 1 for c, n in df.items()}
+    vector = {}
+    for k, g in found.items():
+        v = {c: (1 + math.log(n)) * idf[c] for c, n in g.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        vector[k] = {c: x / size for c, x in v.items()}
+    z, n = Counter(), Counter()
+
+    def weight(z, n, key):
+        if abs(z[key]) <= L1:
+            return 0.0
+        return -math.copysign(abs(z[key]) - L1, z[key]) / ((BETA + math.sqrt(n[key])) / ALPHA + L2)
+
+    for epoch in range(EPOCHS):
+        states = []
+        for shard in range(SHARDS):
+            zs, ns = Counter(z), Counter(n)
+            own = sorted((r for r in rows if shard_of[r[0]] == shard), key=lambda r: order_of(r[0], epoch))
+            for k, _, lang in own:
+                old = {(c, j): weight(zs, ns, (c, j)) for c in vector[k] for j in range(len(langs))}
+                logit = [sum(x * old[c, j] for c, x in vector[k].items()) for j in range(len(langs))]
+                top = max(logit)
+                e = [math.exp(x - top) for x in logit]
+                for c, x in vector[k].items():
+                    for j in range(len(langs)):
+                        g = x * (e[j] / sum(e) - (langs[j] == lang))
+                        grown = ns[c, j] + g * g
+                        zs[c, j] += g - (math.sqrt(grown) - math.sqrt(ns[c, j])) / ALPHA * old[c, j]
+                        ns[c, j] = grown
+            if own:
+                states.append((zs, ns))
+        keys = {k for zs, _ in states for k in zs}
+        z = Counter({k: sum(zs[k] for zs, _ in states) / len(states) for k in keys})
+        n = Counter({k: sum(ns[k] for _, ns in states) / len(states) for k in keys})
+    return langs, {k: weight(z, n, k) for k in z}
+
+
+def test_weights_equal_a_plain_fit(spark, rng):
+    from pyspark.sql import functions as F
+    from tuplespace.llm.common import mix64
+    from tuplespace.llm.langid import CALIBRATION, SAMPLE, SHARDS, train_language_model
+
+    words = {"en": ["the", "cat", "dog"], "de": ["der", "hund", "und"], "fr": ["le", "chat", "et"]}
+    rows = [(k, " ".join(rng.choices(words[lang], k=rng.randint(1, 4))), lang) for k, lang in ((k, rng.choice(list(words))) for k in range(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train_language_model(docs)
+    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SAMPLE + CALIBRATION))
+    parts = dict(docs.select("doc_id", part).collect())
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    shard_of = {k: -1 if p >= SAMPLE else p % SHARDS for k, p in parts.items()}
+    langs, want = plain_fit(train, shard_of, lambda k, e: int(mix64(np.array([k + e], np.uint64))[0]))
+    assert model.languages == langs
+    got = np.zeros_like(model.weights)
+    for (c, j), w in want.items():
+        got[c, j] = w
+    assert np.allclose(got, model.weights, atol=1e-9)

@@ -2,14 +2,15 @@
 
 Texts are lower-cased, everything but letters becomes a space, and n-grams of 1 to
 ``MAX_GRAM`` characters are hashed to ``FEATURES`` columns. Document frequencies cover
-every training document. The weights are fitted on a bounded sample (``SAMPLE``
-labelled rows, the lowest hashes of the id) by follow-the-regularised-leader with an
+every training document. The weights are fitted on a bounded sample (the ``SAMPLE``
+ids of each language with the lowest hashes) by follow-the-regularised-leader with an
 elastic-net penalty: in each epoch the shards of the sample continue from the common
 state, and Spark averages the states. A temperature fitted on further ``CALIBRATION``
-rows turns logits into probabilities. Every text is then predicted whole.
+ids of each language turns logits into probabilities, each language with the same prior
+weight up to its bound, so that a rare one isn't lost. Every text is then predicted whole.
 
 The fold rule is that of the contract: rows with crc32(doc_id as text) mod 3 = 1 are
-held out, and so is a null id. lang is read for fitting alone.
+held out. A null id isn't held out, and isn't trained on either. lang is read for fitting alone.
 
 Cases: a text that is null or has no letter is ``und`` with score 0. Without any
 training row every prediction is ``und``. Equal scores go to the language that comes
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuplespace.llm.common import mix64, small_batches, text_blocks
@@ -28,7 +29,8 @@ from tuplespace.session import cut_lineage
 
 MAX_GRAM = 3
 FEATURES = 1 << 15
-SAMPLE, CALIBRATION, SHARDS, EPOCHS = 4_000, 1_500, 4, 3
+SAMPLE, CALIBRATION = 1_000, 375  # ids a language
+SHARDS, EPOCHS = 4, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 UNKNOWN = "und"
 
@@ -105,11 +107,11 @@ def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sample(train: DataFrame, size: int) -> DataFrame:
-    """The ``size`` training ids with the lowest hashes (all rows with less), one row each."""
-    order = F.xxhash64(F.col("doc_id"))
-    ids = train.select("doc_id").distinct().select(order.alias("h")).orderBy("h").limit(size)
-    last = ids.agg(F.max("h")).first()[0]
-    return train.where(order <= F.lit(last)).dropDuplicates(["doc_id"])
+    """For each language the ``size`` training ids with the lowest hashes (all with less), one row each, with its least text."""
+    lowest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # Spark cuts to ``size`` before the shuffle
+    ids = train.select("lang", "doc_id").distinct().withColumn("place", F.row_number().over(lowest)).where(F.col("place") <= size)
+    ids = cut_lineage(ids.select("lang", "doc_id"), "langid-ids")  # size rows a language
+    return train.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
 def ftrl_pass(rows, z: np.ndarray, n: np.ndarray, alpha: float, beta: float, l1: float, l2: float) -> None:
@@ -181,29 +183,29 @@ class LanguageModel:
         columns, counts = found
         return weighted(columns, counts, self.idf) @ self.weights[columns]
 
-    def predict(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with lang_pred and score in place of columns of that name."""
+    def predict(self, docs: DataFrame, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+        """``docs`` with the language and its probability as ``names``, in place of columns of that name."""
         model = self
-        rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+        rest = [c for c in docs.columns if c not in names]
         docs = docs.select(*rest)
 
         def run(batches):
             for block in text_blocks(batches):
-                names, scores = [], []
+                langs, scores = [], []
                 for found in gram_counts(block.column("text").to_pylist()):
                     if found is None or not model.languages:
-                        names.append(UNKNOWN)
+                        langs.append(UNKNOWN)
                         scores.append(0.0)
                     else:
                         p = softmax(model.logits(found) / model.temperature)
                         best = int(np.argmax(p))
-                        names.append(model.languages[best])
+                        langs.append(model.languages[best])
                         scores.append(float(p[best]))
-                arrays = [block.column(c) for c in rest] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "lang_pred", "score"])
+                arrays = [block.column(c) for c in rest] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*rest, *names])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+        return docs.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def train_language_model(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -> LanguageModel:
@@ -232,6 +234,7 @@ def train_language_model(docs: DataFrame, sample: int = SAMPLE, calibration: int
                  pa.array(columns, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))],
                 names=["doc_id", "label", "columns", "values"])
 
+    # By hash, so that about ``sample`` of a language's ids train.
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(sample + calibration))
     shard = F.when(part >= sample, F.lit(-1)).otherwise(F.pmod(part, F.lit(SHARDS))).cast("int")
     kind = docs.schema["doc_id"].dataType.simpleString()
