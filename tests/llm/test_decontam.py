@@ -70,13 +70,32 @@ def test_edges_and_parts(spark, rng, make_words):
             (1, f"{q} {a}"), (10, f"{' '.join(noise) * 20} {q} {a} {noise[0]}")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, item_id string").repartition(3)
     got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
-    assert got == {(1, 1), (None, 1), (7, 5), (10, 1)}
+    assert got == {(1, 1), (None, 1), (7, 5), (9, 4), (10, 1)}
     left = decontaminate(docs, bench)
-    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 5, 8, 9]
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 5, 8]
     assert contaminated(docs, bench.where("item_id > 9")).collect() == []
     assert contaminated(docs.where("doc_id > 99"), bench).collect() == []
 
 
+def test_short_items_are_found_as_a_whole(spark, rng, make_words):
+    bench = spark.createDataFrame([(1, "Kilo, lima mike"), (2, "papa"), (3, " .?! ")], "item_id long, text string")
+    noise = make_words(rng, 300)
+    rows = [(1, f"{noise} kilo LIMA mike."), (2, "kilo mike lima"), (3, "lima mike"), (4, f"Papa {noise}"), (5, noise), (6, "papa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == {(1, 1), (4, 2), (6, 2)}
+
+
+def test_one_index_shard_at_a_time(spark, sf_small, monkeypatch):
+    from tuplespace.llm import decontam
+    docs, bench = (spark.read.parquet(f"{sf_small}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
+    sizes, make = [], decontam.ItemIndex
+    monkeypatch.setattr(decontam, "ItemIndex", lambda items: sizes.append(len(items)) or make(items))
+    monkeypatch.setattr(decontam.index_shards, "__defaults__", (40,))
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == whole
+    assert len(sizes) >= 3 and sum(sizes) == bench.distinct().count()
+
+
 def test_several_index_shards_give_the_same(spark, sf_small, monkeypatch):
     from tuplespace.llm import decontam
     docs, bench = (spark.read.parquet(f"{sf_small}/{t}.parquet") for t in ("documents", "benchmark"))

@@ -16,15 +16,16 @@ runs, by the shares of its question's and of its answer's five-word shingles fou
 item of one unit is looked for in each passage, a longer one in all passages of the
 document that hold a unit of it, each widened by the item's words around that unit.
 
-An index shard holds at most ``SHARD_UNITS`` units; it is read to the driver under
-that bound and sent with the task. More items make more shards, each one pass.
+An index shard holds about ``SHARD_UNITS`` units at most (an item that alone has more is a shard with few
+others); it is read to the driver under that bound and sent with the tasks. More items
+make more shards, one pass and one written table of matches each, so that the driver holds one index at a time.
 
 Words are runs of bytes but white space and ASCII punctuation, A-Z lower-cased. The
 answer is an item's last sentence, the question all before it; an item of one
 sentence is all question.
 
-Cases: null or empty texts match nothing. Items with fewer than five words are not
-indexed, as they have no shingle. Repeated rows match alike. Matches of a null id
+Cases: null or empty texts match nothing, nor do items without a word. An item with fewer than five words is one
+shingle, its whole sequence. Repeated rows match alike. Matches of a null id
 are returned with the null. Further columns are not read.
 """
 
@@ -106,7 +107,7 @@ class ItemIndex:
             q, a = question_and_answer(text or "")
             words, owner = text_words(pa.array([q, a]))
             q, a = words[owner == 0], words[owner == 1]
-            if len(q) + len(a) < SHINGLE_WORDS:
+            if not len(words):
                 continue
             if len(q) < SHINGLE_WORDS:  # too little to ask: the whole item is the question
                 q, a = words, words[:0]
@@ -225,15 +226,17 @@ class ItemIndex:
 
 
 def index_shards(benchmark: DataFrame, size: int = SHARD_UNITS):
-    """ItemIndex of every ``size`` items, items in order of a hash; read one shard at a time."""
+    """ItemIndex of items with about ``size`` units at most, dealt by hash; read one shard at a time."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
-    n = items.count()
-    shards = max(1, -(-2 * n // size))  # half full on average, so that no hashed shard passes the bound by much
+    # A word and its separator take two bytes at least, so no item has more units than this.
+    units = F.ceil((F.octet_length("text") + 1) / (2 * UNIT_WORDS))
+    total = items.agg(F.sum(units)).first()[0] or 0
+    shards = max(1, -(-2 * total // size))  # half full on average, so that no hashed shard passes the bound by much
     items = items.withColumn("_shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
     if shards > 1:
         items = cut_lineage(items, "items", partition_by=("_shard",))
     for k in range(shards):
-        rows = items.where(F.col("_shard") == k).select("item_id", "text").collect()  # at most about ``size`` items
+        rows = items.where(F.col("_shard") == k).select("item_id", "text").collect()  # at most about ``size`` units
         if rows:
             yield ItemIndex(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
@@ -245,9 +248,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SCORE_SHA
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, "doc_id"), (benchmark, "item_id")))
     schema = (f"doc_id {kind}, item_id {item_kind}, bm25_share double, question_overlap double, answer_overlap double")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    out = docs.sparkSession.createDataFrame([], schema)
+    out, last = docs.sparkSession.createDataFrame([], schema), None
     for index in index_shards(benchmark):
-        out = out.unionByName(texts.mapInArrow(_matcher(index, share, overlap), schema))
+        if last is not None:  # of several shards each is searched and written before the next one is read
+            out = out.unionByName(cut_lineage(last, "matches"))
+        last = texts.mapInArrow(_matcher(index, share, overlap), schema)
+    out = out if last is None else out.unionByName(last)
     return out.groupBy("doc_id", "item_id").agg(
         *(F.max(c).alias(c) for c in ("bm25_share", "question_overlap", "answer_overlap")))
 
