@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuplespace.llm.common import WORD_PATTERN
+from tuplespace.llm.common import WORD_PATTERN, free_prefix
 from tuplespace.operators.ranks import distributed_rank
 from tuplespace.session import cut_lineage
 
@@ -159,8 +159,9 @@ def with_copies(docs: DataFrame, seed: int = SEED) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"),
                        F.xxhash64(text).alias("digest"))
-    rows = rows.withColumn("draw", F.xxhash64("doc_id", "digest", F.lit(seed)))
-    rows = distributed_rank(rows, ["source", "size", "draw"], "rank").drop("draw")
+    # Written once: the range sample of the rank would read all texts a second time.
+    slim = cut_lineage(rows.withColumn("draw", F.xxhash64("doc_id", "digest", F.lit(seed))), "mix-rows")
+    rows = distributed_rank(slim, ["source", "size", "draw"], "rank").drop("draw")
     lengths = cut_lineage(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("start")),
                           "lengths")
     targets = cut_lineage(source_targets(lengths.select("source", (F.col("size") * F.col("n")).alias("size"))), "mix-targets")
@@ -188,23 +189,26 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     The decisions are joined to the texts by id, source and digest. Rows equal in all
     three share their copies: each gets the whole part, one of them the remainder."""
+    own = free_prefix(docs.columns)
+    names = [own + c for c in ("id", "source", "digest", "each", "rest", "copy")]
+    id_, source, digest, each, rest, copy = names
     decided = with_copies(docs, seed).groupBy("doc_id", "source", "digest").agg(
-        F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_n"))
-    decided = cut_lineage(decided.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
-                                         F.col("digest").alias("_digest"), F.floor(F.col("_all") / F.col("_n")).alias("_each"),
-                                         (F.col("_all") % F.col("_n")).alias("_rest")), "mix-decided")
+        F.sum("copies").alias("all"), F.count(F.lit(1)).alias("n"))
+    decided = cut_lineage(decided.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("digest").alias(digest),
+                                         F.floor(F.col("all") / F.col("n")).alias(each), (F.col("all") % F.col("n")).alias(rest)),
+                          "mix-decided")
 
     def joined(plan: DataFrame) -> DataFrame:
-        match = (docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].cast("string").eqNullSafe(F.col("_source"))
-                 & (F.xxhash64(docs["text"].cast("string")) == F.col("_digest")))
+        match = (docs["doc_id"].eqNullSafe(F.col(id_)) & docs["source"].cast("string").eqNullSafe(F.col(source))
+                 & (F.xxhash64(docs["text"].cast("string")) == F.col(digest)))
         return docs.join(plan, match)
 
     def repeated(rows: DataFrame, times: str) -> DataFrame:
-        return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(times)))).select(
+        return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(
             *[rows[c] for c in docs.columns])
 
-    out = repeated(joined(decided.where("_each > 0")), "_each")
-    uneven = decided.where("_rest > 0")
+    out = repeated(joined(decided.where(F.col(each) > 0)), each)
+    uneven = decided.where(F.col(rest) > 0)
     if not uneven.isEmpty():
-        out = out.unionByName(repeated(joined(uneven).dropDuplicates(["_id", "_source", "_digest"]), "_rest"))
+        out = out.unionByName(repeated(joined(uneven).dropDuplicates([id_, source, digest]), rest))
     return out
