@@ -53,3 +53,16 @@ def test_odd_rows_pass_all_stages(spark, sf_small):
     for name, stage in P.STAGES:
         empty = P.cut_lineage(stage(spark, empty, sf_small), f"empty-{name}")
     assert empty.collect() == []
+
+
+def test_clashing_columns_pass_all_stages(spark, sf_small):
+    """Columns named like helpers of the stages come through the first four as they were."""
+    own = ["score", "lang_pred", "_id", "_each", "_source", "_digest", "_rest", "_copy", "_hit", "_gone", "size", "rank", "_lang", "__id"]
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").limit(60)
+    docs = docs.selectExpr("*", *(f"concat('{c}', doc_id) AS `{c}`" for c in own))
+    for name, stage in P.STAGES:
+        docs = P.cut_lineage(stage(spark, docs, sf_small), f"clash-{name}")
+        rows = docs.collect()
+        assert rows
+        if name != "token_orc":
+            assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in own)
