@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuplespace.llm.common import read_table
+from tuplespace.llm.common import free_prefix, read_table
 from tuplespace.llm.decontam import decontaminate
 from tuplespace.llm.langid import UNKNOWN, train_language_model
 from tuplespace.llm.minhash import kept_rows, linked_rows, rows_without_id
@@ -23,9 +23,14 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; texts without letters and undecided ones go."""
-    predicted = train_language_model(docs).predict(docs)
-    return predicted.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents in a learned language; texts without letters and undecided ones go.
+
+    Null and empty texts go, repeated rows and null ids are judged by their text; without
+    any labelled row all go. The prediction stands beside columns of any name."""
+    own = free_prefix(docs.columns)
+    lang, score = own + "lang", own + "score"
+    predicted = train_language_model(docs).predict(docs, (lang, score))
+    return predicted.where((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,17 +56,24 @@ def _rows_with_id(docs: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the ``benchmark`` table."""
+    """Documents that hold no item of the ``benchmark`` table.
+
+    Null and empty texts hold none and stay; rows that repeat an id, null ids among them, go together."""
     return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, one row for each time it takes them."""
+    """The documents the mix takes, one row for each time it takes them.
+
+    Documents without a word weigh nothing and aren't taken. A null source is a source. Rows equal in id, source
+    and text share their copies. Columns of any name pass through."""
     return mix(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all that is left, written as ORC; one row per document read back from the files."""
+    """Token ids of all that is left, written as ORC; one row per document read back from the files.
+
+    Null ids come first, a null text is its end id alone, repeated rows all stay. Further columns aren't read."""
     return tokenize_documents(spark, docs, word_tokenizer())
 
 
