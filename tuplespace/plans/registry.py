@@ -603,9 +603,12 @@ def q_train_gradient(spark, sf_dir):
 
 @register("train_split_gradient", with_ctes(linear_gradient_sql(M0, source="tuples_train"), "tuples_train", "vectors"))
 def q_train_split_gradient(spark, sf_dir):
-    """The same gradient over all train tuples."""
-    j = job(spark, sf_dir)
-    return _mean_gradient(spark, j.tuples_train, j.vectors)
+    """The same gradient over all train tuples, from their pairs: the product isn't formed."""
+    from tuplespace.operators.packed import product_gradient
+
+    j, layers = job(spark, sf_dir), _linear_layers()
+    g, n = product_gradient(j.part_distances(layers), j.outputs(layers), j.vectors, layers, M0)
+    return spark.createDataFrame([(k, float(round(v / n, 6))) for k, v in enumerate(g)], "param long, g double")
 
 
 FIT_STEPS = 2  # the SQL twins follow so many steps: up to 262,144 tuples of the train split
@@ -644,15 +647,17 @@ def q_train_one_step(spark, sf_dir):
 
 
 def _one_step(spark, sf_dir, layers):
-    from tuplespace.operators.train import gradient_sums, grad_norm, sgd_step
+    from tuplespace.operators.packed import packed_sums
+    from tuplespace.operators.train import grad_norm, sgd_step
     from tuplespace.plans.training import BatchSource
 
     j = job(spark, sf_dir)
     src = BatchSource(j.tuples_train, j.vectors, FIT_BATCH, j.cfg.seed, drop_remainder=False)
-    batch = src(0).batch(0)
-    g, s = gradient_sums(batch, layers, M0)
+    batch = src(0).packed(0)
+    (g, s), = packed_sums(batch, [layers], [M0])
     new = sgd_step(layers, g, s[0], j.cfg.lr)
-    _, s2 = gradient_sums(batch, new, M0)
+    (_, s2), = packed_sums(batch, [new], [M0])
+    src.close()
     data = [("rows", float(s[0])), ("loss_before", float(s[1] / s[0])), ("loss_after", float(s2[1] / s2[0])),
             ("grad_norm", float(grad_norm(g / s[0])))]
     return rounded(spark.createDataFrame(data, "metric string, value double"))
@@ -677,6 +682,31 @@ def _fit(spark, sf_dir, layers):
     return rounded(log.select("step", "metric", "value"))
 
 
+@register("fit_resumed", ORACLE["train_fit"])
+def q_fit_resumed(spark, sf_dir):
+    """The fit of ``train_fit``, stopped after its first step and resumed from its commit table by a new
+    source: its rows are those of the unbroken fit."""
+    from dataclasses import replace
+
+    from tuplespace.plans.training import BatchSource, Commits, Stopped, fit_margin, fit_margins, metrics_frame, new_run_id
+    from tuplespace.session import delete_path, scratch_path
+
+    j = job(spark, sf_dir)
+    cfg = replace(j.cfg, batch_size=FIT_BATCH, epochs=1, drop_remainder=False)
+    commits = Commits(spark, scratch_path(spark, "commits"), new_run_id(), cfg.seed, every=1)
+    src = BatchSource(j.tuples_train, j.vectors, FIT_BATCH, cfg.seed, drop_remainder=False)
+    try:
+        fit_margins(src, [_linear_layers()], [M0], cfg.lr, cfg.epochs, commits=commits, stop_after=1)
+    except Stopped:
+        pass  # what a lost driver would leave behind
+    finally:
+        src.close()
+    _, rows = fit_margin(j.tuples_train, j.vectors, _linear_layers(), M0, cfg, commits=commits)
+    delete_path(spark, commits.path)
+    log = metrics_frame(spark, rows, commits.run_id, 0).where("metric <> 'seconds'")
+    return rounded(log.select("step", "metric", "value"))
+
+
 def _margin_fit_sql() -> str:
     margins = TupleConfig().margins
     rows = []

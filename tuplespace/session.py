@@ -86,6 +86,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Folders right under ``path``, through the file system Spark uses; none if there is no such path."""
+    if not path_exists(spark, path):
+        return []
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    return [s.getPath().toString() for s in found if s.isDirectory()]
+
+
 class job_label:
     """Context manager naming the Spark jobs started inside it (event log / UI)."""
 
