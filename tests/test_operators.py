@@ -159,3 +159,30 @@ def test_hot_anchor_product_is_whole(spark):
     cs, ss, ns = C.collect(), S.collect(), N.collect()
     brute = {(i, c, s, n) for i, c in cs for j, s in ss for k, n in ns if i == j == k}
     assert len(got) == len(brute) == 300 * 3 * 2 + 1 and set(got) == brute
+
+
+def test_binned_density_keeps_its_bound(spark):
+    import numpy as np
+
+    from tuplespace.operators.density import density_binned, density_grid
+
+    rng = np.random.default_rng(2)
+    rows = [(kind, float(d), int(w)) for kind, at in (("a", 1.0), ("b", 5.0)) for d, w in zip(
+        rng.normal(at, 0.3, 400), rng.integers(1, 9, 400), strict=True)]
+    samples = spark.createDataFrame(rows, "kind string, d double, w long")
+    exact = {(r.kind, r.k): r for r in density_grid(samples, weight="w").collect()}
+    for fine in (1, 4, 16):
+        got = density_binned(samples, weight="w", fine=fine).collect()
+        assert {(r.kind, r.k) for r in got} == exact.keys()
+        worst = max(abs(r.density - exact[r.kind, r.k].density) / r.bound for r in got)
+        assert 0.01 < worst <= 1.0 + 1e-9
+        assert all(abs(r.g - exact[r.kind, r.k].g) < 1e-9 for r in got)
+
+
+def test_ragged_and_null_vectors_keep_the_others(spark):
+    from tuplespace.functions.vectors import with_sq_distances
+
+    rows = [(1, [1.0, 2.0], [0.0, 0.0]), (2, None, [1.0]), (3, [1.0], [1.0, 2.0]), (4, [3.0], [1.0]), (5, [], []), (6, [2.0, 2.0], [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "k long, a array<double>, b array<double>").coalesce(1)
+    got = {r.k: r.d for r in with_sq_distances(df, [("a", "b", "d")], ["k"]).collect()}
+    assert got == {1: 5.0, 2: None, 3: None, 4: 4.0, 5: 0.0, 6: 4.0}

@@ -76,6 +76,41 @@ def test_binary_image_vectors_and_join(spark, tmp_path):
     assert image_catalog(iv, cat).count() == 1
 
 
+def test_binary_records_in_splits(spark, tmp_path):
+    from tuplespace.sources.binary import read_image_vectors, write_image_vectors
+
+    rows = [(f"id{k}", [float(k), -0.5, 3.25]) for k in range(101)]
+    df = spark.createDataFrame(rows, "asin string, iev array<double>").repartition(4)
+    path = str(tmp_path / "records")
+    write_image_vectors(df, path, 3)
+    assert not (tmp_path / "records" / "_temporary").exists()
+    back = read_image_vectors(spark, path, 3, split_bytes=220)  # ten records
+    assert back.rdd.getNumPartitions() >= 11
+    assert sorted((r.asin.strip(), list(r.iev)) for r in back.collect()) == sorted(rows)
+    ids = read_image_vectors(spark, path, 3, ["asin"])
+    assert ids.columns == ["asin"] and sorted(r.asin.strip() for r in ids.collect()) == sorted(i for i, _ in rows)
+    write_image_vectors(df.limit(7), path, 3)  # in place of the former
+    assert read_image_vectors(spark, path, 3).count() == 7
+    write_image_vectors(df.limit(7), path, 3, "append")
+    assert read_image_vectors(spark, path, 3).count() == 14
+    write_image_vectors(df.where("false"), path, 3)
+    assert read_image_vectors(spark, path, 3).collect() == []
+
+
+def test_binary_records_refuse_what_does_not_fit(spark, tmp_path):
+    from tuplespace.sources.binary import read_image_vectors, write_image_vectors
+
+    schema = "asin string, iev array<double>"
+    for k, row in enumerate([("longer than ten", [1.0]), (None, [1.0]), ("a", None), ("a", [1.0, 2.0])]):
+        path = tmp_path / f"r{k}"
+        with pytest.raises(Exception):  # noqa: B017
+            write_image_vectors(spark.createDataFrame([row], schema), str(path), 1)
+        assert not list(path.glob("*.bin"))
+    (tmp_path / "odd.bin").write_bytes(b"0123456789abc")
+    with pytest.raises(Exception):  # noqa: B017
+        read_image_vectors(spark, str(tmp_path / "odd.bin"), 1).collect()
+
+
 def test_load_or_build(spark, tmp_path):
     from tuplespace.sources.materialize import load_or_build
 

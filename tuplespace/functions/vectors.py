@@ -85,11 +85,11 @@ def _sq_dist_arrow(a, b):
         va = np.asarray(pc.list_flatten(a), dtype=np.float64).reshape(n, width)
         vb = np.asarray(pc.list_flatten(b), dtype=np.float64).reshape(n, width)
         return pa.array(((va - vb) ** 2).sum(axis=1))
-    pa_list, pb_list = a.to_pylist(), b.to_pylist()
-    for k in np.nonzero(valid)[0]:
-        x = np.asarray(pa_list[k], dtype=np.float64)
-        y = np.asarray(pb_list[k], dtype=np.float64)
-        out[k] = float(((x - y) ** 2).sum())
+    # Null and ragged rows are set apart; the others go width by width on the 2-D path.
+    for width in np.unique(la[valid]).tolist():
+        rows = np.flatnonzero(valid & (la == width))
+        va, vb = (np.asarray(pc.list_flatten(x.take(pa.array(rows))), dtype=np.float64).reshape(len(rows), width) for x in (a, b))
+        out[rows] = ((va - vb) ** 2).sum(axis=1)
     return pa.array(out, mask=~valid)
 
 

@@ -24,6 +24,7 @@ IQR_SCALE = 1.349
 GRID_POINTS = 100
 GRID_PAD = 3.0
 HIST_BINS = 50
+FINE_BINS = 16  # nodes of the binned density per step of the grid
 
 
 def weighted(samples: DataFrame, by: str, value: str, weight: str | None) -> DataFrame:
@@ -99,6 +100,33 @@ def density_grid(samples: DataFrame, by: str = "kind", value: str = "d", weight:
     )
 
 
+def density_binned(samples: DataFrame, by: str = "kind", value: str = "d", weight: str | None = None,
+                   fine: int = FINE_BINS) -> DataFrame:
+    """(kind, k, g, density, bound): the density of ``density_grid`` from pre-binned samples.
+
+    Each sample is shared between the two nodes beside it on a grid ``fine`` times finer
+    (linear binning), in proportion to its nearness, and the node masses are convolved
+    with the kernel. A sample's share of the result is then the kernel interpolated
+    linearly between nodes ``delta`` apart, which differs from the kernel by at most
+    delta^2 / 8 times its largest second derivative: |difference| <= ``bound`` =
+    delta^2 / (8 h^3 sqrt(2 pi)). Work is one pass over the samples and bins x grid points after it."""
+    samples = cut_lineage(weighted(samples, by, value, weight), "samples")
+    params = kde_params(samples, by, value, "w").select(by, "n", "h", "glo", "ghi")
+    params = cut_lineage(params.withColumn("delta", (F.col("ghi") - F.col("glo")) / F.lit((GRID_POINTS - 1) * fine)), "density-params")
+    place = (F.col(value) - F.col("glo")) / F.col("delta")
+    shares = samples.join(params, by).withColumn("_at", place).withColumn("_low", F.floor("_at")).select(by, F.explode(F.array(
+        F.struct(F.col("_low").alias("bin"), (F.col("w") * (F.col("_low") + 1 - F.col("_at"))).alias("m")),
+        F.struct((F.col("_low") + 1).alias("bin"), (F.col("w") * (F.col("_at") - F.col("_low"))).alias("m")))).alias("_s"))
+    bins = shares.groupBy(by, F.col("_s.bin").alias("bin")).agg(F.sum("_s.m").alias("m"))  # at most 99 * fine + 2 rows a kind
+    apart = (F.col("k") * fine - F.col("bin")) * F.col("delta") / F.col("h")
+    wide = bins.join(params, by).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1))))
+    summed = wide.groupBy(by, "k", "n", "h", "glo", "delta").agg(F.sum(F.col("m") * F.exp(F.lit(-0.5) * apart * apart)).alias("m"))
+    root = F.lit(math.sqrt(2 * math.pi))
+    return summed.select(by, "k", (F.col("glo") + F.col("k") * fine * F.col("delta")).alias("g"),
+                         (F.col("m") / (F.col("n") * F.col("h") * root)).alias("density"),
+                         (F.col("delta") * F.col("delta") / (8 * F.pow("h", F.lit(3)) * root)).alias("bound"))
+
+
 def histogram(samples: DataFrame, by: str = "kind", value: str = "d", bins: int = HIST_BINS,
               weight: str | None = None) -> DataFrame:
     """(kind, bucket, n, lo, hi): equal-width bins over [min, max] per kind. The samples

@@ -77,6 +77,7 @@ def q_src_vectors_text(spark, sf_dir):
 
 
 FILES = 8
+VECTOR_DIM = 64  # of the supplied embeddings
 
 
 @register("src_first_file", f"SELECT CAST(p_partkey AS VARCHAR) AS value FROM part WHERE p_partkey % {FILES} = 0")
@@ -101,14 +102,28 @@ def q_src_first_file(spark, sf_dir):
     ),
 )
 def q_image_catalog(spark, sf_dir):
-    """Per-item vectors in the image reader's layout (asin, iev) joined to the catalog."""
-    from tuplespace.sources.binary import image_catalog
+    """Per-item vectors, written as fixed-length records and read back (S9), joined to the catalog."""
+    from tuplespace.sources.binary import image_catalog, read_image_vectors, write_image_vectors
 
-    j = job(spark, sf_dir)
-    images = j.vectors.select(F.col("item_id").alias("asin"), F.col("ev").alias("iev"))
+    j, path = job(spark, sf_dir), _scratch(spark, "item_records")
+    write_image_vectors(j.vectors.select(F.col("item_id").alias("asin"), F.col("ev").alias("iev")), path, VECTOR_DIM)
+    images = read_image_vectors(spark, path, VECTOR_DIM).withColumn("asin", F.rtrim("asin").cast("long"))
     return _vec_summary(image_catalog(images, j.catalog), "asin", "iev", keep=("categories", "title", "imUrl"))
 
 
+@register("src_image_vectors", f"SELECT rpad(CAST(vec_id AS VARCHAR), 10, ' ') AS asin, {_VEC_SQL} FROM "
+          "(SELECT vec_id, embedding AS ev FROM embeddings)")
+def q_src_image_vectors(spark, sf_dir):
+    """The embeddings written as fixed-length records and read back in record-aligned splits."""
+    from tuplespace.sources.binary import read_image_vectors, write_image_vectors
+    from tuplespace.sources.testdata import table
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("asin"), F.col("embedding").alias("iev"))
+    path = _scratch(spark, "image_records")
+    write_image_vectors(rows, path, VECTOR_DIM)
+    return _vec_summary(read_image_vectors(spark, path, VECTOR_DIM), "asin", "iev")
+
+
 @register(
     "src_quads",
     with_ctes(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tuplespace.operators.density import BW_FACTOR, GRID_PAD, GRID_POINTS, HIST_BINS, IQR_SCALE
+from tuplespace.operators.density import BW_FACTOR, FINE_BINS, GRID_PAD, GRID_POINTS, HIST_BINS, IQR_SCALE
 from tuplespace.plans.oracle import with_ctes
 from tuplespace.plans.registry import _L0, _P0, job, register, rounded
 
@@ -53,6 +53,33 @@ def q_distance_density(spark, sf_dir):
     return _by_split(density_grid(_samples(spark, sf_dir), by="series", weight="w"))
 
 
+_DELTA = f"((p.ghi - p.glo) / {(GRID_POINTS - 1) * FINE_BINS})"
+_NODES = (
+    "SELECT split, kind, bin, sum(m) AS m FROM ("
+    "SELECT split, kind, unnest([{'bin': low, 'm': low + 1 - place}, {'bin': low + 1, 'm': place - low}], recursive := true) "
+    f"FROM (SELECT s.split, s.kind, (s.d - p.glo) / {_DELTA} AS place, floor((s.d - p.glo) / {_DELTA}) AS low "
+    f"FROM ({_SAMPLES}) s JOIN ({_PARAMS}) p ON s.split = p.split AND s.kind = p.kind)) GROUP BY split, kind, bin"
+)
+
+
+@register(
+    "density_binned",
+    with_ctes(
+        f"SELECT p.split, p.kind, CAST(k.k AS INTEGER) AS k, round(p.glo + k.k * {FINE_BINS} * {_DELTA}, 6) AS g, "
+        f"round(sum(b.m * exp(-0.5 * pow((k.k * {FINE_BINS} - b.bin) * {_DELTA} / p.h, 2))) / (p.n * p.h * sqrt(2 * pi())), 6) AS density, "
+        f"round({_DELTA} * {_DELTA} / (8 * pow(p.h, 3) * sqrt(2 * pi())), 6) AS bound "
+        f"FROM ({_PARAMS}) p JOIN ({_NODES}) b ON b.split = p.split AND b.kind = p.kind CROSS JOIN range({GRID_POINTS}) k(k) "
+        "GROUP BY p.split, p.kind, k.k, p.glo, p.ghi, p.h, p.n",
+        "test_dist", "train_dist",
+    ),
+)
+def q_density_binned(spark, sf_dir):
+    """A10: the density of A9 from pre-binned samples, with its error bound."""
+    from tuplespace.operators.density import density_binned
+
+    return _by_split(density_binned(_samples(spark, sf_dir), by="series", weight="w"))
+
+
 @register(
     "distance_histogram",
     with_ctes(
@@ -105,7 +132,7 @@ def q_stream_accuracy(spark, sf_dir):
     micro-batch equal the accuracy over the whole test split."""
     from tuplespace.operators.encode import dense_ids, encode_tuples
     from tuplespace.plans.registry import M0
-    from tuplespace.session import scratch_path
+    from tuplespace.session import cut_lineage, scratch_path
     from tuplespace.sinks.text import write_text
     from tuplespace.streaming.score_stream import latest_metrics, start_scoring
 
@@ -114,7 +141,7 @@ def q_stream_accuracy(spark, sf_dir):
     enc = encode_tuples(j.tuples_test, ids)
     base = scratch_path(spark, "stream")
     write_text(enc.select(F.lit(0).alias("pos"), *[f"{r}_idx" for r in "icsn"]).repartition(4), f"{base}/in")
-    outputs = j.outputs().join(ids, "item_id").select("idx", "out")
+    outputs = cut_lineage(j.outputs().join(ids, "item_id").select("idx", "out"), "stream-outputs")  # not joined anew in every micro-batch
     q = start_scoring(f"{base}/in", outputs, M0, f"{base}/out", f"{base}/ckpt")
     q.awaitTermination()
     return rounded(latest_metrics(spark, f"{base}/out"))
