@@ -113,21 +113,19 @@ class TupleJob:
 
         return attach_vectors(labelled_union(self.comp, self.neg, self.sim), self.vectors)
 
-    @cached_property
-    def vector_table(self):
-        from tuplespace.operators.lookup import VectorTable
-
-        return VectorTable(self.vectors)
-
     @cached_property
     def pair_dist(self) -> DataFrame:
-        """(kind, item_id_1, item_id_2, eu) for the three pair relations (J2 + V1)."""
+        """(kind, item_id_1, item_id_2, eu) for the three pair relations (J2 + V1): a blocked gather,
+        no vector travels with a pair."""
+        return self.pair_distances()
+
+    def pair_distances(self, blocks: int | None = None) -> DataFrame:
+        """The same in a given number of blocks of items (by default from the bytes of the vectors)."""
         from tuplespace.operators.enrich import labelled_union
+        from tuplespace.operators.gather import blocked_distances
 
         pairs = labelled_union(self.comp, self.neg, self.sim)
-        return self.vector_table.sq_distances(
-            pairs, [("item_id_1", "item_id_2", "eu")], ["kind", "item_id_1", "item_id_2"], sqrt=True
-        )
+        return blocked_distances(pairs, self.vectors, ["kind", "item_id_1", "item_id_2"], sqrt=True, blocks=blocks)
 
     def outputs(self, layers=None) -> DataFrame:
         """Per-item tower output (normalised); ``layers=None`` = vectors as they are.
@@ -149,10 +147,14 @@ class TupleJob:
         per-anchor product; its distances are made once per distinct pair and carried
         through the product, which needs no join after it."""
         if split == "test":
-            specs = [("i", "c", "d2c"), ("i", "s", "d2s"), ("i", "n", "d2n")]
-            return self._output_table(layers).sq_distances(self.tuples_test, specs, ["i", "c", "s", "n"])
+            return self.row_distances(self.tuples_test, layers)
         return tuples.assemble_train(*self.part_distances(layers))
 
+    def row_distances(self, rows: DataFrame, layers=None) -> DataFrame:
+        """``rows`` (i, c, s, n and any other columns, such as a batch id) with d2c, d2s, d2n."""
+        specs = [("i", "c", "d2c"), ("i", "s", "d2s"), ("i", "n", "d2n")]
+        return self._output_table(layers).sq_distances(rows, specs, rows.columns)
+
     def part_distances(self, layers=None):
         """(i,c,d2c), (i,s,d2s), (i,n,d2n): the distances of the distinct pairs of the
         train split, written once per weight set."""

@@ -145,3 +145,35 @@ def q_stream_accuracy(spark, sf_dir):
     q = start_scoring(f"{base}/in", outputs, M0, f"{base}/out", f"{base}/ckpt")
     q.awaitTermination()
     return rounded(latest_metrics(spark, f"{base}/out"))
+
+
+_ROUNDS = 2
+
+
+def _phase_sql(phase: str) -> str:
+    accs = ", ".join(f"round(avg(CAST({_P0['pred_' + k]} AS DOUBLE)), 6) AS acc_{k}" for k in ("comp", "sim", "neg", "rank"))
+    return (f"SELECT '{phase}' AS phase, CAST(r.r AS INTEGER) AS round, t.* FROM range({_ROUNDS}) r(r) CROSS JOIN "
+            f"(SELECT count(*) AS n, round(avg({_L0['loss']}), 6) AS mean_loss, {accs} FROM {phase}_dist) t WHERE n > 0")
+
+
+@register("stream_phases", with_ctes(_phase_sql("train") + " UNION ALL " + _phase_sql("test"), "test_dist", "train_dist"))
+def q_stream_phases(spark, sf_dir):
+    """A4, A5 as a stream: two rounds of a train and a test phase, file by file; each phase's metrics start from
+    zero in each round, so every round ends with the metrics of its own pass."""
+    from tuplespace.operators.encode import dense_ids, encode_tuples
+    from tuplespace.plans.registry import M0
+    from tuplespace.session import cut_lineage, scratch_path
+    from tuplespace.sinks.text import write_text
+    from tuplespace.streaming.score_stream import phase_metrics, start_phases
+
+    j = job(spark, sf_dir)
+    ids = cut_lineage(dense_ids(j.vectors), "stream-ids")
+    base = scratch_path(spark, "phases")
+    encoded = {p: cut_lineage(encode_tuples(j.tuples(p), ids).select(F.lit(0).alias("pos"), *[f"{r}_idx" for r in "icsn"]), f"stream-{p}")
+               for p in ("train", "test")}
+    for number in range(_ROUNDS):
+        for phase, rows in encoded.items():
+            write_text(rows, f"{base}/in/phase={phase}/round={number}")
+    outputs = cut_lineage(j.outputs().join(ids, "item_id").select("idx", "out"), "stream-outputs")
+    start_phases(f"{base}/in", outputs, M0, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return rounded(phase_metrics(spark, f"{base}/out"))

@@ -237,6 +237,12 @@ def q_pair_distance(spark, sf_dir):
     return rounded(job(spark, sf_dir).pair_dist)
 
 
+@register("pair_distance_blocked", ORACLE["pair_distance"])
+def q_pair_distance_blocked(spark, sf_dir):
+    """The distances of ``pair_distance`` with items in four blocks, as beyond a broadcast."""
+    return rounded(job(spark, sf_dir).pair_distances(blocks=4))
+
+
 @register(
     "distance_stats",
     with_ctes(
@@ -497,8 +503,7 @@ def _scored_batches(spark, sf_dir):
 
     j = job(spark, sf_dir)
     mb = minibatches(j.tuples_test, BATCH).select("i", "c", "s", "n", "batch_id")
-    d = j.distances("test").join(mb, ["i", "c", "s", "n"])
-    return batch_metrics(score(d, M0))
+    return batch_metrics(score(j.row_distances(mb), M0))  # batched first, scored after: no join back
 
 
 _BATCH_SQL = (
