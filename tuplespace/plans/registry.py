@@ -19,7 +19,7 @@ from tuplespace.plans.job import TupleJob
 from tuplespace.plans.oracle import (
     linear_gradient_sql, loss_sql, margins_values, order_sum_sql, pred_sql, r6, with_ctes,
 )
-from tuplespace.plans.oracle_sgd import distances_sql, epoch_metrics_sql, outputs_sql, steps_sql, totals_sql
+from tuplespace.plans.oracle_sgd import distances_sql, epoch_metrics_sql, fit_sql, one_step_sql, outputs_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -616,7 +616,6 @@ def q_train_split_gradient(spark, sf_dir):
     return spark.createDataFrame([(k, float(round(v / n, 6))) for k, v in enumerate(g)], "param long, g double")
 
 
-FIT_STEPS = 2  # the SQL twins follow so many steps: up to 262,144 tuples of the train split
 LINEAR = (DIMS[0], DIMS[-1])  # the checked fits train one linear layer from the rational weights
 
 
@@ -626,23 +625,30 @@ def _linear_layers():
     return rational_weights(LINEAR)
 
 
-def _fit_sql(body: str, steps: int, margins, *needs: str) -> str:
-    """``body`` after the CTEs of ``steps`` training steps per margin, named m0, m1, ..."""
+def _fit_ctes(body: str, extra: list[str], *needs: str) -> str:
+    """``body`` after the input's CTEs and ``extra``; the epochs' CTEs are recursive."""
+    ctes = ["vec AS MATERIALIZED (SELECT item_id, CAST(ev AS DOUBLE[]) AS x FROM vectors)", *extra]
+    head = with_ctes("", "tuples_train", "vectors", *needs).rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
+    return head + ",\n" + ",\n".join(ctes) + "\n" + body
+
+
+def _fit_sql(body: str, margins, *needs: str) -> str:
+    """``body`` after the CTEs of a whole epoch per margin, named m0, m1, ..."""
     cfg = TupleConfig()
-    extra = ["vec AS MATERIALIZED (SELECT item_id, CAST(ev AS DOUBLE[]) AS x FROM vectors)"]
-    for k, margin in enumerate(margins):
-        extra += steps_sql(margin, cfg.lr, cfg.seed, FIT_BATCH, steps, *LINEAR, name=f"m{k}")
-    return with_ctes("", "tuples_train", "vectors", *needs).rstrip() + ",\n" + ",\n".join(extra) + "\n" + body
+    extra = [x for k, m in enumerate(margins) for x in fit_sql(m, cfg.lr, cfg.seed, FIT_BATCH, *LINEAR, name=f"m{k}")]
+    return _fit_ctes(body, extra, *needs)
 
 
 def _one_step_sql() -> str:
-    after = distances_sql(f"(SELECT * FROM m0pos WHERE pos < {FIT_BATCH})", f"({outputs_sql('m0p1', *LINEAR)})", LINEAR[1])
+    after = distances_sql(f"(SELECT * FROM pos WHERE pos < {FIT_BATCH})", f"({outputs_sql('p1', *LINEAR)})", LINEAR[1])
     loss = "(" + " + ".join(f"({v})" for k, v in loss_sql(*[str(x) for x in M0]).items() if k != "loss") + ")"
-    return _fit_sql(
-        "SELECT 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM m0d0 UNION ALL "
-        f"SELECT 'loss_before', round(avg({loss}), 6) FROM m0d0 UNION ALL "
+    body = (
+        "SELECT 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM d0 UNION ALL "
+        f"SELECT 'loss_before', round(avg({loss}), 6) FROM d0 UNION ALL "
         f"SELECT 'loss_after', round(avg({loss}), 6) FROM ({after}) UNION ALL "
-        "SELECT 'grad_norm', round(sqrt(list_sum(list_transform(g, lambda v: v * v)) / len(g)), 6) FROM m0w0", 1, [M0])
+        "SELECT 'grad_norm', round(sqrt(list_sum(list_transform(g, lambda v: v * v)) / len(g)), 6) FROM w0")
+    cfg = TupleConfig()
+    return _fit_ctes(body, one_step_sql(M0, cfg.lr, cfg.seed, FIT_BATCH, *LINEAR))
 
 
 @register("train_one_step", _one_step_sql())
@@ -669,7 +675,7 @@ def _one_step(spark, sf_dir, layers):
 
 
 @register("train_fit", _fit_sql(
-    "SELECT step, metric, round(value, 6) AS value FROM (" + epoch_metrics_sql("m0", M0, FIT_STEPS) + ")", FIT_STEPS, [M0]))
+    "SELECT step, metric, round(value, 6) AS value FROM (" + epoch_metrics_sql("m0") + ")", [M0]))
 def q_train_fit(spark, sf_dir):
     """One epoch of synchronous SGD of a linear tower over the whole train split; its metric rows."""
     return _fit(spark, sf_dir, _linear_layers())
@@ -716,13 +722,13 @@ def _margin_fit_sql() -> str:
     margins = TupleConfig().margins
     rows = []
     for k, m in enumerate(margins):
-        t = f"(SELECT sum(hit_comp) / sum(n) AS c, sum(hit_neg) / sum(n) AS a FROM ({totals_sql(f'm{k}', m, FIT_STEPS)}) WHERE n > 0)"
-        test = distances_sql("tuples_test", f"({outputs_sql(f'm{k}p{FIT_STEPS}', *LINEAR)})", LINEAR[1])
+        t = f"(SELECT sum(hit_comp) / sum(n) AS c, sum(hit_neg) / sum(n) AS a FROM m{k} WHERE step >= 0)"
+        test = distances_sql("tuples_test", f"({outputs_sql(f'(SELECT max_by(p, step) AS p FROM m{k})', *LINEAR)})", LINEAR[1])
         rows.append(
             f"SELECT CAST({k} AS INTEGER) AS margin_id, CAST({m[0]} AS DOUBLE) AS ms, CAST({m[1]} AS DOUBLE) AS mc, CAST({m[2]} AS DOUBLE) AS mn, "
             f"round(c, 6) AS train_acc_comp, round(a, 6) AS train_acc_neg, round(c / (c + (1.0 - a)), 6) AS train_precision, "
             f"round((SELECT avg(CAST(d2c < d2n AS DOUBLE)) FROM ({test})), 6) AS test_acc_rank FROM {t}")
-    return _fit_sql(" UNION ALL ".join(rows), FIT_STEPS, margins, "tuples_test")
+    return _fit_sql(" UNION ALL ".join(rows), margins, "tuples_test")
 
 
 @register("margin_fit", _margin_fit_sql())
