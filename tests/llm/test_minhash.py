@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tuplespace.llm.components import component_labels
-from tuplespace.llm.minhash import estimate, near_duplicates, pack_low_bits, minima
+from tuplespace.llm.minhash import RARITY_SLOTS, _meetings, _slot, estimate, near_duplicates, pack_low_bits, minima, rare_grams
 from tuplespace.llm.queries import op5_minhash
 
 
@@ -104,3 +104,41 @@ def test_texts_without_an_id_are_linked(spark, rng, make_words):
     assert left.columns == docs.columns
     want = [("5", "b"), ("8", "e"), ("20", "c"), ("None", "a"), ("None", "d"), ("None", "none"), ("None", "none")]
     assert sorted((str(r.doc_id), r.source) for r in left.collect()) == sorted(want)
+
+
+def test_rare_grams_of_linked_sets_meet():
+    rng = np.random.default_rng(11)
+    pool = rng.integers(-(1 << 62), 1 << 62, 400)
+    rarity = np.zeros(RARITY_SLOTS, np.int64)
+    for _ in range(300):
+        whole = rng.choice(pool, rng.integers(1, 60), replace=False)
+        part = whole[: -(-75 * len(whole) // 100)]  # exactly at the threshold
+        other = np.concatenate([part, rng.choice(pool, 0)])
+        np.add.at(rarity, _slot(whole), 1)
+        a, b = rare_grams(whole, rarity, 75), rare_grams(other, rarity, 75)
+        assert set(a.tolist()) & set(b.tolist())
+        assert len(a) <= len(whole) - -(-75 * len(whole) // 100) + 1
+
+
+def test_template_shared_by_unlike_texts(spark, rng, make_words):
+    """Texts of one template under the threshold share buckets and aren't linked; pairs of near copies among them are."""
+    template = make_words(rng, 90).split()
+    rows = []
+    for k in range(160):
+        own = make_words(rng, 50).split()
+        rows.append((2 * k, " ".join(template + own)))
+        if k % 4 == 0:
+            rows.append((2 * k + 1, " ".join(template + own[:-2] + make_words(rng, 2).split())))
+    rows += [(9000 + k, " ".join(template + make_words(rng, k).split())) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_duplicates(docs.repartition(5)).collect())
+    assert got == brute(rows)
+
+
+def test_template_texts_meet_on_rare_grams_only(spark, rng, make_words):
+    template, count = make_words(rng, 90).split(), 60
+    texts = [(k, " ".join(template + make_words(rng, 50).split())) for k in range(count)]
+    rows = spark.createDataFrame([(1, bytes([k]), (False, k, b""), k > 0) for k in range(count)],
+                                 "key long, cls binary, comp struct<no_id: boolean, id: long, cls: binary>, outside boolean")
+    sets = spark.createDataFrame([(bytes([k]), [hash(g) for g in shingles(t)]) for k, t in texts], "cls binary, grams array<long>")
+    assert _meetings(rows, sets, 75).count() == 0  # one group of 60 on its key, 1,770 pairs

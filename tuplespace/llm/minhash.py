@@ -11,9 +11,10 @@ No group emits all its pairs. Equal sets form one class first (a hot group of co
 is one row from there on). In a band bucket each class is compared with one pivot,
 the first in a seeded order, so that the buckets of a group mostly share theirs and
 repeat the same few pairs. Links to pivots already join most of every group. Buckets
-that still hold several components are finished exactly: members outside the pivot's
-component meet the members of other components, each pair in its first common band
-only, with their sets at hand, and only links come out.
+that still hold several components are finished exactly, by prefix filtering: their
+members meet on the rare ones of their shingles, of which two sets that reach the
+threshold share at least one, whatever the template that brought them into one bucket;
+the estimate and the full sets then decide as above.
 
 With 32 bands of 4 a pair at similarity 0.75 shares no band with probability 5e-6.
 The slack is about five standard deviations of the estimate at 0.75 (0.041).
@@ -35,11 +36,13 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tuplespace.llm.common import long_lists, mix64, shingle_sets, small_batches, text_blocks
 from tuplespace.llm.components import component_labels
-from tuplespace.session import cut_lineage
+from tuplespace.session import cut_lineage, drop_table
 
 HASHES, BANDS, BITS = 128, 32, 4
 THRESHOLD_PERCENT = 75
 SLACK = 0.2
+# Size of the table of gram counts that orders the grams of open buckets (8 MB): any size gives the same links.
+RARITY_SLOTS = 1 << 20
 
 
 def minima(hashes: np.ndarray, offsets: np.ndarray, count: int = HASHES) -> np.ndarray:
@@ -125,11 +128,13 @@ def estimate(a: Column, b: Column, hashes: int = HASHES, bits: int = BITS) -> Co
     return (agreeing_groups(a, b, hashes, bits) / hashes - chance) / (1 - chance)
 
 
+def _sizes_fit(threshold: int) -> Column:
+    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold
+
+
 def _may_link(threshold: int) -> Column:
     """Sizes and estimate of a and b allow the threshold."""
-    na, nb = F.col("n_a"), F.col("n_b")
-    sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * threshold
-    return sizes & (estimate(F.col("packed_a"), F.col("packed_b")) >= threshold / 100 - SLACK)
+    return _sizes_fit(threshold) & (estimate(F.col("packed_a"), F.col("packed_b")) >= threshold / 100 - SLACK)
 
 
 def _linked(a: str, b: str, threshold: int) -> Column:
@@ -157,25 +162,81 @@ def _components(classes: DataFrame, labels: DataFrame) -> DataFrame:
     return named.select("cls", F.coalesce("component", "node").alias("comp"))
 
 
-def _open(crowded: DataFrame, named: DataFrame) -> DataFrame:
-    """Rows (band, key, cls, comp, outside) but the pivots' of the buckets that hold several components."""
+def _placed(crowded: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows (key, cls, comp, outside) but the pivots' of all buckets; outside: not in the pivot's component."""
     pivots = named.select(F.col("cls").alias("pivot"), F.col("comp").alias("pivot_comp"))
     placed = crowded.where("cls <> pivot").join(named, "cls").join(pivots, "pivot")
-    placed = cut_lineage(placed.select("band", "key", "cls", "comp", (F.col("comp") != F.col("pivot_comp")).alias("outside")), "placed")
-    keys = placed.where("outside").select("key").distinct()
-    return placed.join(keys, "key", "left_semi")
+    return cut_lineage(placed.select("key", "cls", "comp", (F.col("comp") != F.col("pivot_comp")).alias("outside")), "placed")
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold several components."""
+    return placed.join(placed.where("outside").select("key").distinct(), "key", "left_semi")
+
+
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (mix64(grams.astype(np.uint64)) & np.uint64(RARITY_SLOTS - 1)).astype(np.int64)
+
+
+def _rarity(outside: DataFrame) -> np.ndarray:
+    """How many grams of the outside classes fall into each slot: a table of one size, whatever the input's."""
+
+    def count(batches):
+        total = np.zeros(RARITY_SLOTS, np.int64)
+        for batch in batches:
+            total += np.bincount(_slot(batch.column("grams").flatten().to_numpy()), minlength=RARITY_SLOTS)
+        some = np.flatnonzero(total)
+        for begin in range(0, len(some), 1 << 16):
+            part = some[begin : begin + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
+
+    rows = outside.select("grams").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(RARITY_SLOTS, np.int64)
+    table[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return table
+
+
+def rare_grams(grams: np.ndarray, rarity: np.ndarray, threshold: int) -> np.ndarray:
+    """The first grams of a set in one order for all sets, rare ones first: two sets that reach the threshold share one.
 
+    A set of n needs n - ceil(threshold * n / 100) + 1 of them; those that no outside class holds are left out."""
+    seen = rarity[_slot(grams)]
+    order = np.lexsort((grams, seen))[: len(grams) + (-threshold * len(grams)) // 100 + 1]
+    return grams[order[seen[order] > 0]]
 
-def _meetings(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) of classes of different components in an open bucket, one of them outside;
-    a pair counts in its first common band. ``classes`` has bands and grams."""
-    a = rows.where("outside").select("band", "key", F.col("cls").alias("a"), F.col("comp").alias("comp_a"))
-    b = rows.select("key", F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
-    same = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
-    first = F.array_position(same, F.lit(True)) == F.col("band") + 1
-    both = a.join(_side(classes, "a", "bands", "grams"), "a").join(b.join(_side(classes, "b", "bands", "grams"), "b"), "key")
-    links = both.where((F.col("comp_a") != F.col("comp_b")) & _may_link(threshold) & first & _linked("grams_a", "grams_b", threshold))
-    return links.select("a", "b")
+
+def _first_grams(rarity: np.ndarray, threshold: int):
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                lists = part.column("grams")
+                ends = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+                flat = lists.flatten().to_numpy()
+                firsts = [rare_grams(flat[i:j], rarity, threshold) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                rows = np.repeat(np.arange(part.num_rows), [len(f) for f in firsts])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(firsts)), *(part.column(c).take(pa.array(rows)) for c in ("cls", "n", "comp", "outside"))],
+                    names=["gram", "cls", "n", "comp", "outside"])
+
+    return run
+
+
+def _meetings(rows: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of classes of open buckets that may be linked: of different components, one of them outside.
+
+    The members of a bucket don't meet on its key, which a template shared by many unlike texts makes one hot group,
+    but on their rare grams: any two that reach the threshold share one of those, and grams of the template come last."""
+    sets = rows.groupBy("cls").agg(F.max("outside").alias("outside"), F.xxhash64(F.first("comp")).alias("comp")).join(grams, "cls")
+    sets = sets.select("cls", F.size("grams").alias("n"), "comp", "outside", "grams")
+    firsts = sets.mapInArrow(_first_grams(_rarity(sets.where("outside")), threshold),
+                             "gram long, cls binary, n int, comp long, outside boolean")
+    firsts = cut_lineage(firsts, "rare-grams")
+    a = firsts.where("outside").select("gram", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
+    b = firsts.select("gram", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+    met = a.join(b, "gram").where((F.col("comp_a") != F.col("comp_b")) & _sizes_fit(threshold))
+    met = cut_lineage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+    drop_table(firsts)
+    return met
 
 
 def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -201,17 +262,20 @@ def _as_nodes(links: DataFrame, classes: DataFrame) -> DataFrame:
     return cut_lineage(links.select(F.col("_a").alias("a"), F.col("_b").alias("b")), "confirmed")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, grams: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, as links of nodes."""
-    pairs = cut_lineage(pairs.select("a", "b").distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    grams = _shingled(docs, wanted.join(classes.select("cls", "rep"), "cls"))
     ga = grams.select(F.col("cls").alias("a"), F.col("grams").alias("ga"))
     gb = grams.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
     kept = pairs.join(ga, "a").join(gb, "b").where(_linked("ga", "gb", threshold)).select("a", "b")
     return _as_nodes(kept, classes)
 
 
+def _paired(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, grams) of the classes in ``pairs``."""
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    return _shingled(docs, wanted.join(classes.select("cls", "rep"), "cls"))
+
+
 def _digested(batches):
     for block in text_blocks(batches):
         hashes, offsets = shingle_sets(block.column("text"))
@@ -232,7 +296,7 @@ def linked_rows(docs: DataFrame, threshold: int = THRESHOLD_PERCENT) -> DataFram
              .select("cls", "rep", "n_shingles", "packed", "bands").dropDuplicates(["cls"]))
     bare = sets.where("doc_id IS NULL").dropDuplicates(["cls"]).join(classes.where("rep IS NULL"), "cls")
     found = cut_lineage(found.union(bare.select("cls", "rep", "n_shingles", "packed", "bands")), "classes")
-    members = found.select("cls", F.posexplode("bands").alias("band", "key"))
+    members = found.select("cls", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls")).alias("first"))
     buckets = buckets.where("size > 1").select("key", F.col("first.cls").alias("pivot"))
@@ -240,13 +304,22 @@ def linked_rows(docs: DataFrame, threshold: int = THRESHOLD_PERCENT) -> DataFram
     pairs = (crowded.where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
              .distinct().join(_side(found, "a"), "a").join(_side(found, "b"), "b")
              .where(_may_link(threshold)))
-    links = _confirmed(docs, pairs, found, threshold)
+    pairs = cut_lineage(pairs.select("a", "b").distinct(), "candidates")
+    grams = _paired(docs, pairs, found)
+    links = _confirmed(pairs, grams, found, threshold)
+    drop_table(pairs)
+    drop_table(grams)
     labels = component_labels(links)
 
-    rows_open = cut_lineage(_open(crowded, _components(found, labels)), "open")
-    still = found.join(rows_open.select("cls").distinct(), "cls", "left_semi")
-    still = still.join(_shingled(docs, still.select("cls", "rep")), "cls")
-    more = _as_nodes(_meetings(rows_open, still, threshold), found)
+    placed = _placed(crowded, _components(found, labels))
+    drop_table(crowded)
+    rows_open = _open(placed)
+    grams = _shingled(docs, found.select("cls", "rep").join(rows_open.select("cls").distinct(), "cls", "left_semi"))
+    met = _meetings(rows_open, grams, threshold)
+    pairs = met.join(_side(found, "a"), "a").join(_side(found, "b"), "b").where(_may_link(threshold)).select("a", "b")
+    more = _confirmed(pairs, grams, found, threshold)
+    for table in (placed, grams, met):
+        drop_table(table)
     if not more.isEmpty():
         labels = component_labels(links.union(more))
 
