@@ -196,13 +196,15 @@ def _rarity(outside: DataFrame) -> np.ndarray:
     return table
 
 
-def rare_grams(grams: np.ndarray, rarity: np.ndarray, threshold: int) -> np.ndarray:
+def rare_grams(grams: np.ndarray, rarity: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """The first grams of a set in one order for all sets, rare ones first: two sets that reach the threshold share one.
 
-    A set of n needs n - ceil(threshold * n / 100) + 1 of them; those that no outside class holds are left out."""
+    A set of n needs n - ceil(threshold * n / 100) + 1 of them; those that no outside class holds are left out.
+    Also returned is how many grams of the set follow each in that order."""
     seen = rarity[_slot(grams)]
     order = np.lexsort((grams, seen))[: len(grams) + (-threshold * len(grams)) // 100 + 1]
-    return grams[order[seen[order] > 0]]
+    places = np.flatnonzero(seen[order] > 0)
+    return grams[order[places]], len(grams) - 1 - places
 
 
 def _first_grams(rarity: np.ndarray, threshold: int):
@@ -213,10 +215,11 @@ def _first_grams(rarity: np.ndarray, threshold: int):
                 ends = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
                 flat = lists.flatten().to_numpy()
                 firsts = [rare_grams(flat[i:j], rarity, threshold) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-                rows = np.repeat(np.arange(part.num_rows), [len(f) for f in firsts])
+                rows = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f, _ in firsts]))
+                columns = [pa.array(np.concatenate(c)) for c in zip(*firsts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(firsts)), *(part.column(c).take(pa.array(rows)) for c in ("cls", "n", "comp", "outside"))],
-                    names=["gram", "cls", "n", "comp", "outside"])
+                    [*columns, *(part.column(c).take(rows) for c in ("cls", "n", "comp", "outside"))],
+                    names=["gram", "rest", "cls", "n", "comp", "outside"])
 
     return run
 
@@ -225,15 +228,20 @@ def _meetings(rows: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of classes of open buckets that may be linked: of different components, one of them outside.
 
     The members of a bucket don't meet on its key, which a template shared by many unlike texts makes one hot group,
-    but on their rare grams: any two that reach the threshold share one of those, and grams of the template come last."""
+    but on their rare grams: any two that reach the threshold share one of those, and grams of the template come last.
+    The first gram that two sets share in the common order bounds what they share by what follows it in either."""
     sets = rows.groupBy("cls").agg(F.max("outside").alias("outside"), F.xxhash64(F.first("comp")).alias("comp")).join(grams, "cls")
     sets = sets.select("cls", F.size("grams").alias("n"), "comp", "outside", "grams")
     firsts = sets.mapInArrow(_first_grams(_rarity(sets.where("outside")), threshold),
-                             "gram long, cls binary, n int, comp long, outside boolean")
+                             "gram long, rest long, cls binary, n int, comp long, outside boolean")
     firsts = cut_lineage(firsts, "rare-grams")
-    a = firsts.where("outside").select("gram", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-    b = firsts.select("gram", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    met = a.join(b, "gram").where((F.col("comp_a") != F.col("comp_b")) & _sizes_fit(threshold))
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select("gram", F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("rest", "n", "comp")))
+
+    shared = F.least("rest_a", "rest_b") + 1
+    reach = shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * threshold
+    met = side(firsts.where("outside"), "a").join(side(firsts, "b"), "gram").where((F.col("comp_a") != F.col("comp_b")) & reach)
     met = cut_lineage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
     drop_table(firsts)
     return met
