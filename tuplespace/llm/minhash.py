@@ -237,11 +237,13 @@ def _meetings(rows: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
     firsts = cut_lineage(firsts, "rare-grams")
 
     def side(rows: DataFrame, s: str) -> DataFrame:
-        return rows.select("gram", F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("rest", "n", "comp")))
+        return rows.select("gram", F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("rest", "n", "comp", "outside")))
 
     shared = F.least("rest_a", "rest_b") + 1
     reach = shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * threshold
-    met = side(firsts.where("outside"), "a").join(side(firsts, "b"), "gram").where((F.col("comp_a") != F.col("comp_b")) & reach)
+    once = ~F.col("outside_b") | (F.col("a") < F.col("b"))  # two that are both outside meet in one order
+    met = side(firsts.where("outside"), "a").join(side(firsts, "b"), "gram")
+    met = met.where((F.col("comp_a") != F.col("comp_b")) & reach & once)
     met = cut_lineage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
     drop_table(firsts)
     return met
