@@ -69,3 +69,50 @@ def test_no_vector_on_a_pair_in_the_plan(spark, sf_small):
     plan = TupleJob(spark, sf_small).pair_distances(blocks=4)._jdf.queryExecution().analyzed().toString()
     joins = [line for line in plan.splitlines() if "Join " in line and ("item_id" in line or "_item" in line)]
     assert len(joins) == 1 and "FlatMapCoGroupsInArrow" in plan  # vectors meet distinct (cell, item) rows only
+
+
+def test_tuples_by_gather_equal_joins(spark, monkeypatch):
+    """tuple_distance and the part distances of the train split: no vector travels with a row."""
+    from tuplespace.functions.vectors import l2_scale
+    from tuplespace.operators import gather, lookup
+
+    vecs = [*VECS, (40, [0.0, 0.0, 0.0]), (41, [1.0, None, 2.0])]
+    v = spark.createDataFrame(vecs, "item_id long, ev array<float>").withColumn("scale", l2_scale(F.col("ev")))
+    ids = [0, 4, 7, 29, 30, 31, 32, 40, 41, 99, None]
+    rows = [(ids[k % 11], ids[k * 3 % 11], ids[k * 7 % 7], 5, k % 4) for k in range(120)]
+    df = spark.createDataFrame(rows, "i long, c long, s long, n long, batch_id long")
+    specs = [("i", "c", "d2c"), ("i", "s", "d2s"), ("i", "n", "d2n")]
+    for scale in (None, "scale"):
+        for asked, keep in ((specs, df.columns), (specs[:1], ["i", "c"])):
+            joined = lookup.VectorTable(v, "ev", scale).sq_distances(df, asked, keep)
+            table = lookup.VectorTable(v, "ev", scale)
+            table.blocks = 3
+            gathered = table.sq_distances(df, asked, keep)
+            assert Counter(map(str, gathered.collect())) == Counter(map(str, joined.collect()))
+            plan = gathered._jdf.queryExecution().analyzed().toString()
+            joins = [line for line in plan.splitlines() if "Join " in line and "_item" in line]
+            assert "FlatMapCoGroupsInArrow" in plan and len(joins) == 1  # vectors meet distinct (cell, item) rows only
+    monkeypatch.setattr(gather, "DENSE_PAIRS", 30)
+    for blocks, cell_rows in ((2, 8), (9, 8), (2, 1000)):
+        out = gather.gathered_distances(df, v, specs[:1], ["i", "c"], "ev", "scale", blocks=blocks, cell_rows=cell_rows)
+        assert Counter(map(str, out.collect())) == Counter(map(str, joined.collect()))
+
+
+def test_layout_sends_few_vectors(spark):
+    from tuplespace.operators.gather import layout
+
+    many = spark.range(200_000).select((F.col("id") % 20_000).alias("a"), (F.col("id") % 7).alias("b"), F.col("id").alias("_row"))
+    k1, k2, _ = layout(many, ("a", "b"), 50)
+    assert k2 == 1 and k1 <= 55  # few second items: each block of first items once, not 50 times
+    sparse = many.select("a", F.xxhash64("_row").alias("b"), "_row")
+    assert layout(sparse, ("a", "b"), 400, 10_000) == (20, 1, 10_000)
+
+
+def test_a_given_number_of_blocks_is_the_least(spark, monkeypatch):
+    from tuplespace.operators import gather
+
+    asked = []
+    plain = gather.dealt_rows
+    monkeypatch.setattr(gather, "dealt_rows", lambda n, k, i, cells: asked.append(cells) or plain(n, k, i, cells))
+    monkeypatch.setattr(gather, "block_count", lambda *_: 6)
+    assert _spark(spark, PAIRS, VECS, blocks=4) == _plain(PAIRS, VECS) and asked[0][:2] == (6, 6)
