@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tuplespace.llm.components import component_labels
-from tuplespace.llm.minhash import RARITY_SLOTS, _meetings, _slot, estimate, near_duplicates, pack_low_bits, minima, rare_grams
+from tuplespace.llm.minhash import RARITY_SLOTS, _meetings, _slot, estimate, near_duplicates, pack_low_bits, parity_words, minima, rare_grams
 from tuplespace.llm.queries import op5_minhash
 
 
@@ -142,3 +142,30 @@ def test_template_texts_meet_on_rare_grams_only(spark, rng, make_words):
                                  "key long, cls binary, comp struct<no_id: boolean, id: long, cls: binary>, outside boolean")
     sets = spark.createDataFrame([(bytes([k]), [hash(g) for g in shingles(t)]) for k, t in texts], "cls binary, grams array<long>")
     assert _meetings(rows, sets, 75).count() == 0  # one group of 60 on its key, 1,770 pairs
+
+
+def test_near_misses_are_parted_before_they_are_pairs(spark):
+    """Sets of two thirds similarity share rare grams that come early; what they differ in shows in the bits of odd count."""
+    rng, count = np.random.default_rng(7), 60
+    pool = rng.integers(-(1 << 62), 1 << 62, 100)
+    sets = [rng.choice(pool, 80, replace=False) for _ in range(count)]
+    sets += [np.r_[s[1:], k] for k, s in enumerate(sets[:5])]  # 79 of 81 shared
+    names = [bytes([k]) for k in range(len(sets))]
+    linked = {(names[a], names[b]) for a in range(len(sets)) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) * 100 >= 75 * len(np.union1d(sets[a], sets[b]))}
+    rows = spark.createDataFrame([(1, c, (False, k, b""), k % 7 > 0) for k, c in enumerate(names)],
+                                 "key long, cls binary, comp struct<no_id: boolean, id: long, cls: binary>, outside boolean")
+    grams = spark.createDataFrame([(c, s.tolist()) for c, s in zip(names, sets)], "cls binary, grams array<long>")
+    met = [(bytes(r.a), bytes(r.b)) for r in _meetings(rows, grams, 75).collect()]
+    inside = {c for k, c in enumerate(names) if k % 7 == 0}
+    wanted = {(min(p), max(p)) for p in linked if not set(p) <= inside}
+    assert len(wanted) >= 5 and wanted <= set(met) and len(met) == len(set(met))
+    assert len(met) < 300  # of 2,080 pairs
+
+
+def test_bits_of_odd_count_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (rng.integers(-50, 50, rng.integers(1, 80)) for _ in range(2))
+        a, b = np.unique(a), np.unique(b)
+        differing = sum(int(x).bit_count() for x in (parity_words(a) ^ parity_words(b)).view(np.uint64))
+        assert differing <= len(np.setxor1d(a, b)) and (differing + len(np.setxor1d(a, b))) % 2 == 0

@@ -43,6 +43,7 @@ THRESHOLD_PERCENT = 75
 SLACK = 0.2
 # Size of the table of gram counts that orders the grams of open buckets (8 MB): any size gives the same links.
 RARITY_SLOTS = 1 << 20
+PARITY_WORDS = ("odd0", "odd1", "odd2", "odd3")  # 64 bits each: any number gives the same links
 
 
 def minima(hashes: np.ndarray, offsets: np.ndarray, count: int = HASHES) -> np.ndarray:
@@ -207,6 +208,14 @@ def rare_grams(grams: np.ndarray, rarity: np.ndarray, threshold: int) -> tuple[n
     return grams[order[places]], len(grams) - 1 - places
 
 
+def parity_words(grams: np.ndarray) -> np.ndarray:
+    """For each of some bits whether an odd number of the set's grams falls on it, as words. Two sets differ in no more
+    bits than there are grams that only one of them holds."""
+    bits = 64 * len(PARITY_WORDS)
+    falls = (mix64(grams.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % bits
+    return np.packbits((np.bincount(falls, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _first_grams(rarity: np.ndarray, threshold: int):
     def run(batches):
         for batch in batches:
@@ -217,9 +226,11 @@ def _first_grams(rarity: np.ndarray, threshold: int):
                 firsts = [rare_grams(flat[i:j], rarity, threshold) for i, j in zip(ends[:-1], ends[1:], strict=True)]
                 rows = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f, _ in firsts]))
                 columns = [pa.array(np.concatenate(c)) for c in zip(*firsts, strict=True)]
+                parity = np.stack([parity_words(flat[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)])
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, *(part.column(c).take(rows) for c in ("cls", "n", "comp", "outside"))],
-                    names=["gram", "rest", "cls", "n", "comp", "outside"])
+                    [*columns, *(part.column(c).take(rows) for c in ("cls", "n", "comp", "outside")),
+                     *(pa.array(word).take(rows) for word in parity.T)],
+                    names=["gram", "rest", "cls", "n", "comp", "outside", *PARITY_WORDS])
 
     return run
 
@@ -229,21 +240,32 @@ def _meetings(rows: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
 
     The members of a bucket don't meet on its key, which a template shared by many unlike texts makes one hot group,
     but on their rare grams: any two that reach the threshold share one of those, and grams of the template come last.
-    The first gram that two sets share in the common order bounds what they share by what follows it in either."""
+    The first gram that two sets share in the common order bounds what they share by what follows it in either; in the
+    smaller set it must come earlier than in the other. Bits of odd count (``parity_words``) in which two sets differ
+    stand for grams that only one of them holds: they bound what is shared before a pair is made."""
     sets = rows.groupBy("cls").agg(F.max("outside").alias("outside"), F.xxhash64(F.first("comp")).alias("comp")).join(grams, "cls")
     sets = sets.select("cls", F.size("grams").alias("n"), "comp", "outside", "grams")
     firsts = sets.mapInArrow(_first_grams(_rarity(sets.where("outside")), threshold),
-                             "gram long, rest long, cls binary, n int, comp long, outside boolean")
+                             "gram long, rest long, cls binary, n int, comp long, outside boolean, "
+                             + ", ".join(f"{w} long" for w in PARITY_WORDS))
     firsts = cut_lineage(firsts, "rare-grams")
 
     def side(rows: DataFrame, s: str) -> DataFrame:
-        return rows.select("gram", F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("rest", "n", "comp", "outside")))
+        return rows.select("gram", F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("rest", "n", "comp", *PARITY_WORDS)))
+
+    # a is the smaller set of a pair, so its gram must be followed by enough for a partner of its own size
+    early = (F.col("rest") + 1) * (100 + threshold) >= F.col("n").cast("long") * (2 * threshold)
+    both = F.col("n_a").cast("long") + F.col("n_b")
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    reach = (F.least("rest_a", "rest_b") + 1) * (100 + threshold) >= both * threshold
+    differing = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in PARITY_WORDS), F.lit(0))
+    alike = (both - differing) * (100 + threshold) >= both * (2 * threshold)
+
+    def meet(one: DataFrame, other: DataFrame) -> DataFrame:
+        pairs = side(one.where(early), "a").join(side(other, "b"), "gram")
+        return pairs.where((F.col("comp_a") != F.col("comp_b")) & smaller & reach & alike).select("a", "b")
 
-    shared = F.least("rest_a", "rest_b") + 1
-    reach = shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * threshold
-    once = ~F.col("outside_b") | (F.col("a") < F.col("b"))  # two that are both outside meet in one order
-    met = side(firsts.where("outside"), "a").join(side(firsts, "b"), "gram")
-    met = met.where((F.col("comp_a") != F.col("comp_b")) & reach & once)
+    met = meet(firsts.where("outside"), firsts).union(meet(firsts.where("NOT outside"), firsts.where("outside")))
     met = cut_lineage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
     drop_table(firsts)
     return met
