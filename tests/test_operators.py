@@ -186,3 +186,34 @@ def test_ragged_and_null_vectors_keep_the_others(spark):
     df = spark.createDataFrame(rows, "k long, a array<double>, b array<double>").coalesce(1)
     got = {r.k: r.d for r in with_sq_distances(df, [("a", "b", "d")], ["k"]).collect()}
     assert got == {1: 5.0, 2: None, 3: None, 4: 4.0, 5: 0.0, 6: 4.0}
+
+
+def test_rows_per_kind_are_broadcast(spark):
+    """No sample is dealt by its kind, of which there are a few, whatever the session broadcasts by itself."""
+    from tuplespace.operators.density import density_binned, density_grid, histogram
+
+    samples = spark.createDataFrame([("ab"[k % 2], float(k), k % 3 + 1) for k in range(40)], "kind string, d double, w long")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for report in (density_binned, density_grid, histogram):
+            found = report(samples, weight="w")
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            assert {r["kind"] for r in found.collect()} == {"a", "b"}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_best_margin_reads_the_sweep_once(spark):
+    from tuplespace.operators.metrics import best_margin
+
+    schema = "margin_id int, ms double, mc double, mn double, acc_rank double"
+    rows = [(0, 1.0, 2.0, 3.0, None), (2, 1.2, 2.2, 3.2, 0.5), (1, 1.1, 2.1, 3.1, 0.5)]
+    best = best_margin(spark.createDataFrame(rows, schema))
+    assert "Join" not in best._jdf.queryExecution().optimizedPlan().toString()
+    assert best.columns == ["margin_id", "best_acc_rank", "ms", "mc", "mn"]
+    assert [tuple(r) for r in best.collect()] == [(1, 0.5, 1.1, 2.1, 3.1)]
+    assert [tuple(r) for r in best_margin(spark.createDataFrame(rows[:1], schema)).collect()] == [(0, None, 1.0, 2.0, 3.0)]
+    assert best_margin(spark.createDataFrame([], schema)).collect() == []

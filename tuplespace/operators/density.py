@@ -2,7 +2,8 @@
 
 Everything is an aggregate over the samples joined to a per-kind parameter row
 (one row per kind); the quartiles come from distributed running totals, so no group
-is ever collected. A sample may carry a weight: the train split's samples are its
+is ever collected. The rows per kind are broadcast by hand: joined by kind, all samples would be dealt to as many
+tasks as there are kinds. A sample may carry a weight: the train split's samples are its
 distinct pairs, weighted by the tuples that hold them.
 """
 
@@ -51,7 +52,7 @@ def quantiles(samples: DataFrame, by: str, value: str, qs=(0.25, 0.75), weight:
         return F.max(F.when((F.col("_from") <= F.col(place)) & (F.col(place) < F.col("_to")), F.col(value)))
 
     keep = [f"_{x}{k}" for x in ("p", "lo") for k in range(len(qs))]
-    found = cum.join(out, by).groupBy(by, "_start", *keep).agg(
+    found = cum.join(F.broadcast(out), by).groupBy(by, "_start", *keep).agg(
         *[at(f"_{x}{k}").alias(f"_v{x}{k}") for x in ("lo", "hi") for k in range(len(qs))])
     parts = [(F.col(f"_vlo{k}") + (F.col(f"_p{k}") - (F.col(f"_lo{k}") - F.col("_start"))) * (F.col(f"_vhi{k}") - F.col(f"_vlo{k}")))
              .alias(f"q{k}") for k in range(len(qs))]
@@ -63,14 +64,14 @@ def kde_params(samples: DataFrame, by: str = "kind", value: str = "d", weight: s
     rows = weighted(samples, by, value, weight)
     v, w = F.col(value), F.col("w")
     centre = rows.groupBy(by).agg((F.sum(v * w) / F.sum("w")).alias("_mean"))
-    stats = rows.join(centre, by).groupBy(by).agg(
+    stats = rows.join(F.broadcast(centre), by).groupBy(by).agg(
         F.sum("w").alias("n"), F.sqrt(F.sum(w * F.pow(v - F.col("_mean"), 2)) / (F.sum("w") - 1)).alias("sd"),
         F.min(value).alias("vmin"), F.max(value).alias("vmax"),
     )
     q = quantiles(samples, by, value, weight=weight)
     spread = F.least(F.col("sd"), (F.col("q1") - F.col("q0")) / F.lit(IQR_SCALE))
     h = F.lit(BW_FACTOR) * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    return stats.join(q, by).withColumn("h", h).withColumns({
+    return stats.join(F.broadcast(q), by).withColumn("h", h).withColumns({
         "glo": F.col("vmin") - F.lit(GRID_PAD) * F.col("h"),
         "ghi": F.col("vmax") + F.lit(GRID_PAD) * F.col("h"),
     })
@@ -83,7 +84,7 @@ def density_grid(samples: DataFrame, by: str = "kind", value: str = "d", weight:
     samples = cut_lineage(weighted(samples, by, value, weight), "samples")
     params = kde_params(samples, by, value, "w")
     step = (F.col("ghi") - F.col("glo")) / F.lit(GRID_POINTS - 1)
-    joined = samples.join(params.select(by, "h", "glo", "ghi"), by)
+    joined = samples.join(F.broadcast(params.select(by, "h", "glo", "ghi")), by)
     aggs = []
     for k in range(GRID_POINTS):
         g = F.col("glo") + F.lit(k) * step
@@ -114,12 +115,12 @@ def density_binned(samples: DataFrame, by: str = "kind", value: str = "d", weigh
     params = kde_params(samples, by, value, "w").select(by, "n", "h", "glo", "ghi")
     params = cut_lineage(params.withColumn("delta", (F.col("ghi") - F.col("glo")) / F.lit((GRID_POINTS - 1) * fine)), "density-params")
     place = (F.col(value) - F.col("glo")) / F.col("delta")
-    shares = samples.join(params, by).withColumn("_at", place).withColumn("_low", F.floor("_at")).select(by, F.explode(F.array(
+    shares = samples.join(F.broadcast(params), by).withColumn("_at", place).withColumn("_low", F.floor("_at")).select(by, F.explode(F.array(
         F.struct(F.col("_low").alias("bin"), (F.col("w") * (F.col("_low") + 1 - F.col("_at"))).alias("m")),
         F.struct((F.col("_low") + 1).alias("bin"), (F.col("w") * (F.col("_at") - F.col("_low"))).alias("m")))).alias("_s"))
     bins = shares.groupBy(by, F.col("_s.bin").alias("bin")).agg(F.sum("_s.m").alias("m"))  # at most 99 * fine + 2 rows a kind
     apart = (F.col("k") * fine - F.col("bin")) * F.col("delta") / F.col("h")
-    wide = bins.join(params, by).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1))))
+    wide = bins.join(F.broadcast(params), by).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1))))
     summed = wide.groupBy(by, "k", "n", "h", "glo", "delta").agg(F.sum(F.col("m") * F.exp(F.lit(-0.5) * apart * apart)).alias("m"))
     root = F.lit(math.sqrt(2 * math.pi))
     return summed.select(by, "k", (F.col("glo") + F.col("k") * fine * F.col("delta")).alias("g"),
@@ -137,7 +138,7 @@ def histogram(samples: DataFrame, by: str = "kind", value: str = "d", bins: int
     b = F.when(F.col("vmax") > F.col("vmin"), F.least(
         F.floor((F.col(value) - F.col("vmin")) / (F.col("vmax") - F.col("vmin")) * F.lit(bins)), F.lit(bins - 1)
     )).otherwise(F.lit(0)).cast("int")
-    counted = samples.join(rng, by).groupBy(by, "vmin", "vmax", b.alias("bucket")).agg(F.sum("w").alias("n"))
+    counted = samples.join(F.broadcast(rng), by).groupBy(by, "vmin", "vmax", b.alias("bucket")).agg(F.sum("w").alias("n"))
     return counted.select(
         by, "bucket", "n",
         (F.col("vmin") + F.col("bucket") * width).alias("lo"),
